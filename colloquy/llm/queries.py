@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op7_decontamination import OP7_SQL, op7_decontamination
 from .op8_mixing import OP8_SQL, op8_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op7_decontamination": OP7_SQL,
     "op8_mixing": OP8_SQL,
 }
