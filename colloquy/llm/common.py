@@ -90,6 +90,20 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: int = SPACE_WORDS) -
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The given words (in order) with one space after each, and where they start and end there."""
+    length = ends - starts
+    new_end = np.cumsum(length + 1) - 1
+    out = np.full(int(new_end[-1]) + 1 if len(starts) else 0, 0x20, np.uint8)
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    place = np.ones(len(out), bool)
+    place[new_end] = False
+    out[place] = (LOWER[data] if lower else data)[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    return out.tobytes(), new_end - length, new_end
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every input bit."""
     h = h ^ (h >> np.uint64(31))
@@ -151,16 +165,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) for every id on an edge (a, b): component is the smallest id that can be reached.
 
     Alternating large and small stars: each round is two grouped minimums and two joins over the edges, so no vertex's
-    neighbours are gathered in one place. Each round's edges go to a table in the shared folder.
+    neighbours are gathered in one place: the minimums are tables of their own, so that Spark can split a vertex with very many
+    edges in the joins. Each round's edges go to a table in the shared folder.
     """
     e = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     for _ in range(most_rounds):
         both = e.union(e.select("b", "a")).toDF("v", "n")
-        low = both.groupBy("v").agg(F.min("n").alias("m")).select("v", F.least("v", "m").alias("m"))
+        low = staged(both.groupBy("v").agg(F.min("n").alias("m")).select("v", F.least("v", "m").alias("m")))
         large = both.where("n > v").join(low, "v").select(F.col("m").alias("a"), F.col("n").alias("b"))
         large = staged(large.where("a <> b").distinct())
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
+        down = staged(large.groupBy("b").agg(F.min("a").alias("m")))
         small = large.join(down, "b")
         small = small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b")))
         e = staged(small.where("a <> b").distinct())

@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op3_simhash import op3_simhash
 from .op7_decontamination import OP7_SQL, op7_decontamination
 from .op8_mixing import OP8_SQL, op8_mixing
+from .op9_substring import OP9_SQL, op9_substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
+    "op9_substring": op9_substring,
 }
 ORACLES: dict[str, str] = {
     "op7_decontamination": OP7_SQL,
     "op8_mixing": OP8_SQL,
+    "op9_substring": OP9_SQL,
 }
