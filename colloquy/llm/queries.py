@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op3_simhash import op3_simhash
+from .op4_quality import op4_quality
+from .op6_toxicity import op6_toxicity
 from .op7_decontamination import OP7_SQL, op7_decontamination
 from .op8_mixing import OP8_SQL, op8_mixing
 from .op9_substring import OP9_SQL, op9_substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
+    "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
     "op9_substring": op9_substring,
