@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM_WORDS
 from .subword import Model, Shape, below, fit, held_out, sample, scored
 
-SHAPE = Shape(words=ALNUM_WORDS, lower=True, passage=64, pairs=False, once=True, least=400, rounds=3, rate=0.1)
+SHAPE = Shape(words=ALNUM_WORDS, lower=True, passage=64, pairs=False, once=True, least=400)
 MOST = 1600
 #: Bytes; longer texts are scored like any other but not learnt from.
 LONGEST = 200_000

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op10_sharding import op10_sharding
 from .op3_simhash import op3_simhash
 from .op4_quality import op4_quality
 from .op6_toxicity import op6_toxicity
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
     "op9_substring": op9_substring,
+    "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {
     "op7_decontamination": OP7_SQL,

@@ -33,8 +33,9 @@ class Shape:
     least: int = 0  # vectors in an average; fewer are filled up with zeros
     buckets: int = 18  # bits
     width: int = 8
-    rounds: int = 6
-    rate: float = 0.3
+    rounds: int = 3
+    steps: int = 1200  # at least so many batches, in more rounds if need be
+    rate: float = 0.1
     batch: int = 64
     seed: int = 5
 
@@ -148,14 +149,15 @@ def _descend(texts: list[str], labels: np.ndarray, shape: Shape) -> Model:
     bias = np.zeros(2, np.float32)
     seen_v, seen_o, seen_b = np.full(1 << shape.buckets, 1e-8, np.float32), np.full_like(out, 1e-6), np.full_like(bias, 1e-6)
     score = np.ones(len(bags), np.float32)
-    for turn in range(shape.rounds):
+    rounds = max(shape.rounds, -(-shape.steps * shape.batch // max(1, len(bags))))
+    for turn in range(rounds):
         use = np.ones(len(bags), bool)
-        if turn > 1 and shape.passage:
+        if turn > rounds // 3 and shape.passage:
             best = np.zeros(len(texts), np.float32)
             np.maximum.at(best, doc, score)
             use = (y == 0) | (score >= np.minimum(0.5, best[doc]))
         order = rng.permutation(np.flatnonzero(use))
-        rate = shape.rate * (1 - turn / shape.rounds)
+        rate = shape.rate * (1 - turn / rounds)
         for a in range(0, len(order), shape.batch):
             pick = order[a : a + shape.batch]
             ids, share = np.concatenate([bags[i][0] for i in pick]), np.concatenate([bags[i][1] for i in pick])
