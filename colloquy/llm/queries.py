@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op10_sharding import op10_sharding
+from .op1_licenses import OP1_SQL, op1_licenses
 from .op3_simhash import op3_simhash
 from .op4_quality import op4_quality
 from .op6_toxicity import op6_toxicity
@@ -15,6 +16,7 @@ from .op8_mixing import OP8_SQL, op8_mixing
 from .op9_substring import OP9_SQL, op9_substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op6_toxicity": op6_toxicity,
@@ -24,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {
+    "op1_licenses": OP1_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_mixing": OP8_SQL,
     "op9_substring": OP9_SQL,
