@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op10_sharding import op10_sharding
 from .op1_licenses import OP1_SQL, op1_licenses
+from .op2_embeddings import OP2_SQL, op2_embeddings
 from .op3_simhash import op3_simhash
 from .op4_quality import op4_quality
 from .op6_toxicity import op6_toxicity
@@ -17,6 +18,7 @@ from .op9_substring import OP9_SQL, op9_substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
+    "op2_embeddings": op2_embeddings,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op6_toxicity": op6_toxicity,
@@ -27,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_licenses": OP1_SQL,
+    "op2_embeddings": OP2_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_mixing": OP8_SQL,
     "op9_substring": OP9_SQL,
