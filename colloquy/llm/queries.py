@@ -11,6 +11,7 @@ from .op1_licenses import OP1_SQL, op1_licenses
 from .op2_embeddings import OP2_SQL, op2_embeddings
 from .op3_simhash import op3_simhash
 from .op4_quality import op4_quality
+from .op5_chat import op5_chat
 from .op6_toxicity import op6_toxicity
 from .op7_decontamination import OP7_SQL, op7_decontamination
 from .op8_mixing import OP8_SQL, op8_mixing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embeddings": op2_embeddings,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
+    "op5_chat": op5_chat,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_mixing": op8_mixing,
