@@ -74,8 +74,8 @@ def token_set(text: Column, stopwords: tuple[str, ...] = rules.TOOL_STOPWORDS) -
 def sentence_parts(text: Column, prefix: str, sentence: str = rules.PART_SENTENCE, skip: tuple[str, ...] = rules.GREETINGS, header: str = rules.SPEAKER_HEADER) -> Column:
     """Map from part id (prefix and number from 1) to sentence; greetings and announcements aren't offered as parts."""
     parts = F.transform(occurrences(text, sentence), lambda s: F.trim(F.regexp_replace(s, header, "")))
-    for pattern in skip:
-        parts = F.filter(parts, lambda s, p=pattern: ~s.rlike(p))
+    if skip:
+        parts = F.filter(parts, lambda s: ~s.rlike("|".join(f"(?:{p})" for p in skip)))
     parts = F.filter(parts, lambda s: s != "")
     return F.map_from_entries(F.transform(parts, lambda s, i: F.struct(F.concat(F.lit(prefix), (i + 1).cast("string")), s)))
 

@@ -82,7 +82,7 @@ def reconcile(candidates: DataFrame, reviews: DataFrame, parts: DataFrame, ord_:
     out = out.select("id", F.when(done, F.col("said")).otherwise("uncertain").alias("decision"), reason.alias("reason"), done.alias("completed"), F.when(done, F.col("q_text")).alias("question_evidence"), F.when(done, F.col("a_text")).alias("answer_evidence"))
     if not strict:
         return out
-    bad = own.agg((F.count_if(F.col("reason").isNotNull()) > 0).alias("_bad")).join(out.agg((F.count_if("reason = 'missing'") > 0).alias("_short")))
+    bad = own.agg((F.count_if(F.col("reason").isNotNull()) > 0).alias("_bad")).join(out.agg((F.count_if(F.col("reason") == "missing") > 0).alias("_short")))
     out = out.join(F.broadcast(bad))
     failed = F.col("_bad") | F.col("_short")
     cleared = {c: F.when(~failed, F.col(c)) for c in ("question_evidence", "answer_evidence")}
