@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_WORDS
 from .subword import Model, Shape, fit, held_out, sample, scored
 
-SHAPE = Shape(words=SPACE_WORDS, lower=False, passage=0, pairs=True)
+SHAPE = Shape(words=SPACE_WORDS, lower=False, passage=0, pairs=True, steps=600)
 MOST = 1600
 #: Bytes; longer texts are scored like any other but not learnt from.
 LONGEST = 200_000

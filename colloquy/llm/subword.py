@@ -2,8 +2,8 @@
 
 A word gives its own hashed vector and one for each run of 3 to 5 bytes of it with its borders marked, so words not seen in
 training share vectors with those that were. A passage is the average of its vectors; vectors and output layer are trained
-together by stochastic gradient descent with steps that shrink for a vector as its gradients add up. Everything is done on
-arrays of all bytes of a slice of documents at once.
+together by stochastic gradient descent with one falling step size for all vectors, in units of the usual gradient. Everything is
+done on arrays of all bytes of a slice of documents at once.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ class Shape:
     buckets: int = 18  # bits
     width: int = 8
     rounds: int = 3
-    steps: int = 1200  # at least so many batches, in more rounds if need be
-    rate: float = 0.1
+    steps: int = 2000  # at least so many batches, in more rounds if need be
+    rate: float = 0.15
     batch: int = 64
     seed: int = 5
 
@@ -147,7 +147,7 @@ def _descend(texts: list[str], labels: np.ndarray, shape: Shape) -> Model:
     out[:, 1] = rng.random(shape.width, np.float32)
     out[:, 0] = -out[:, 1]
     bias = np.zeros(2, np.float32)
-    seen_v, seen_o, seen_b = np.full(1 << shape.buckets, 1e-8, np.float32), np.full_like(out, 1e-6), np.full_like(bias, 1e-6)
+    seen_v, done, seen_o, seen_b = 1e-12, 0, np.full_like(out, 1e-6), np.full_like(bias, 1e-6)
     score = np.ones(len(bags), np.float32)
     rounds = max(shape.rounds, -(-shape.steps * shape.batch // max(1, len(bags))))
     for turn in range(rounds):
@@ -174,8 +174,9 @@ def _descend(texts: list[str], labels: np.ndarray, shape: Shape) -> Model:
             sort = np.argsort(ids, kind="stable")
             cut = np.flatnonzero(np.diff(ids[sort], prepend=-1))
             step, own = np.add.reduceat(back[sort], cut), ids[sort][cut]
-            seen_v[own] += (step * step).mean(1)
-            vectors[own] -= rate * step / np.sqrt(seen_v[own])[:, None]
+            seen_v += (step * step).mean()
+            done += 1
+            vectors[own] -= rate * step / np.sqrt(seen_v / done)
             step = mean.T @ g / len(pick)
             seen_o += step * step
             out -= rate * step / np.sqrt(seen_o)
