@@ -8,8 +8,8 @@ A phrase stands where its diagonal has all votes. For the longer templates, diag
 GAP apart are merged, so words put in or left out do no harm, and a merged span is verified: it must hold at least COVER of the
 template's pairs within STRETCH times the template's length.
 
-Everything is Spark's own expressions: arrays of words, explode, a broadcast join with the fixed templates, grouped bit sets and
-a window over the diagonals of one document. A document's votes are bounded by its length, and documents don't meet.
+Everything is Spark's own expressions: arrays of words, explode, a broadcast join with the fixed templates, grouped bit sets (a
+table in the shared folder, as phrases and spans both read it) and a window over the diagonals of one document. A document's votes are bounded by its length, and documents don't meet.
 
 Nulls: a null text has no words. A null doc_id is returned as it is. Repeated rows each get the same result. A text without words
 has 0 words and no labels; an empty table gives no rows. Extra columns are ignored.
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = 3
 COVER = 0.8
@@ -71,7 +73,7 @@ def votes(docs: DataFrame) -> DataFrame:
 def license_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, label, phrase, start, end, score): places of the phrases and verified spans of the templates."""
     key = ["doc_id", "text_key", "label", "phrase"]
-    found = votes(docs)
+    found = staged(votes(docs))
     exact = found.where("phrase and bit_count(seen) = pairs")
     exact = exact.select(*key, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("words")).cast("long").alias("end"), F.lit(1.0).alias("score"))
     along = Window.partitionBy("doc_id", "text_key", "template").orderBy("start")
