@@ -33,9 +33,14 @@ def literal_pattern(term: str, runs: dict[str, list[int]] | None = None) -> str:
 
 
 def first_place(text: Column, term: str, runs: dict[str, list[int]] | None = None) -> Column:
-    """Offset of the first valid place of a term, from 0; null if there is none."""
-    at = F.regexp_instr(text, F.lit(literal_pattern(term, runs)))
-    return F.when(at > 0, at - 1)
+    """Offset of the first valid place of a term, from 0; null if there is none. The pattern is only tried where the first place
+    may be none."""
+    at = F.instr(text, F.lit(term))
+    plain = ~F.substring(text, F.greatest(at - 2, F.lit(1)), F.lit(2)).rlike(r"^\p{IsHan}{2}$")
+    if is_katakana(term):
+        plain = plain & ~F.concat(F.substring(text, at - 1, F.when(at > 1, 1).otherwise(0)), F.substring(text, at + len(term), F.lit(1))).rlike(rules.KATAKANA)
+    found = F.regexp_instr(text, F.lit(literal_pattern(term, runs)))
+    return F.when(at == 0, F.lit(None).cast("int")).when(plain, at - 1).when(found > 0, found - 1)
 
 
 def concept_hit(text: Column, concept: Concept, runs: dict[str, dict[str, list[int]]] | None = None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ from colloquy.functions.hits import coverages, rarity_weight
 from colloquy.plans.plan import Plan
 
 
-def places(text: Column, term: str, most: int | None = 80) -> Column:
-    """Offsets from 0 of a term's places, which may overlap; at most so many."""
-    found = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.when(F.substring(text, i, F.lit(len(term))) == term, i - 1)), lambda i: i.isNotNull())
-    return F.slice(found, 1, most) if most else found
+def places(text: Column, term: str, most: int = 80) -> Column:
+    """Offsets from 0 of a term's first places, which may overlap: the text is cut before each of them."""
+    pieces = F.slice(F.split(text, f"(?={re.escape(term)})"), 1, most + 1)
+    lengths = F.transform(pieces, lambda p: F.length(p))
+    starts = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    return F.slice(F.filter(F.zip_with(starts, pieces, lambda i, p: F.when(F.startswith(p, F.lit(term)), i)), lambda i: i.isNotNull()), 1, most)
 
 
 def nearest_span(text: Column, terms: list[str], gap: int = 180) -> Column:
