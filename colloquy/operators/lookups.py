@@ -52,3 +52,8 @@ def error_kind(code: Column, message: Column, status: Column, name: Column | Non
         .when(has(rules.ACCESS_CODES), "model_access_denied")
         .otherwise("model_request_failed")
     )
+
+
+def allowed_url(url: Column, host: str) -> Column:
+    """An https address on the source's host."""
+    return F.coalesce(F.parse_url(url, F.lit("HOST")) == host, F.lit(False)) & F.startswith(url, F.lit("https://"))

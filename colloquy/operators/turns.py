@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy import rules
 from colloquy.functions import text as tx
-from colloquy.functions.hits import concept_hit, coverages, supported, term_share, weighted_coverage
+from colloquy.functions.hits import concept_hit, coverages, set_similarity, supported, term_share, weighted_coverage
 from colloquy.operators import roles
 from colloquy.operators.passages import best_windows, passage_windows, question_windows, recall_windows
 from colloquy.operators.ranking import keep_max
@@ -183,3 +183,17 @@ def tool_pairs(turns: DataFrame, terms: list[str]) -> DataFrame:
     near = near.withColumn("question", tx.excerpt(F.col("question_text"), F.col("question_span.start"))).withColumn("answer", tx.excerpt(F.col("answer_text"), F.col("answer_span.start")))
     near = keep_max(near, ["issue_id", "question_id", "ministry"], [F.asc("ord")])
     return near.drop("question_text", "answer_text", "question_span", "answer_span", "question_hit", "answer_hit", "exchange")
+
+
+def route_pairs(turns: DataFrame, words: list[str], least: float = 0.055, limit: int = 25) -> DataFrame:
+    """Pairs by the starter route's rules: question-like turns similar enough to the question's words, and every reply with an
+    agency's title; the most similar ones, cut short. Words of a turn are runs of letters, as rows aren't segmented."""
+    own = turns.withColumn("text", F.coalesce("speech", F.lit(""))).withColumn("ministry", roles.first_rule(F.col("speaker_position"))).withColumn("_order", F.coalesce("speech_order", F.lit(0)))
+    own = own.withColumn("score", set_similarity(words, F.col("text"), tx.word_tokens(F.col("text"), rules.ROUTE_STOPWORDS)))
+    pairs = ask_reply_pairs(
+        own, "issue_id", ["_order", "ord"], roles.is_route_legislator(F.col("speaker_group"), F.col("speaker_role"), F.col("speaker_position")), F.col("ministry").isNotNull() & (F.trim("text") != ""),
+        {"question": "text", "score": "score"}, {"answer": "text", "ministry": "ministry", "speaker": "speaker", "position": "speaker_position", "date": "date", "meeting": "meeting", "url": "speech_url", "ord": "ord"},
+    )
+    pairs = pairs.where(roles.is_question_like(F.col("question")) & (F.col("score") >= least))
+    pairs = pairs.withColumns({"question": F.left("question", F.lit(260)), "answer": F.left("answer", F.lit(220)), "speaker": F.coalesce("speaker", F.lit(rules.UNNAMED))})
+    return pairs.drop("exchange").orderBy(F.desc("score"), "issue_id", "ord").limit(limit)

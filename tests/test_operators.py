@@ -129,6 +129,17 @@ def test_pairs_and_retrieval(spark, cut, debate):
     assert turns.tool_pairs(debate, ["スタートアップ", "税制"]).select("ministry").collect()[0][0] == "経済産業省"
 
 
+def test_route(spark):
+    long = "スタートアップ支援の税制について、政府としてはどのようにお考えなのか、具体的な見解を伺いたいと存じます。"
+    rows = spark.createDataFrame([turn("m", 1, "山田", "党", None, long), turn("m", 2, "鈴木", None, "財務省局長", "税制を" + "続" * 300)], schema.TURNS)
+    got = turns.route_pairs(rows, ["スタートアップ", "税制"]).collect()
+    assert [(r["ministry"], len(r["answer"])) for r in got] == [("財務省", 220)]
+    assert turns.route_pairs(rows, ["農業"]).count() == 0
+    assert shares.weighted_shares(turns.route_pairs(rows, ["税制"]), ["date", "meeting", "question"], "ministry", "score", "ord").collect()[0]["percent"] == 100
+    urls = spark.createDataFrame([("https://a.jp/x",), ("https://b.jp/a.jp",), ("http://a.jp",), (None,)], "u string")
+    assert [r[0] for r in urls.select(lookups.allowed_url(F.col("u"), "a.jp")).collect()] == [True, False, False, False]
+
+
 def test_shares(spark):
     rows = spark.createDataFrame([("q1", "A"), ("q1", "A"), ("q1", "B"), ("q2", "A")], "c string, m string")
     got = {r["ministry"]: (r["percent"], r["n"]) for r in shares.fractional_shares(rows, "c", "m").collect()}
