@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.hits import coverages, rarity_weight
 from colloquy.plans.plan import Plan
 
+#: Vectors of a block, and the parts that the queries of a search are dealt into before they are cut into blocks.
+BLOCK = 1024
+QUERY_PARTS = 4
+
 
 def places(text: Column, term: str, most: int = 80) -> Column:
     """Offsets from 0 of a term's first places, which may overlap: the text is cut before each of them."""
@@ -68,3 +75,56 @@ def vector_cosine(vector: Column, query: list[float]) -> Column:
     dot = F.aggregate(F.zip_with(v, q, lambda a, b: a * b), F.lit(0.0), add)
     length = F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), add)) * F.lit(sum(float(x) ** 2 for x in query) ** 0.5)
     return F.when(length > 0, dot / length).otherwise(F.lit(0.0))
+
+
+def vector_blocks(rows: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
+    """(ids, width, data): at most BLOCK vectors of one width, in order of their ids, as unit vectors; one without length stays 0.
+
+    Rows without an id or a vector are in no block.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                own = batch.slice(i, BLOCK)
+                ids, lists = own.column(0).to_numpy(zero_copy_only=False), own.column(1)
+                widths, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+                starts = np.cumsum(widths) - widths
+                for w in np.unique(widths):
+                    at = np.flatnonzero(widths == w)
+                    at = at[np.argsort(ids[at], kind="stable")]
+                    v = flat[starts[at][:, None] + np.arange(w)].astype(np.float64)
+                    length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                    v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[at]], pa.list_(pa.int64())), pa.array([int(w)], pa.int32()), pa.array([v.tobytes()], pa.binary())], [f"{prefix}_ids", f"{prefix}_width", f"{prefix}_data"])
+
+    own = rows.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    return own.mapInArrow(pack, f"{prefix}_ids array<bigint>, {prefix}_width int, {prefix}_data binary")
+
+
+def nearest_vectors(rows: DataFrame, queries: DataFrame, key: str, vector: str, n: int = 8) -> DataFrame:
+    """(query, key, cosine) with the n rows nearest to each query, other rows than its own; ties by the id.
+
+    Blocks of queries meet all blocks of rows, as matrix products in tasks; each pair of blocks gives at most n rows a query, and
+    a rank over these decides. Cosines are compared to 9 digits; vectors of another width are no neighbours. An id names one
+    row. No queries, or no other rows, give no rows.
+    """
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.to_pylist():
+                if b["q_width"] != b["r_width"]:
+                    continue
+                asks, ids = np.array(b["q_ids"], np.int64), np.array(b["r_ids"], np.int64)
+                q, r = (np.frombuffer(b[f"{x}_data"], np.float64).reshape(len(i), -1) for x, i in (("q", asks), ("r", ids)))
+                cosines = np.round(q @ r.T, 9)
+                cosines[asks[:, None] == ids] = -np.inf
+                order = np.argsort(-cosines, axis=1, kind="stable")[:, :n]
+                found = np.take_along_axis(cosines, order, axis=1)
+                keep = np.isfinite(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asks, keep.sum(axis=1))), pa.array(ids[order][keep]), pa.array(found[keep])], ["query", key, "cosine"])
+
+    pairs = vector_blocks(rows, key, vector, "r").crossJoin(vector_blocks(queries.repartition(QUERY_PARTS), key, vector, "q"))
+    near = pairs.mapInArrow(best, f"query bigint, `{key}` bigint, cosine double")
+    along = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
+    return near.withColumn("_nth", F.row_number().over(along)).where(F.col("_nth") <= n).drop("_nth")

@@ -235,10 +235,17 @@ def blended_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS cosine FROM embeddings, q WHERE vec_id <> 0 ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 8""")
 def dense_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The search below for one query."""
     own = table(spark, sf, "embeddings")
-    one = own.where("vec_id = 0").first()["embedding"]
-    best = own.where("vec_id <> 0").select("vec_id", scoring.vector_cosine(F.col("embedding"), one).alias("cosine")).orderBy(F.desc("cosine"), "vec_id").limit(8)
-    return best.select("vec_id", r6("cosine"))
+    return scoring.nearest_vectors(own, own.where("vec_id = 0"), "vec_id", "embedding").select("vec_id", r6("cosine"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(e.v, q.v), 9) AS cosine FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query, vec_id, round(cosine, 6) AS cosine FROM c QUALIFY row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) <= 8""")
+def dense_cosine_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row whose id is divisible by 100 as a query, against all rows."""
+    own = table(spark, sf, "embeddings")
+    return scoring.nearest_vectors(own, own.where("vec_id % 100 = 0"), "vec_id", "embedding").select("query", "vec_id", r6("cosine"))
 
 
 # --- ranks and dedup -------------------------------------------------------------------------------
