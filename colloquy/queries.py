@@ -562,15 +562,38 @@ def _scratch(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex}"
 
 
+_TEXTS = ["doc_id", "text", "lang", "source"]
+
+
+def _reread_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """documents written as JSON lines, texts and all, and read again."""
+    path = _scratch(spark)
+    sinks.write_jsonl(table(spark, sf, "documents").select(*_TEXTS), path)
+    return spark.read.schema("doc_id bigint, text string, lang string, source string").json(path)
+
+
+def _reread_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """documents exported as CSV, texts and all, and read again; empty texts come back as null."""
+    path = _scratch(spark)
+    sinks.write_csv(table(spark, sf, "documents"), path, _TEXTS)
+    return readers.read_csv(spark, path, "doc_id string, text string, lang string, source string")
+
+
 @query("SELECT doc_id, lang, source FROM documents")
 def jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark)
-    sinks.write_jsonl(table(spark, sf, "documents").select("doc_id", "lang", "source"), path)
-    return spark.read.schema("doc_id bigint, lang string, source string").json(path)
+    return _reread_jsonl(spark, sf).select("doc_id", "lang", "source")
+
+
+@query("SELECT doc_id, md5(text) AS digest, lang, source FROM documents")
+def jsonl_roundtrip_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _reread_jsonl(spark, sf).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "lang", "source")
 
 
 @query("SELECT doc_id::VARCHAR AS doc_id, lang, source FROM documents")
 def csv_export(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark)
-    sinks.write_csv(table(spark, sf, "documents"), path, ["doc_id", "lang", "source"])
-    return spark.read.option("header", True).schema("doc_id string, lang string, source string").csv(path)
+    return _reread_csv(spark, sf).select("doc_id", "lang", "source")
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, md5(coalesce(text, '')) AS digest, lang, source FROM documents")
+def csv_export_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _reread_csv(spark, sf).select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "lang", "source")

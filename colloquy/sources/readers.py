@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy import schema
 from colloquy.functions.text import normalize
+from colloquy.sources.sinks import CSV
 
 SPEECHES, MEETINGS = 100, 10
 
@@ -36,6 +37,11 @@ def flatten_meetings(meetings: DataFrame) -> DataFrame:
     )
 
 
+def read_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """What sinks.write_csv wrote; values may hold line ends and quotes. Missing and empty values are null."""
+    return spark.read.options(header=True, multiLine=True, encoding="UTF-8", **CSV).schema(columns).csv(path)
+
+
 def read_labeled(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.LABELED).json(path)
 

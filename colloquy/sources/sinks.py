@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 BOM = "﻿"
+#: What writing and reading must share for texts to come back as they are.
+CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_jsonl(rows: DataFrame, path: str) -> int:
@@ -20,9 +22,9 @@ def write_jsonl(rows: DataFrame, path: str) -> int:
 
 def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
     """A fixed choice of columns with a header in every file; missing values are empty. The mark that some spreadsheets need
-    before UTF-8 is put before the first name of the header."""
+    before UTF-8 is put before the first name of the header. Quotes are doubled, and blanks at the ends stay."""
     own = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
-    own.withColumnRenamed(columns[0], BOM + columns[0]).write.option("header", True).option("emptyValue", "").option("encoding", "UTF-8").csv(path)
+    own.withColumnRenamed(columns[0], BOM + columns[0]).write.option("header", True).option("emptyValue", "").option("encoding", "UTF-8").options(**CSV).csv(path)
 
 
 def append_row(table: DataFrame, path: str, values: dict) -> dict:

@@ -1,5 +1,7 @@
 """Jobs over all rows, where a smaller one had been registered."""
 
+import hashlib
+
 import numpy as np
 
 from colloquy.operators import scoring
@@ -37,3 +39,14 @@ def test_dense_neighbours_edges(spark, tmp_path, monkeypatch):
     assert QUERIES["dense_cosine_topk"](spark, str(tmp_path)).count() == 0
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/none/embeddings.parquet")
     assert QUERIES["dense_cosine_neighbours"](spark, f"{tmp_path}/none").count() == 0 == QUERIES["dense_cosine_topk"](spark, f"{tmp_path}/none").count()
+
+
+def test_exports_hold_texts(spark, tmp_path):
+    texts = ["a\nb", "a\r\nb\rc", 'say "so", twice ""', "  blanks \t ", "back\\slash \\\" and \\", "", "été, \u2028 日本", "\n", '"', "x" * 100_000, "\ufeffmark", "#,'"]
+    rows = [(i, t, "en", "web") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = {(str(i), hashlib.md5(t.encode()).hexdigest(), "en", "web") for i, t, *_ in rows}
+    for name in ("csv_export_text", "jsonl_roundtrip_text"):
+        assert {(str(r["doc_id"]), r["digest"], r["lang"], r["source"]) for r in QUERIES[name](spark, str(tmp_path)).collect()} == whole
+    for name in ("csv_export", "jsonl_roundtrip"):
+        assert sorted(str(r["doc_id"]) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(str(i) for i, *_ in rows)
