@@ -100,6 +100,15 @@ def contiguous_runs(spark: SparkSession, sf: str) -> DataFrame:
     return turns.contiguous_runs(table(spark, sf, "conversations").where("turn % 3 <> 1"), "conv_id", None, "turn").select("conv_id", "turn", "run")
 
 
+@query("""WITH p AS (SELECT conv_id, turn, turn + turn // 3 AS place FROM conversations),
+b AS (SELECT *, CASE WHEN place = lag(place) OVER (PARTITION BY conv_id ORDER BY place) + 1 THEN 0 ELSE 1 END AS b FROM p)
+SELECT conv_id, turn, sum(b) OVER (PARTITION BY conv_id ORDER BY place)::BIGINT AS run FROM b""")
+def contiguous_runs_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All turns, in an order with a gap before every third."""
+    own = table(spark, sf, "conversations").withColumn("place", F.expr("turn + turn div 3"))
+    return turns.contiguous_runs(own, "conv_id", None, "place").select("conv_id", "turn", "run")
+
+
 @query("""SELECT conv_id, turn, concat_ws(' ', lag(k, 2) OVER w, lag(k, 1) OVER w) AS previous_context
 FROM (SELECT *, CASE WHEN role <> 'system' THEN right(text, 350) END AS k FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def previous_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -429,30 +438,43 @@ pr AS (SELECT doc_id, lang AS predicted, cosine FROM cs WHERE cosine > 0 QUALIFY
 ev AS (SELECT d.doc_id, d.lang AS actual, pr.predicted FROM documents d LEFT JOIN pr ON d.doc_id = pr.doc_id WHERE d.doc_id % 10 >= 8)"""
 
 
-def _centroids(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.train_centroids(table(spark, sf, "documents").where("doc_id % 10 < 8"), "lang", tokens=tx.word_tokens(F.col("text")))
+def _fold(spark: SparkSession, sf: str, train: bool) -> DataFrame:
+    """One side of the reference's 80/20 split, by the place of a document's id among all of them; without an id, on no side."""
+    own = table(spark, sf, "documents")
+    places = classify.split(ranking.numbered(own.select("doc_id").distinct(), ["doc_id"], "place"), F.col("place"))
+    return own.join(places.where(F.col("is_train") == train).select("doc_id"), "doc_id")
+
+
+def _centroids(rows: DataFrame) -> DataFrame:
+    return classify.train_centroids(rows, "lang", tokens=tx.word_tokens(F.col("text")))
 
 
-def _predicted(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "documents").where("doc_id % 10 >= 8")
-    found = classify.similarities(own, "doc_id", _centroids(spark, sf), "lang", tokens=tx.word_tokens(F.col("text")))
+def _predicted(rows: DataFrame, centroids: DataFrame) -> DataFrame:
+    found = classify.similarities(rows, "doc_id", centroids, "lang", tokens=tx.word_tokens(F.col("text")))
     return classify.predictions(found.withColumn("cosine", F.round("cosine", 9)), "doc_id", "lang")
 
 
 def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "documents").where("doc_id % 10 >= 8").select("doc_id", F.col("lang").alias("actual"))
-    return own.join(_predicted(spark, sf), "doc_id", "left")
+    own = _fold(spark, sf, False)
+    return own.select("doc_id", F.col("lang").alias("actual")).join(_predicted(own, _centroids(_fold(spark, sf, True))), "doc_id", "left")
 
 
 @query(f"WITH {_BAG} SELECT lang, token, sum(n)::BIGINT AS n FROM bag WHERE doc_id % 10 < 8 GROUP BY lang, token")
 def centroid_train(spark: SparkSession, sf: str) -> DataFrame:
     """The training side of the reference's own 80/20 split by position."""
-    return _centroids(spark, sf)
+    return _centroids(_fold(spark, sf, True))
 
 
 @query(f"WITH {_PREDICT} SELECT doc_id, predicted, round(cosine, 6) AS cosine FROM pr")
 def cosine_predict(spark: SparkSession, sf: str) -> DataFrame:
-    return _predicted(spark, sf).select("doc_id", "predicted", r6("cosine"))
+    return _predicted(_fold(spark, sf, False), _centroids(_fold(spark, sf, True))).select("doc_id", "predicted", r6("cosine"))
+
+
+@query(ORACLES["cosine_predict"].replace(" WHERE doc_id % 10 < 8", "").replace(" WHERE doc_id % 10 >= 8", "").replace(" WHERE b.doc_id % 10 >= 8", ""))
+def cosine_predict_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document by the centroids of all, as the reference predicts."""
+    own = table(spark, sf, "documents")
+    return _predicted(own, _centroids(own)).select("doc_id", "predicted", r6("cosine"))
 
 
 @query(f"WITH {_PREDICT} SELECT count(*)::BIGINT AS total, count(predicted)::BIGINT AS covered, count(*) FILTER (actual = predicted)::BIGINT AS correct, round(count(predicted) / count(*)::DOUBLE, 4) AS coverage, round(count(*) FILTER (actual = predicted) / count(predicted)::DOUBLE, 4) AS accuracy FROM ev")
@@ -468,9 +490,9 @@ def confusion_top(spark: SparkSession, sf: str) -> DataFrame:
 # --- reviews ---------------------------------------------------------------------------------------
 
 
-def _reviews(spark: SparkSession, sf: str) -> DataFrame:
-    """A review row for each label; every eleventh id is there twice, some are malformed."""
-    own = table(spark, sf, "labels").where("doc_id % 5 <> 4").withColumn("id", F.col("doc_id").cast("string"))
+def _reviews(spark: SparkSession, sf: str, labels: str = "doc_id % 5 <> 4") -> DataFrame:
+    """A review row for each label taken; every eleventh id is there twice, some are malformed."""
+    own = table(spark, sf, "labels").where(labels).withColumn("id", F.col("doc_id").cast("string"))
     own = own.select("id", F.lit("who").alias("beneficiary"), F.when(F.col("doc_id") % 13 != 0, "what").alias("activity"), F.expr("CASE WHEN toxic = 1 THEN 'different' WHEN quality = 0 THEN 'unclear' ELSE 'same' END").alias("relation"), F.expr("CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE 'why' END").alias("comparison"), F.expr("CASE WHEN quality = 1 THEN 'accept' ELSE 'uncertain' END").alias("decision"), F.lit("s1").alias("q"), F.lit("s2").alias("a"), F.lit(0).alias("ord"), "doc_id")
     return own.union(own.where("doc_id % 11 = 0").withColumn("ord", F.lit(1))).drop("doc_id")
 
@@ -487,9 +509,19 @@ j AS (SELECT p.id, s.said, t.id IS NOT NULL AS twice, p.p[1] AS q, p.p[2] AS a F
 k AS (SELECT *, coalesce(said = 'accept' AND (q IS NULL OR a IS NULL), false) AS alien, said IS NOT NULL AND NOT twice AND NOT coalesce(said = 'accept' AND (q IS NULL OR a IS NULL), false) AS done FROM j)
 SELECT id, CASE WHEN done THEN said ELSE 'uncertain' END AS decision, CASE WHEN said IS NULL AND NOT twice THEN 'missing' WHEN twice THEN 'duplicate_id' WHEN alien THEN 'foreign_reference' END AS reason, done AS completed, CASE WHEN done THEN q END AS question_evidence, CASE WHEN done THEN a END AS answer_evidence FROM k""")
 def review_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    return _reconciled(spark, sf, _reviews(spark, sf))
+
+
+def _reconciled(spark: SparkSession, sf: str, reviews: DataFrame) -> DataFrame:
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     parts = docs.select("id", F.explode(tx.sentence_parts(F.col("text"), "s", LATIN_PART, (), "^$")).alias("part_id", "text"))
-    return review.reconcile(docs.select("id"), _reviews(spark, sf), parts)
+    return review.reconcile(docs.select("id"), reviews, parts)
+
+
+@query(ORACLES["review_reconcile"].replace(" WHERE doc_id % 5 <> 4", ""))
+def review_reconcile_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The reviews of all labels."""
+    return _reconciled(spark, sf, _reviews(spark, sf, "true"))
 
 
 @query(f"WITH {_REVIEWS} SELECT reason, count(*)::BIGINT AS n FROM chk WHERE reason IS NOT NULL GROUP BY reason")
@@ -498,6 +530,13 @@ def validation_counters(spark: SparkSession, sf: str) -> DataFrame:
     return review.failure_counts(review.checked(_reviews(spark, sf), docs))
 
 
+@query(ORACLES["validation_counters"].replace(" WHERE doc_id % 5 <> 4", ""))
+def validation_counters_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The reviews of all labels."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    return review.failure_counts(review.checked(_reviews(spark, sf, "true"), docs))
+
+
 @query("SELECT count(*) FILTER (quality = 1 AND toxic = 0)::BIGINT AS accepted, count(*) FILTER (toxic = 1)::BIGINT AS rejected, count(*) FILTER (quality = 0 AND toxic = 0)::BIGINT AS uncertain, count(*) FILTER (doc_id % 2 = 0)::BIGINT AS completed FROM labels")
 def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "labels").withColumn("decision", F.expr("CASE WHEN toxic = 1 THEN 'reject' WHEN quality = 1 THEN 'accept' ELSE 'uncertain' END")).withColumn("completed", F.col("doc_id") % 2 == 0)

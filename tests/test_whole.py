@@ -50,3 +50,29 @@ def test_exports_hold_texts(spark, tmp_path):
         assert {(str(r["doc_id"]), r["digest"], r["lang"], r["source"]) for r in QUERIES[name](spark, str(tmp_path)).collect()} == whole
     for name in ("csv_export", "jsonl_roundtrip"):
         assert sorted(str(r["doc_id"]) for r in QUERIES[name](spark, str(tmp_path)).collect()) == sorted(str(i) for i, *_ in rows)
+
+
+def test_no_rows_are_filtered(spark, sf):
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    runs = QUERIES["contiguous_runs_whole"](spark, sf).collect()
+    assert len(runs) == read("conversations").count() and max(r["run"] for r in runs) > 1
+    words = {r["doc_id"] for r in read("documents").where("text rlike '[A-Za-z][A-Za-z0-9]|[A-Za-z0-9][A-Za-z]'").select("doc_id").collect()}
+    assert {r["doc_id"] for r in QUERIES["cosine_predict_whole"](spark, sf).collect()} == words
+    labelled = {str(r["doc_id"]) for r in read("labels").collect()}
+    whole = QUERIES["review_reconcile_whole"](spark, sf).collect()
+    assert len(whole) == read("documents").count()
+    bad = {i for i in labelled if int(i) % 13 == 0 or int(i) % 17 == 0}
+    assert not [r for r in whole if r["id"] in labelled - bad and r["reason"] == "missing"]
+    semantic = sum((int(i) % 13 == 0) * (1 + (int(i) % 11 == 0)) for i in labelled)
+    assert {r["reason"]: r["n"] for r in QUERIES["validation_counters_whole"](spark, sf).collect()}["missing_semantic_field"] == semantic
+
+
+def test_folds_go_by_place(spark, tmp_path):
+    """Ids that all end in 0 or 9 have both sides of the split."""
+    for digit in (0, 9):
+        rows = [(10 * i + digit, "alpha beta" if i % 2 else "gamma delta", "en" if i % 2 else "fr") for i in range(40)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/{digit}/documents.parquet")
+        got = QUERIES["evaluate_split"](spark, f"{tmp_path}/{digit}").first()
+        assert (got["total"], got["covered"], got["correct"]) == (8, 8, 8)
+        trained = {(r["lang"], r["token"]): r["n"] for r in QUERIES["centroid_train"](spark, f"{tmp_path}/{digit}").collect()}
+        assert trained == {("en", "alpha"): 16, ("en", "beta"): 16, ("fr", "gamma"): 16, ("fr", "delta"): 16}
