@@ -4,9 +4,12 @@ Every document is cut into words (A-Z lower-cased), and the hash of every pair o
 pairs of the license templates. A pair at word i of the document and word j of the template votes for the diagonal i - j, where a
 copy of the template would start. Votes are gathered for each document, template and diagonal as a bit set of the j seen.
 
-A phrase stands where its diagonal has all votes. For the longer templates, diagonals with two votes or more that lie at most
-GAP apart are merged, so words put in or left out do no harm, and a merged span is verified: it must hold at least COVER of the
-template's pairs within STRETCH times the template's length.
+A phrase stands where its diagonal has all votes. For the longer templates, a stretch of the document of at most STRETCH times
+the template's length must hold at least COVER of its pairs, on diagonals with two votes or more that lie no further apart than
+that length allows, so words put in or left out do no harm. Every diagonal is the lowest of its own stretch: a complete copy
+counts whatever stands beside it, and copies are never joined into one that is too long.
+
+OP1_SQL keeps the earlier rule, which merged diagonals at most GAP apart into one span; it finds no more than this one.
 
 Everything is Spark's own expressions: arrays of words, explode, a broadcast join with the fixed templates, grouped bit sets (a
 table in the shared folder, as phrases and spans both read it) and a window over the diagonals of one document. A document's votes are bounded by its length, and documents don't meet.
@@ -71,20 +74,27 @@ def votes(docs: DataFrame) -> DataFrame:
 
 
 def license_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, label, phrase, start, end, score): places of the phrases and verified spans of the templates."""
+    """(doc_id, text_key, label, phrase, start, end, score): places of the phrases and verified stretches of the templates, of which
+    those of one copy may overlap."""
     key = ["doc_id", "text_key", "label", "phrase"]
     found = staged(votes(docs))
     exact = found.where("phrase and bit_count(seen) = pairs")
     exact = exact.select(*key, F.col("start").cast("long").alias("start"), (F.col("start") + F.col("words")).cast("long").alias("end"), F.lit(1.0).alias("score"))
-    along = Window.partitionBy("doc_id", "text_key", "template").orderBy("start")
+    # Templates have at most 62 pairs, so votes are bits of a long and shifts stay below 64.
+    far = int(max(len(t.split()) for _, t in TEMPLATES) * (STRETCH - 1))
+    along = Window.partitionBy("doc_id", "text_key", "template").orderBy("start").rangeBetween(0, far)
     near = found.where("not phrase and bit_count(seen) > 1")
-    near = near.withColumn("apart", (F.col("start") - F.lag("start").over(along) > GAP).cast("int"))
-    near = near.withColumn("span", F.sum(F.coalesce("apart", F.lit(0))).over(along))
-    low = F.expr("start + bit_count((seen & -seen) - 1)")
-    high = F.expr("start + length(bin(seen)) + 1")
-    near = near.groupBy(*key, "template", "pairs", "words", "span").agg(F.min(low).alias("start"), F.max(high).alias("end"), F.bit_or("seen").alias("seen"))
-    near = near.withColumn("score", F.bit_count("seen") / F.col("pairs")).where(F.col("score") >= COVER).where(F.col("end") - F.col("start") <= F.col("words") * STRETCH)
-    return exact.union(near.select(*key, F.col("start").cast("long"), F.col("end").cast("long"), "score"))
+    near = near.withColumn("all", F.bit_or("seen").over(along)).withColumn("ds", F.collect_list(F.struct("start", "seen")).over(along))
+    near = near.where(F.bit_count("all") / F.col("pairs") >= COVER)
+    near = near.withColumn("ds", F.expr(f"filter(ds, d -> d.start <= start + floor(words * {STRETCH - 1}))"))
+    # The votes of diagonal d within the stretch that begins at word lo.
+    last = f"cast(lo + floor(words * {STRETCH}) - 2 - d.start as int)"
+    held = f"if({last} < 0, 0L, shiftleft(shiftright(d.seen & (shiftleft(1L, least({last}, 61) + 1) - 1), greatest(lo - d.start, 0)), greatest(lo - d.start, 0)))"
+    near = near.withColumn("los", F.expr("transform(ds, d -> cast(d.start + bit_count((d.seen & -d.seen) - 1) as int))"))
+    near = near.withColumn("best", F.expr(f"array_max(transform(sequence(array_min(los), array_max(los)), lo -> struct(bit_count(aggregate(ds, 0L, (m, d) -> m | {held})) as n, lo as lo)))"))
+    near = near.withColumn("score", F.col("best.n") / F.col("pairs")).where(F.col("score") >= COVER).withColumn("lo", F.col("best.lo"))
+    near = near.withColumn("end", F.expr(f"array_max(transform(ds, d -> if({held} = 0, 0, d.start + length(bin({held})) + 1)))"))
+    return exact.union(near.select(*key, F.col("lo").cast("long").alias("start"), F.col("end").cast("long"), "score"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
