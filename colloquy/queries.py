@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +12,7 @@ from colloquy.functions import text as tx
 from colloquy.operators import classify, lookups, passages, ranking, review, roles, scoring, shares, turns
 from colloquy.plans.plan import Concept, Plan
 from colloquy.sources import readers, sinks
+from colloquy.staging import new_path
 from colloquy.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -596,24 +596,19 @@ def ttl_lookup(spark: SparkSession, sf: str) -> DataFrame:
 # --- sources and sinks -----------------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return f"{root}/{uuid.uuid4().hex}"
-
-
 _TEXTS = ["doc_id", "text", "lang", "source"]
 
 
 def _reread_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     """documents written as JSON lines, texts and all, and read again."""
-    path = _scratch(spark)
+    path = new_path(spark, "export")
     sinks.write_jsonl(table(spark, sf, "documents").select(*_TEXTS), path)
     return spark.read.schema("doc_id bigint, text string, lang string, source string").json(path)
 
 
 def _reread_csv(spark: SparkSession, sf: str) -> DataFrame:
     """documents exported as CSV, texts and all, and read again; empty texts come back as null."""
-    path = _scratch(spark)
+    path = new_path(spark, "export")
     sinks.write_csv(table(spark, sf, "documents"), path, _TEXTS)
     return readers.read_csv(spark, path, "doc_id string, text string, lang string, source string")
 
