@@ -1,39 +1,22 @@
-"""What several operators share: staged tables, byte-level words and hashes, connected components."""
+"""What several operators share: byte-level words and hashes, connected components."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.staging import staged
+
 SPACE_WORDS = 1
 ALNUM_WORDS = 2
 #: Bytes of text that a task works on at once; one longer document is worked on alone.
 SLICE_BYTES = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one under the warehouse where none is set, as in tests."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_dir:
-        return set_dir
-    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jdir.isDefined():
-        return jdir.get()
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: a lost executor costs no earlier stage."""
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, or a longer one where df has a column of that name already."""
     taken = {c.lower() for c in df.columns}
@@ -161,16 +144,17 @@ def starts_inside(first_word: np.ndarray, n: int, total: int) -> np.ndarray:
 # --- connected components ------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id on an edge (a, b): component is the smallest id that can be reached.
 
     Alternating large and small stars: each round is two grouped minimums and two joins over the edges, so no vertex's
     neighbours are gathered in one place: the minimums are tables of their own, so that Spark can split a vertex with very many
-    edges in the joins. Each round's edges go to a table in the shared folder.
+    edges in the joins. Each round's edges go to a table in the shared folder, and rounds go on until nothing changes; their number
+    grows with the logarithm of a component's length.
     """
     e = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.union(e.select("b", "a")).toDF("v", "n")
         low = staged(both.groupBy("v").agg(F.min("n").alias("m")).select("v", F.least("v", "m").alias("m")))
         large = both.where("n > v").join(low, "v").select(F.col("m").alias("a"), F.col("n").alias("b"))
@@ -183,4 +167,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if (n, s) == before:
             return e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component")).union(e.select("a", "a").distinct())
         before = (n, s)
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

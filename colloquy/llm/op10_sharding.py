@@ -21,11 +21,13 @@ import uuid
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir
+from colloquy.staging import new_path
+
+from .common import free_name
 
 TARGET = 128 << 20
 BASE = 1 << 20
@@ -100,14 +102,33 @@ class ShardStore:
         full = sorted(n for n in sizes if rows.get(n))
         return [{"shard": f"{version:08d}-{i:05d}", "file": f"{folder}/{n}", "rows": rows[n], "bytes": sizes[n], "tier": self._tier(sizes[n])} for i, n in enumerate(full)]
 
+    def _check(self, schema: str | None, arrival: DataFrame) -> None:
+        if schema is not None and T.StructType.fromJson(json.loads(schema)).simpleString() != arrival.schema.simpleString():
+            raise ValueError(f"the store has the columns {T.StructType.fromJson(json.loads(schema)).simpleString()}")
+
     def append(self, arrival: DataFrame) -> int:
         """Adds an arrival as new shards, one or more for each of its partitions; gives the new version."""
         now = self.manifest()
-        if now["schema"] is not None and T.StructType.fromJson(json.loads(now["schema"])).simpleString() != arrival.schema.simpleString():
-            raise ValueError(f"the store has the columns {T.StructType.fromJson(json.loads(now['schema'])).simpleString()}")
+        self._check(now["schema"], arrival)
         folder = f"data/{uuid.uuid4().hex}"
         arrival.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        return self._commit(now["version"], now["schema"] or arrival.schema.json(), now["shards"] + self._written(folder, now["version"] + 1))
+        return self.commit_written(folder, arrival)
+
+    def dealt(self, rows: DataFrame, arrivals: int) -> list[str]:
+        """Writes rows once, as the shards of several arrivals (by a hash of doc_id); gives their folders, which nobody reads until
+        commit_written names them."""
+        self._check(self.manifest()["schema"], rows)
+        folder, name = f"data/{uuid.uuid4().hex}", free_name(rows, "arrival")
+        own = rows.withColumn(name, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)))
+        own.write.option("compression", "zstd").partitionBy(name).parquet(f"{self.root}/{folder}")
+        there = {s.getPath().getName() for s in self._fs.listStatus(self._path(folder))}
+        return [f"{folder}/{n}" for n in (f"{name}={i}" for i in range(arrivals)) if n in there]
+
+    def commit_written(self, folder: str, like: DataFrame) -> int:
+        """Adds the files of a finished write with like's columns as new shards; gives the new version."""
+        now = self.manifest()
+        self._check(now["schema"], like)
+        return self._commit(now["version"], now["schema"] or like.schema.json(), now["shards"] + self._written(folder, now["version"] + 1))
 
     def _runs(self, shards: list[dict]) -> list[list[dict]]:
         """Which shards are merged next: runs of one tier, each up to the target size."""
@@ -153,22 +174,21 @@ class ShardStore:
             return self.spark.createDataFrame([], T.StructType.fromJson(json.loads(now["schema"])))
         return self._read(now["schema"], now["shards"])
 
-    def vacuum(self) -> int:
-        """Deletes data files that the newest manifest doesn't name, and older manifests; gives how many data files went."""
+    def vacuum(self, keep: tuple[str, ...] = ()) -> int:
+        """Deletes data files that the newest manifest doesn't name and that aren't in the folders to keep, and older manifests;
+        gives how many data files went."""
         now = self.manifest()
-        keep, gone = {s["file"] for s in now["shards"]}, 0
+        named, gone = {s["file"] for s in now["shards"]}, 0
         if not self._fs.exists(self._path("data")):
             return 0
-        for folder in self._fs.listStatus(self._path("data")):
-            name = f"data/{folder.getPath().getName()}"
-            own = [s.getPath() for s in self._fs.listStatus(folder.getPath())]
-            stale = [p for p in own if f"{name}/{p.getName()}" not in keep]
-            if len(stale) == len(own):
-                self._fs.delete(folder.getPath(), True)
-            else:
-                for p in stale:
-                    self._fs.delete(p, False)
-            gone += sum(p.getName().endswith(".parquet") for p in stale)
+        root = self._fs.makeQualified(self._path("")).toUri().getPath().rstrip("/") + "/"
+        files = self._fs.listFiles(self._path("data"), True)
+        while files.hasNext():
+            path = files.next().getPath()
+            name = path.toUri().getPath().removeprefix(root)
+            if name not in named and not name.startswith(tuple(f"{k}/" for k in keep)):
+                self._fs.delete(path, False)
+                gone += name.endswith(".parquet")
         for s in self._fs.listStatus(self._path("_manifest")):
             if s.getPath().getName() != f"{now['version']:08d}.json":
                 self._fs.delete(s.getPath(), False)
@@ -178,25 +198,29 @@ class ShardStore:
         """Every row's doc_id with its shard in the newest version: shard, tier, shard_rows, shard_bytes, version."""
         now = self.manifest()
         schema = "file_name string, shard string, tier int, shard_rows long, shard_bytes long, version long"
-        named = [(s["file"].rpartition("/")[2], s["shard"], s["tier"], s["rows"], s["bytes"], now["version"]) for s in now["shards"]]
-        rows = self.read().select("doc_id", _file_name().alias("file_name"))
+        named = [("/".join(s["file"].split("/")[-2:]), s["shard"], s["tier"], s["rows"], s["bytes"], now["version"]) for s in now["shards"]]
+        rows = self.read().select("doc_id", _file_name(2).alias("file_name"))
         return rows.join(self.spark.createDataFrame(named, schema), "file_name").drop("file_name")
 
 
-def _file_name():
-    return F.element_at(F.split(F.input_file_name(), "/"), -1)
+def _file_name(parts: int = 1) -> Column:
+    """The last parts of the path of a row's file."""
+    return F.substring_index(F.input_file_name(), "/", -parts)
 
 
 def sharded(docs: DataFrame, root: str, arrivals: int = ARRIVALS, target: int = TARGET, base: int = BASE, fan_in: int = FAN_IN) -> ShardStore:
-    """A store at root with the rows of docs, appended in arrivals dealt by a hash of doc_id and compacted after each."""
+    """A store at root with the rows of docs, in arrivals dealt by a hash of doc_id and compacted after each. docs is read once."""
     store = ShardStore(docs.sparkSession, root, target, base, fan_in)
-    for i in range(arrivals):
-        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == i))
+    folders = store.dealt(docs, arrivals)
+    if not folders:
+        store.append(docs.limit(0))
+    for i, folder in enumerate(folders):
+        store.commit_written(folder, docs)
         store.compact()
-        store.vacuum()
+        store.vacuum(tuple(folders[i + 1 :]))
     return store
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return sharded(docs, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}").placed()
+    return sharded(docs, new_path(spark, "shards")).placed()

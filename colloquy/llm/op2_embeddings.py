@@ -32,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, staged
+from colloquy.staging import staged
+
+from .common import components
 
 COSINE = 0.9
 SAMPLE = 2048

@@ -17,7 +17,9 @@ flipped, and linked to the smallest in a group. Fingerprints at two bits or fewe
 or fewer, so this is exact and linear in the group's size, and no group has more than 65 fingerprints.
 
 Nulls: a null text has fingerprint zero; a null doc_id takes its component from the other documents and is never its name
-(null if there are none). Repeated rows are returned as often as they are given. An empty table gives no rows.
+(null if there are none). A very long text is counted in runs of RUN shingles, whole. Repeated rows are returned as often as they
+are given; rows of one doc_id with different texts are rows of their own. An empty table gives no rows. Extra columns are ignored,
+and kept by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, components, spaced, staged, text_slices, word_spans
+from colloquy.staging import staged
+
+from .common import SPACE_WORDS, components, free_name, spaced, text_slices, word_spans
 
 SHINGLE = 3
 SEED = 42
@@ -81,12 +85,12 @@ def simhash(column: pa.Array) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(simhash(batch.column(1)).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(simhash(batch.column(2)).view(np.int64))], ["doc_id", "text_key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, text_key, fp): the 64 bits as a signed long, and a hash of the text by which rows of one doc_id are told apart."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(_fingerprints, "doc_id long, text_key long, fp long")
 
 
 # --- the binary Golay code of length 23 ----------------------------------------------------------
@@ -165,27 +169,48 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return found.select("a", "b").union(near)
 
 
-def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs (doc_id, text)."""
-    given = staged(fingerprints(docs))
+def _groups(given: DataFrame, hot: int) -> DataFrame:
+    """(fp, component, component_id) for the distinct fingerprints of given (doc_id, fp): the smallest fingerprint and the smallest
+    doc_id of all that links reach."""
     first = staged(given.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = components(links(first.select("fp"), hot))
     linked = staged(linked.join(first, linked["id"] == first["fp"]).select("fp", "component", "first_id"))
     smallest = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    linked = linked.join(smallest, "component").select("fp", "component_id")
-    name = staged(first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")))
-    return given.join(name, "fp").select("doc_id", "fp", "component_id")
+    linked = linked.join(smallest, "component").select("fp", "component", "component_id")
+    alone = F.col("component").isNull()
+    name = first.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(alone, F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return staged(name)
+
+
+def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs (doc_id, text)."""
+    given = staged(fingerprints(docs))
+    return given.join(_groups(given, hot), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """One row of each component: that of the smallest doc_id.
+    """Exactly one row of each component; the columns stay.
 
-    Repeated rows of one doc_id count as copies: one stays. Rows without doc_id can't be named, so all of them stay.
+    It is the row with the smallest doc_id (null last); of several texts with that id, the one with the smallest hash; of rows that
+    repeat both, the one whose other columns have the smallest hash. Rows of one doc_id that aren't near each other all stay.
+    Texts are compared with the keys of rows that go, a table of two numbers a row; only rows that repeat a doc_id and a text are
+    grouped.
     """
-    found = near_duplicates(docs, hot)
-    stays = staged(found.where("doc_id = component_id").select("doc_id").distinct())
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    given = staged(fingerprints(docs))
+    rows = given.join(_groups(given, hot), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    per = rows.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    chosen = staged(per.groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), F.min_by("n", "text_key").alias("n")))
+    of, key = free_name(docs, "of"), free_name(docs, "of_key")
+    named = chosen.select(F.col("doc_id").alias(of), F.col("text_key").alias(key), "n")
+    gone = given.select("doc_id", "text_key").distinct().join(named, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col("text_key") == F.col(key)), "left_anti")
+    twice = staged(named.where("n > 1").select(of, key))
+    marked = staged(gone.toDF(of, key).union(twice))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(key))
+    once = docs.join(marked, same, "left_anti")
+    hashable = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    own = docs.join(twice, same, "left_semi").groupBy(F.col("doc_id").alias(of), F.xxhash64("text").alias(key))
+    first = own.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashable)).alias("row"))
+    return once.select(*docs.columns).union(first.select("row.*"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,14 +20,12 @@ from .subword import Model, Shape, fit, held_out, sample, scored
 
 SHAPE = Shape(words=SPACE_WORDS, lower=False, passage=0, pairs=True, steps=600)
 MOST = 1600
-#: Bytes; longer texts are scored like any other but not learnt from.
-LONGEST = 200_000
 THRESHOLD = 0.3
 PARTS, PART = 5, 0
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, most: int = MOST, shape: Shape = SHAPE) -> Model:
-    return fit(sample(docs, labels, "quality", ~held_out(F.col("doc_id"), PARTS, PART), {0: most, 1: 2 * most}, LONGEST), shape)
+    return fit(sample(docs, labels, "quality", ~held_out(F.col("doc_id"), PARTS, PART), {0: most, 1: 2 * most}), shape)
 
 
 def quality_scores(docs: DataFrame, model: Model, shape: Shape = SHAPE, threshold: float = THRESHOLD) -> DataFrame:

@@ -11,14 +11,20 @@ end with assistant. Each turn of the input either
 and dynamic programming over the automaton of legal turns finds the cheapest repair; ties go to the first of: stand, merge,
 insert, relabel. The repaired turns are then rendered as <|role|>\\ntext<|end|>\\n.
 
-The states are what the last turn was (nothing yet, system, user, assistant), so a stretch of turns is a 4 x 4 matrix of least
-costs, and stretches combine by min-plus products. Turns are dealt by range of (conv_id, turn), so one conversation that holds a
-third of all rows is spread over many tasks: each gives the matrix of its stretch, a conversation's few matrices are combined in
-order to find the state at each border, and each stretch is then repaired on its own between its two states.
+The states are what the last turn was (nothing yet, system, user, assistant), so a part of a conversation is a 4 x 4 matrix of
+least costs, and parts combine by min-plus products.
+
+Every conversation of at most STRETCH turns and STRETCH_CHARS characters comes to one task, is repaired there and is one row. A
+longer one, which may be a third of all rows, is numbered by a range sort, and cut before every STRETCH turns and every
+STRETCH_CHARS characters, counted from its beginning; each part gives its matrix, a conversation's few matrices are combined in
+order to find the states at the cuts, and each part is then repaired on its own between its two states, as a row that the number
+of its first turn names. So rows depend on the conversations alone and never on partitions or tasks, and the parts of one,
+rendered one after the other, are a legal conversation of the least cost.
 
 Turns are ordered by turn (null first), then role and text. A null text is empty; a null or unknown role is relabelled at cost
 MEND; case and white space around a role are ignored. Rows with a null conv_id are one conversation. Repeated rows are turns of
-their own (two equal user turns are merged). Empty tables give no rows. Extra columns are ignored.
+their own (two equal user turns are merged). A very long text is a turn like any other, never cut. Empty tables give no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,20 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from colloquy.staging import staged
 
 ROLES = ("system", "user", "assistant")
 NONE, SYSTEM, USER, ASSISTANT = range(4)
 MERGE, INSERT, RELABEL, MEND = 1, 3, 4, 2
 _BIG = 1 << 40
 END = "<|end|>\n"
-#: Turns before which a stretch is cut, so that no task holds more of one conversation.
-STRETCH = 50_000
-#: Characters of text likewise, and of what a task passes on at once.
-STRETCH_CHARS, FLUSH_CHARS = 16_000_000, 4_000_000
+#: Turns and characters of one conversation that are repaired together; a longer one is cut where it reaches a multiple of them.
+STRETCH, STRETCH_CHARS = 50_000, 16_000_000
+#: Rows and characters that a task passes on at once.
+FLUSH, FLUSH_CHARS = 1000, 4_000_000
 
 
 def _moves() -> list[list[tuple[int, int, int, bool, int]]]:
@@ -102,53 +108,49 @@ def repair(roles: np.ndarray, before: int, after: int) -> list[tuple[int, bool,
     return out
 
 
-PACKED = "conv_id long, task int, stretch long, roles array<int>, texts array<string>, cost array<bigint>"
-REPAIRED = "conv_id long, task int, stretch long, opens boolean, closes boolean, cost long, turns array<struct<role:string,text:string,n_source:bigint,joins:boolean>>"
+PACKED = "conv_id long, part long, roles array<int>, texts array<string>, cost array<bigint>"
+REPAIRED = "conv_id long, part long, opens boolean, closes boolean, cost long, turns array<struct<role:string,text:string,n_source:bigint,joins:boolean>>"
+_KINDS = {"conv_id": pa.int64(), "part": pa.int64(), "roles": pa.list_(pa.int32()), "texts": pa.list_(pa.string()), "cost": pa.list_(pa.int64())}
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each stretch of a conversation within a task, with its matrix. Rows come in order."""
+    """One row for each (conv_id, part), with its matrix. Rows (conv_id, part, role, text) come in order."""
     rows: list[tuple] = []
     roles: list[int] = []
     texts: list[str] = []
-    at, stretch, size, waiting, task = None, -1, 0, 0, 0
-
-    def close() -> None:
-        if roles:
-            rows.append((at[0], task, stretch, list(roles), list(texts), least_matrix(np.array(roles)).ravel().tolist()))
-            roles.clear()
-            texts.clear()
+    at, waiting = None, 0
 
     def flush() -> pa.RecordBatch:
-        names, kinds = ("conv_id", "task", "stretch", "roles", "texts", "cost"), (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()))
-        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS.values(), strict=True)], list(_KINDS))
         rows.clear()
         return out
 
     for batch in batches:
-        for conv, role, text, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if at != (conv,) or len(roles) == STRETCH or size > STRETCH_CHARS:
-                close()
-                if waiting > FLUSH_CHARS or len(rows) >= 1000:
+        for conv, part, role, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if at != (conv, part):
+                if at:
+                    rows.append((*at, list(roles), list(texts), least_matrix(np.array(roles)).ravel().tolist()))
+                    roles.clear()
+                    texts.clear()
+                if waiting > FLUSH_CHARS or len(rows) >= FLUSH:
                     yield flush()
                     waiting = 0
-                at, stretch, size, task = (conv,), stretch + 1, 0, t
+                at = (conv, part)
             roles.append(role)
             texts.append(text)
-            size += len(text)
             waiting += len(text)
-    close()
-    if rows:
+    if at:
+        rows.append((*at, list(roles), list(texts), least_matrix(np.array(roles)).ravel().tolist()))
         yield flush()
 
 
 def _borders(table: pa.Table) -> pa.Table:
-    """The states at the borders of one conversation's stretches, in order."""
-    table = table.sort_by([("task", "ascending"), ("stretch", "ascending")])
+    """The states at the borders of one conversation's parts, in order."""
+    table = table.sort_by("part")
     states, total = border_states([np.array(c).reshape(4, 4) for c in table["cost"].to_pylist()])
     n = len(states) - 1
     return pa.table({
-        "task": table["task"], "stretch": table["stretch"], "before": pa.array(states[:-1], pa.int32()), "after": pa.array(states[1:], pa.int32()),
+        "of": table["conv_id"], "of_part": table["part"], "before": pa.array(states[:-1], pa.int32()), "after": pa.array(states[1:], pa.int32()),
         "opens": [i == 0 for i in range(n)], "closes": [i == n - 1 for i in range(n)], "total": pa.array([total] * n, pa.int64()),
     })
 
@@ -186,51 +188,86 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string()), ("n_source", pa.int64()), ("joins", pa.bool_())]))
     for batch in batches:
         for i in range(0, batch.num_rows, 200):
-            part = batch.slice(i, 200)
+            own = batch.slice(i, 200)
             out, opens, closes, costs = [], [], [], []
-            for row in part.to_pylist():
-                before, after, total = row["before"], row["after"], row["total"]
+            for row in own.to_pylist():
+                before, after, total = row.get("before"), row.get("after"), row.get("total")
                 if before is None:
                     (before, after), total = border_states([np.array(row["cost"]).reshape(4, 4)])
-                opens.append(row["opens"] is not False)
-                closes.append(row["closes"] is not False)
+                opens.append(row.get("opens") is not False)
+                closes.append(row.get("closes") is not False)
                 costs.append(total)
                 turns = repaired_stretch(row["roles"], row["texts"], before, after, closes[-1])
                 out.append([dict(zip(("role", "text", "n_source", "joins"), t, strict=True)) for t in turns])
-            columns = [part.column("conv_id"), part.column("task"), part.column("stretch"), pa.array(opens), pa.array(closes), pa.array(costs, pa.int64()), pa.array(out, kind)]
-            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "task", "stretch", "opens", "closes", "cost", "turns"])
+            columns = [own.column("conv_id"), own.column("part"), pa.array(opens), pa.array(closes), pa.array(costs, pa.int64()), pa.array(out, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "part", "opens", "closes", "cost", "turns"])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _repaired(_packed(batches))
+
+
+def numbered_turns(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with part: the number of the first turn of the part of its conversation that a turn belongs to.
+
+    A range sort deals rows by conversation and turn; what stands before a task's first row of a conversation is the sum over the
+    tasks before it, of which there is one row each.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = staged(dealt.withColumn("rid", F.monotonically_increasing_id()).withColumn("task", F.shiftright("rid", 33)))
+    within = Window.partitionBy("conv_id", "task").orderBy("rid").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("conv_id", "task").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    zero = F.lit(0).cast("long")
+    sums = sums.select(F.col("conv_id").alias("of"), F.col("task").alias("of_task"), F.coalesce(F.sum("n").over(before), zero).alias("n"), F.coalesce(F.sum("chars").over(before), zero).alias("chars"))
+    sums = staged(sums)
+    at = dealt.select("conv_id", "task", "rid", F.length("text").alias("own"))
+    at = at.withColumn("nth", F.count("*").over(within)).withColumn("upto", F.coalesce(F.sum("own").over(within), zero))
+    at = at.join(sums, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("task") == F.col("of_task")))
+    at = at.withColumn("nth", F.col("nth") + F.col("n")).withColumn("cut", F.struct(F.floor(F.col("nth") / STRETCH), F.floor((F.col("upto") + F.col("chars")) / STRETCH_CHARS)))
+    at = staged(at.select("conv_id", "rid", "nth", "cut"))
+    first = at.groupBy("conv_id", "cut").agg(F.min("nth").alias("part"))
+    first = first.select(F.col("conv_id").alias("of"), F.col("cut").alias("of_cut"), "part")
+    named = at.join(first, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("cut") == F.col("of_cut"))).select("rid", "part")
+    return dealt.join(named, "rid").drop("rid", "task")
 
 
 def repaired_conversations(conversations: DataFrame) -> DataFrame:
-    """One row for each stretch, which is a whole conversation unless that is very long or lies across two tasks.
+    """One row for each conversation, or for each part of one that is longer than STRETCH turns or STRETCH_CHARS characters.
 
-    task and stretch give the order; opens and closes mark the first and last stretch of a conversation, cost is that of the
-    whole conversation. turns: role, text, n_source (turns of the input in it), joins (it continues the turn before the stretch).
+    part is the number of its first turn, from 0; opens and closes mark the first and last part of a conversation, cost is that of
+    the whole conversation. turns: role, text, n_source (turns of the input in it), joins (it continues the turn before the part).
     """
     role = F.lower(F.trim("role"))
     number = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ROLES]), role), F.lit(0)).cast("int")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), number.alias("role_no"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role_no", "text")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    packed = staged(dealt.select("conv_id", "role_no", "text", F.spark_partition_id().alias("task")).mapInArrow(_packed, PACKED))
-    several = packed.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv_id").alias("of"))
-    matrices = packed.select("conv_id", "task", "stretch", "cost").join(staged(several), F.col("conv_id").eqNullSafe(F.col("of")), "left_semi")
-    borders = matrices.groupBy("conv_id").applyInArrow(_borders, "task int, stretch long, before int, after int, opens boolean, closes boolean, total long")
-    return packed.join(staged(borders), ["task", "stretch"], "left").mapInArrow(_repaired, REPAIRED)
+    per = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    long = staged(per.where((F.col("n") > STRETCH) | (F.col("chars") > STRETCH_CHARS)).select(F.col("conv_id").alias("of")))
+    same = F.col("conv_id").eqNullSafe(F.col("of"))
+    whole = rows.join(long, same, "left_anti").repartition("conv_id").sortWithinPartitions(*order)
+    out = whole.select("conv_id", F.lit(0).cast("long").alias("part"), "role_no", "text").mapInArrow(_whole, REPAIRED)
+    if long.isEmpty():
+        return out
+    cut = numbered_turns(rows.join(long, same, "left_semi"), order)
+    packed = staged(cut.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", *order[1:]).select("conv_id", "part", "role_no", "text").mapInArrow(_packed, PACKED))
+    borders = packed.select("conv_id", "part", "cost").groupBy("conv_id").applyInArrow(_borders, "of long, of_part long, before int, after int, opens boolean, closes boolean, total long")
+    both = packed.join(staged(borders), same & (F.col("part") == F.col("of_part"))).drop("of", "of_part")
+    return out.union(both.mapInArrow(_repaired, REPAIRED))
 
 
-def render(stretches: DataFrame) -> DataFrame:
-    """stretches with `rendered`: chat markup that, put together in order, is the conversation. A turn's end is written by the next."""
+def render(parts: DataFrame) -> DataFrame:
+    """parts with `rendered`: chat markup that, put together in order, is the conversation. A turn's end is written by the next."""
     head = lambda t, i: F.concat(F.when(F.col("opens") & (i == 0), "").otherwise(END), F.lit("<|"), t["role"], F.lit("|>\n"))
     turn = lambda t, i: F.concat(F.when(t["joins"], "\n").otherwise(head(t, i)), t["text"])
-    return stretches.withColumn("rendered", F.concat(F.array_join(F.transform("turns", turn), ""), F.when(F.col("closes"), END).otherwise("")))
+    return parts.withColumn("rendered", F.concat(F.array_join(F.transform("turns", turn), ""), F.when(F.col("closes"), END).otherwise("")))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """(conv_id, part, n_turns, n_source, cost, rendered): each conversation's repaired turns, in parts of one stretch each."""
+    """(conv_id, part, n_turns, n_source, cost, rendered): each conversation's repaired turns; part is 0 for one that is whole."""
     own = render(repaired_conversations(conversations))
     n_source = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + t["n_source"])
-    return own.select("conv_id", F.format_string("%06d-%08d", "task", "stretch").alias("part"), F.size("turns").cast("long").alias("n_turns"), n_source.alias("n_source"), "cost", "rendered")
+    return own.select("conv_id", "part", F.size("turns").cast("long").alias("n_turns"), n_source.alias("n_source"), "cost", "rendered")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,14 +21,12 @@ from .subword import Model, Shape, below, fit, held_out, sample, scored
 
 SHAPE = Shape(words=ALNUM_WORDS, lower=True, passage=64, pairs=False, once=True, least=400)
 MOST = 1600
-#: Bytes; longer texts are scored like any other but not learnt from.
-LONGEST = 200_000
 THRESHOLD = 0.3
 PARTS, PART = 4, 2
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, most: int = MOST, shape: Shape = SHAPE) -> Model:
-    return fit(sample(docs, labels, "toxic", ~held_out(F.col("doc_id"), PARTS, PART), {0: 2 * most, 1: most}, LONGEST), shape)
+    return fit(sample(docs, labels, "toxic", ~held_out(F.col("doc_id"), PARTS, PART), {0: 2 * most, 1: most}), shape)
 
 
 def toxicity_scores(docs: DataFrame, model: Model, shape: Shape = SHAPE, threshold: float = THRESHOLD) -> DataFrame:

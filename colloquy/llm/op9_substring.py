@@ -8,9 +8,10 @@ another. Windows are judged on the input.
    minimizer's hash is never less than the number of windows that equal one of them. Each task counts the positions of its
    documents in a count-min sketch, of which it passes on the cells that it touched; blocks of cells are merged one after the
    other. The merged sketch says "once" or "more", in one bit a cell, and estimates a window by the least of its cells.
-2. Windows estimated to repeat are grouped exactly, in runs: the consecutive windows of a document that share a minimizer are
-   one row with their hashes, and equal runs become one row with a count. A run found twice repeats as a whole. The windows
-   of the others are looked up among all windows by minimizer and hash, 128 bits together.
+2. Windows estimated to repeat are grouped exactly, by digests of the words themselves (BLAKE2b, 128 bits, of the words joined by
+   one space); the hashes of the first step choose and never decide. It is done in runs: the consecutive windows of a document
+   that share a minimizer are one row with the digest of all their words and one for each window, and equal runs become one row
+   with a count. A run found twice repeats as a whole. The windows of the others are looked up among all windows.
 3. The marked windows go back to their documents, which drop the words these cover.
 
 The sketch's width follows the size of the texts up to 2**MOST_BITS cells a row, so what is sent to the executors has a fixed
@@ -18,20 +19,24 @@ bound (2 rows of 2**MOST_BITS bits). Beyond that more windows are estimated to r
 meet as counts or in joins that Spark can split; no task gathers the documents that share one.
 
 Nulls: a null text has no words and is kept as the empty text; a null doc_id is returned as it is. Repeated rows are copies of
-each other like any two documents. An empty table gives no rows. Extra columns are ignored.
+each other like any two documents. A very long text is cut and hashed on its own, whole; so is a very long word. An empty table
+gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _rolling, gram_hashes, mix, spaced, staged, starts_inside, text_slices, word_hashes, word_spans
+from colloquy.staging import staged
+
+from .common import gram_hashes, mix, spaced, starts_inside, text_slices, word_hashes, word_spans
 
 WINDOW = 35
 #: Words of a minimizer; a window holds WINDOW - GRAM + 1 of them.
@@ -41,7 +46,6 @@ LEAST_BITS, MOST_BITS = 16, 28
 BLOCK_BITS = 20
 #: Positions that a task counts before it passes cells on.
 FLUSH = 1_000_000
-_RUN_BASE = 0xBF58476D1CE4E5B9
 
 
 def first_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -60,18 +64,18 @@ def first_minimum(values: np.ndarray, width: int) -> np.ndarray:
 def window_runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Windows of a slice of documents in runs with one minimizer.
 
-    Gives the hash of all words, index of each valid window's first word, where runs begin among these, the minimizer's
+    Gives starts and ends of all words, index of each valid window's first word, where runs begin among these, the minimizer's
     hash for each run, and for each document the index of its first word.
     """
     starts, ends, first = word_spans(data, offsets)
     words = word_hashes(data, starts, ends)
     valid = np.flatnonzero(starts_inside(first, window, len(words)))
     if not len(valid):
-        return words, valid, valid, np.zeros(0, np.uint64), first
+        return starts, ends, valid, valid, np.zeros(0, np.uint64), first
     grams = gram_hashes(words, gram)
     at = first_minimum(grams, window - gram + 1)[valid]
     begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return words, valid, begin, grams[at[begin]], first
+    return starts, ends, valid, begin, grams[at[begin]], first
 
 
 def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -94,7 +98,7 @@ def _touched(bits: int, window: int, gram: int) -> Callable[[Iterator[pa.RecordB
         keys, n = [], 0
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column(0)):
-                keys.append(window_runs(data, offsets, window, gram)[3])
+                keys.append(window_runs(data, offsets, window, gram)[4])
                 n += len(keys[-1])
                 if n >= FLUSH:
                     yield from flush(keys)
@@ -148,33 +152,40 @@ def _repeated(keys: np.ndarray, rows: list[np.ndarray], bits: int) -> np.ndarray
     return out
 
 
+def digests(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two longs for each text[begin:end]."""
+    own = [blake2b(text[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    return np.frombuffer(b"".join(own), np.int64).reshape(-1, 2)
+
+
 def _candidates(shared, bits: int, window: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = shared.value
         for batch in batches:
             doc, text_key = batch.column(0), batch.column(1)
             for a, _, data, offsets in text_slices(batch.column(2)):
-                words, valid, begin, keys, first = window_runs(data, offsets, window, gram)
+                starts, ends, valid, begin, keys, first = window_runs(data, offsets, window, gram)
                 pick = np.flatnonzero(_repeated(keys, rows, bits))
                 if not len(pick):
                     continue
                 size = np.diff(np.append(begin, len(valid)))[pick]
-                ends = np.cumsum(size)
-                at = valid[np.arange(ends[-1]) + np.repeat(begin[pick] - (ends - size), size)]
-                hashes = gram_hashes(words, window)[at]
-                digest = _rolling(hashes, ends - size, ends, _RUN_BASE) + size.astype(np.uint64)
+                upto = np.cumsum(size)
+                at = valid[np.arange(upto[-1]) + np.repeat(begin[pick] - (upto - size), size)]
+                text, starts, ends = spaced(data, starts, ends)
+                each = digests(text, starts[at], ends[at + window - 1])
                 start = valid[begin[pick]]
+                run_digest = digests(text, starts[start], ends[start + size + window - 2])
                 of = np.searchsorted(first, start, "right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         doc.take(pa.array(a + of)),
                         text_key.take(pa.array(a + of)),
                         pa.array((start - first[of]).astype(np.int32)),
-                        pa.array(keys[pick].view(np.int64)),
-                        pa.array(digest.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(hashes.view(np.int64))),
+                        pa.array(run_digest[:, 0]),
+                        pa.array(run_digest[:, 1]),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, upto).astype(np.int32)), pa.StructArray.from_arrays([pa.array(each[:, 0]), pa.array(each[:, 1])], ["a", "b"])),
                     ],
-                    ["doc_id", "text_key", "start", "minimizer", "digest", "windows"],
+                    ["doc_id", "text_key", "start", "a", "b", "windows"],
                 )
 
     return run
@@ -213,14 +224,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bi
         n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(MOST_BITS, max(LEAST_BITS, int(n // 8).bit_length()))
     shared = docs.sparkSession.sparkContext.broadcast(sketch(docs.select("text"), bits, window, gram))
-    found = staged(docs.mapInArrow(_candidates(shared, bits, window, gram), "doc_id long, text_key long, start int, minimizer long, digest long, windows array<long>"))
-    runs = staged(found.groupBy("minimizer", "digest").agg(F.count("*").alias("n"), F.first("windows").alias("windows")))
-    each = runs.select("minimizer", "digest", "n", F.posexplode("windows").alias("i", "window"))
-    again = staged(each.groupBy("minimizer", "window").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1 and least = 1").select("minimizer", "window"))
-    single = each.where("n = 1").join(again, ["minimizer", "window"]).groupBy("minimizer", "digest").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
-    whole = runs.where("n > 1").select("minimizer", "digest", F.expr("shiftleft(1L, size(windows)) - 1").alias("mask"))
+    found = staged(docs.mapInArrow(_candidates(shared, bits, window, gram), "doc_id long, text_key long, start int, a long, b long, windows array<struct<a:bigint,b:bigint>>"))
+    runs = staged(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("windows").alias("windows")))
+    each = runs.select("a", "b", "n", F.posexplode("windows").alias("i", "w")).select("a", "b", "n", "i", F.col("w.a").alias("wa"), F.col("w.b").alias("wb"))
+    again = staged(each.groupBy("wa", "wb").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1 and least = 1").select("wa", "wb"))
+    single = each.where("n = 1").join(again, ["wa", "wb"]).groupBy("a", "b").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
+    whole = runs.where("n > 1").select("a", "b", F.expr("shiftleft(1L, size(windows)) - 1").alias("mask"))
     marks = staged(whole.union(single))
-    return found.select("doc_id", "text_key", "start", "minimizer", "digest").join(marks, ["minimizer", "digest"]).select("doc_id", "text_key", "start", "mask")
+    return found.select("doc_id", "text_key", "start", "a", "b").join(marks, ["a", "b"]).select("doc_id", "text_key", "start", "mask")
 
 
 def text_key(text: Column) -> Column:

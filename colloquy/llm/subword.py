@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import spaced, text_slices, word_hashes, word_spans
 
 GRAMS = (3, 4, 5)
+#: Bytes of one text that training takes apart at once.
+LEARN_BYTES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -95,6 +97,33 @@ def passages(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(first[:-1][doc] + (np.arange(len(doc)) - begin[doc]) * size, first[-1]), doc
 
 
+def text_bags(text: str | None, shape: Shape) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, how often each) of every passage of a text. A long text is cut at white space into slices of LEARN_BYTES, whose
+    bags add up where the whole text is one passage, so that what it needs doesn't grow with its length."""
+    raw, out = (text or "").encode(), []
+    for data in text_pieces(raw):
+        found, first = features(data, np.array([0, len(data)]), shape)
+        if not found:
+            continue
+        begin, _ = passages(first, shape.passage)
+        word, ids = np.concatenate([w for w, _ in found]), np.concatenate([f for _, f in found])
+        key, n = np.unique((np.searchsorted(begin, word, "right") - 1).astype(np.int64) << 32 | ids, return_counts=True)
+        cut = np.flatnonzero(np.diff(key >> 32, prepend=-1))
+        out += [((key[a:b] & 0xFFFFFFFF).astype(np.int32), n[a:b]) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True)]
+    if shape.passage or len(out) < 2:
+        return out
+    ids, at = np.unique(np.concatenate([i for i, _ in out]), return_inverse=True)
+    return [(ids, np.bincount(at, np.concatenate([n for _, n in out])).astype(np.int64))]
+
+
+def text_pieces(raw: bytes) -> list[np.ndarray]:
+    """Bytes of a text in pieces of about LEARN_BYTES that end before a blank."""
+    cuts = [0]
+    while len(raw) - cuts[-1] > LEARN_BYTES and (at := raw.find(b" ", cuts[-1] + LEARN_BYTES)) > 0:
+        cuts.append(at)
+    return [np.frombuffer(raw[a:b], np.uint8) for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+
+
 def calibrated(model: Model, texts: list[str], labels: np.ndarray, shape: Shape) -> Model:
     """The model with its log-odds scaled and shifted to fit texts it wasn't trained on (Platt's method, by Newton steps)."""
     p = np.clip(scores(pa.array(texts, pa.string()), model, shape), 1e-15, 1 - 1e-15)
@@ -127,18 +156,8 @@ def _descend(texts: list[str], labels: np.ndarray, shape: Shape) -> Model:
     bags: list[tuple[np.ndarray, np.ndarray]] = []
     doc_of: list[int] = []
     for i, text in enumerate(texts):
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        found, first = features(data, np.array([0, len(data)]), shape)
-        if not found:
-            continue
-        begin, _ = passages(first, shape.passage)
-        word = np.concatenate([w for w, _ in found])
-        ids = np.concatenate([f for _, f in found])
-        part = np.searchsorted(begin, word, "right") - 1
-        key, n = np.unique(part.astype(np.int64) << 32 | ids, return_counts=True)
-        cut = np.flatnonzero(np.diff(key >> 32, prepend=-1))
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
-            bags.append(((key[a:b] & 0xFFFFFFFF).astype(np.int32), (n[a:b] / max(n[a:b].sum(), shape.least)).astype(np.float32)))
+        for ids, n in text_bags(text, shape):
+            bags.append((ids, (n / max(n.sum(), shape.least)).astype(np.float32)))
             doc_of.append(i)
     doc = np.array(doc_of, dtype=np.int64)
     y = labels[doc].astype(np.int64) if len(doc) else np.zeros(0, np.int64)
@@ -214,18 +233,18 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: dict[int, int], longest: int) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: dict[int, int]) -> DataFrame:
     """(text, label): at most most[y] labelled rows of each label y, the first by a hash of doc_id, in an order by another hash.
 
-    Texts that are empty or over `longest` bytes are not learnt from, nor is a doc_id that has both labels. Of repeated rows one
-    is taken. The chosen ids have a fixed bound, so they are broadcast.
+    Empty texts are not learnt from, nor is a doc_id that has both labels. Of repeated rows one is taken; a text counts whole, however
+    long. The chosen ids have a fixed bound, so they are broadcast.
     """
     named = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(learn)
     named = named.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
-    usable = docs.where(F.octet_length("text").between(1, longest)).select("doc_id").distinct()
+    usable = docs.where(F.octet_length("text") > 0).select("doc_id").distinct()
     named = named.join(usable, "doc_id", "left_semi")
     first = [named.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n) for y, n in sorted(most.items())]
-    chosen = docs.select("doc_id", "text").where(F.octet_length("text").between(1, longest)).join(F.broadcast(first[0].union(first[1])), "doc_id")
+    chosen = docs.select("doc_id", "text").where(F.octet_length("text") > 0).join(F.broadcast(first[0].union(first[1])), "doc_id")
     chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     return chosen.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sum(most.values())).select("text", "label")
 

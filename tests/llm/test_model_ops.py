@@ -10,7 +10,7 @@ import pytest
 from fixtures import components, documents, prose, rows_of
 from pyspark.sql import functions as F
 
-from colloquy.llm import op2_embeddings, op4_quality, op5_chat, op6_toxicity, op10_sharding, subword
+from colloquy.llm import common, op2_embeddings, op4_quality, op5_chat, op6_toxicity, op10_sharding, subword
 
 
 # --- embeddings
@@ -136,6 +136,59 @@ def test_label_is_no_input(spark):
     assert all(a[r["doc_id"] - 1000] == r["score"] for r in op4_quality.quality_scores(same, model).collect())
 
 
+def test_long_texts_are_learnt(spark, monkeypatch):
+    """A text is learnt from whole, however long, in slices that don't change the bag."""
+    rng = random.Random(13)
+    text = prose(rng, 4000, 3000)
+    for shape in (op4_quality.SHAPE, op6_toxicity.SHAPE):
+        whole = subword.text_bags(text, shape)
+        monkeypatch.setattr(subword, "LEARN_BYTES", 2500)
+        cut = subword.text_bags(text, shape)
+        monkeypatch.undo()
+        a, b = (Counter({int(f): int(k) for ids, n in bags for f, k in zip(ids, n)}) for bags in (whole, cut))
+        if shape.passage == 0:
+            assert len(whole) == len(cut) == 1 and (a & b).total() >= 0.99 * a.total()
+        assert abs(a.total() - b.total()) <= 0.01 * a.total()
+    docs, labels = labelled(spark, 40)
+    long = docs.withColumn("text", F.when(F.col("doc_id") == 3, F.repeat(F.concat("text", F.lit(" ")), F.lit(2000))).otherwise(F.col("text")))
+    assert long.where("octet_length(text) > 200000").count() == 1
+    got = subword.sample(long, labels, "toxic", F.lit(True), {0: 100, 1: 100}).collect()
+    assert max(len(r["text"]) for r in got) > 200_000 and len(got) == 40
+
+
+def test_scores_by_hand(spark):
+    """Scores of the folded model, feature by feature in plain Python."""
+    docs, labels = labelled(spark, 60)
+    for op, shape in ((op4_quality, op4_quality.SHAPE), (op6_toxicity, op6_toxicity.SHAPE)):
+        model = op4_quality.quality_model(docs, labels) if op is op4_quality else op6_toxicity.toxicity_model(docs, labels)
+        got = {r["doc_id"]: r["score"] for r in subword.scored(docs, model, shape).collect()}
+        for r in docs.collect():
+            best = -math.inf
+            w = (r["text"].lower() if shape.lower else r["text"]).split()
+            if shape.words == common.ALNUM_WORDS:
+                w = "".join(c if c.isalnum() else " " for c in " ".join(w)).split()
+            if shape.once:
+                w = [x for i, x in enumerate(w) if not i or x != w[i - 1]]
+            for a in range(0, len(w), shape.passage or len(w)):
+                own = w[a : a + (shape.passage or len(w))]
+                before = w[a - 1] if a else None
+                bag = []
+                for i, x in enumerate(own):
+                    data = np.frombuffer(x.encode(), np.uint8)
+                    h = common.word_hashes(data, np.array([0]), np.array([len(data)]))
+                    bag.append(subword._bucket(h, shape.buckets)[0])
+                    if shape.pairs and (i or before is not None):
+                        y = np.frombuffer((own[i - 1] if i else before).encode(), np.uint8)
+                        p = h + np.uint64(3) * common.word_hashes(y, np.array([0]), np.array([len(y)]))
+                        bag.append(subword._bucket(np.array([1], np.uint64) if (own[i - 1] if i else before) == x else p, shape.buckets)[0])
+                    edged = f" {x} ".encode()
+                    for n in subword.GRAMS:
+                        for k in range(len(edged) - n + 1):
+                            bag.append(subword._bucket(np.array([int.from_bytes(edged[k : k + n], "little") + n], np.uint64), shape.buckets)[0])
+                best = max(best, sum(float(model.weight[f]) for f in bag) / max(len(bag), shape.least) + model.bias)
+            assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-best)), abs=1e-6)
+
+
 def test_held_out_rows_are_not_learnt(spark):
     docs, labels = labelled(spark, 120)
     flipped = labels.withColumn("toxic", F.when(subword.held_out(F.col("doc_id"), 4, 2), 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -167,33 +220,121 @@ def plain_cost(numbers):
     return min(c + op5_chat.end_costs()[s] for s, c in best.items())
 
 
-def test_chats(spark):
-    rng = random.Random(9)
+def plain_repair(numbers):
+    """Every sequence of moves is tried: the cheapest, then the one that prefers earlier moves turn by turn."""
+    follows = {(0, 1), (0, 2), (1, 2), (2, 3), (3, 2)}
+    ways = [(0, (), 0, ())]  # cost, preferences, state, turns as (role, merged, put in before)
+    for n in numbers:
+        nxt = []
+        for cost, rank, old, said in ways:
+            for new in (1, 2, 3):
+                change = 0 if new == n else op5_chat.MEND if n == 0 else op5_chat.RELABEL
+                if (old, new) in follows:
+                    nxt.append((cost + change, (*rank, (change, 0, old, new)), new, (*said, (new, False, 0))))
+                if old == new:
+                    nxt.append((cost + change + op5_chat.MERGE, (*rank, (change + op5_chat.MERGE, 1, old, new)), new, (*said, (new, True, 0))))
+                for p in (2, 3):
+                    if (old, p) in follows and (p, new) in follows:
+                        nxt.append((cost + change + op5_chat.INSERT, (*rank, (change + op5_chat.INSERT, 2, old, new)), new, (*said, (new, False, p))))
+        ways = nxt
+    ends = {1: (2 * op5_chat.INSERT, (2, 3)), 2: (op5_chat.INSERT, (3,)), 3: (0, ())}
+    least = min(c + ends[s][0] for c, _, s, _ in ways)
+    state = min(s for c, _, s, _ in ways if c + ends[s][0] == least)
+    _, said = min((r, t) for c, r, s, t in ways if s == state and c + ends[s][0] == least)
+    return least, said, ends[state][1]
+
+
+def plain_rendered(turns):
+    """turns: (number of the role, text)."""
+    names = {1: "system", 2: "user", 3: "assistant"}
+    least, said, put = plain_repair([n for n, _ in turns])
+    out = []
+    for (new, merged, before), (_, text) in zip(said, turns):
+        if before:
+            out.append([before, []])
+        if merged:
+            out[-1][1].append(text)
+        else:
+            out.append([new, [text]])
+    out += [[p, []] for p in put]
+    return least, "".join(f"<|{names[r]}|>\n" + "\n".join(t) + "<|end|>\n" for r, t in out)
+
+
+NUMBER = {"system": 1, "user": 2, "assistant": 3}
+
+
+def plain_order(rows):
+    return sorted((r[1] is not None, r[1] or 0, NUMBER.get((r[2] or "").strip().lower(), 0), r[3] or "") for r in rows)
+
+
+def chat_rows(rng):
     rows = []
     for conv in range(60):
-        for t in range(rng.randrange(1, 9)):
-            rows.append((conv, t, rng.choice(["user", "assistant", "system", " User ", "bot", None]), rng.choice([f"t{t}", None, ""]), "x", 1))
-    rows += [(70, None, "user", "a", "x", 1), (70, None, "user", "a", "x", 1), (None, 1, "user", "q", "x", 1), (None, 2, "assistant", "r", "x", 1)]
+        for t in range(rng.randrange(1, 7)):
+            rows.append((conv, t, rng.choice(["user", "assistant", "system", " User ", "bot", None]), rng.choice([f"t{t}", None, "", "two\nlines", "<|end|>"]), "x", 1))
+    rows += [(70, None, "user", "a", "x", 1), (70, None, "user", "a", "x", 1), (None, 1, "user", "q", "x", 1), (None, 2, "assistant", "r", "x", 1), (71, 1, None, None, None, None)]
+    return rows
+
+
+CHAT = "conv_id long, turn long, role string, text string, rendered string, cost int"
+
+
+def test_chats(spark):
+    rows = chat_rows(random.Random(9))
     rows += [(80, t, "user" if t % 3 else "assistant", "long " * 50, "x", 1) for t in range(400)]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rendered string, cost int")
-    got = op5_chat.repaired_conversations(table).orderBy("conv_id", "task", "stretch").collect()
-    by_conv = {}
-    for r in got:
-        by_conv.setdefault(r["conv_id"], []).append(r)
-    number = {"system": 1, "user": 2, "assistant": 3}
-    for conv, parts in by_conv.items():
-        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, number.get((r[2] or "").strip().lower(), 0), r[3] or ""))
-        assert parts[0]["opens"] and parts[-1]["closes"]
-        seen = [(t["role"], t["joins"]) for p in parts for t in p["turns"]]
-        assert legal([role for role, joins in seen if not joins])
-        assert parts[0]["cost"] == plain_cost([number.get((r[2] or "").strip().lower(), 0) for r in own])
-        assert sum(t["n_source"] for p in parts for t in p["turns"]) == len(own)
-        texts = "\n".join(t["text"] for p in parts for t in p["turns"])
-        assert texts.split() == " ".join(r[3] or "" for r in own).split()
-    assert set(by_conv) == {r[0] for r in rows}
+    table = spark.createDataFrame(rows, CHAT)
+    got = {r["conv_id"]: r for r in op5_chat.repaired_conversations(table).collect()}
+    assert len(got) == len({r[0] for r in rows}) == op5_chat.format_chats(table).count()
+    for conv, found in got.items():
+        own = plain_order([r for r in rows if r[0] == conv])
+        assert found["opens"] and found["closes"] and found["part"] == 0 and not any(t["joins"] for t in found["turns"])
+        assert legal([t["role"] for t in found["turns"]])
+        assert found["cost"] == plain_cost([r[2] for r in own])
+        assert sum(t["n_source"] for t in found["turns"]) == len(own)
+        assert "\n".join(t["text"] for t in found["turns"]).split() == " ".join(r[3] for r in own).split()
     assert op5_chat.format_chats(table.where("conv_id = -1")).count() == 0
 
 
+def test_chat_rendering(spark):
+    """The rendered conversation by trying every repair."""
+    rows = chat_rows(random.Random(10))
+    got = {r["conv_id"]: (r["cost"], r["rendered"]) for r in op5_chat.format_chats(spark.createDataFrame(rows, CHAT)).collect()}
+    assert got == {c: plain_rendered([(r[2], r[3]) for r in plain_order([r for r in rows if r[0] == c])]) for c in {r[0] for r in rows}}
+
+
+@pytest.mark.parametrize(("turns", "chars"), [(50_000, 16_000_000), (7, 16_000_000), (50_000, 300)])
+def test_chat_partitions(spark, monkeypatch, turns, chars):
+    """The same rows however the input is dealt; a long conversation is cut by its own turns, and the parts join."""
+    monkeypatch.setattr(op5_chat, "STRETCH", turns)
+    monkeypatch.setattr(op5_chat, "STRETCH_CHARS", chars)
+    rng = random.Random(11)
+    rows = chat_rows(rng) + [(90, t % 37, rng.choice(["user", "assistant", "bot"]), f"turn {t} " + "x" * rng.randrange(60), "x", 1) for t in range(90)]
+    table = spark.createDataFrame(rows, CHAT)
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, 4, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(rows_of(op5_chat.format_chats(table.repartition(n))))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    whole = {}
+    for r in sorted(op5_chat.format_chats(table).collect(), key=lambda r: (str(r["conv_id"]), r["part"])):
+        whole.setdefault(r["conv_id"], []).append(r)
+    order = plain_order([r for r in rows if r[0] == 90])
+    parts, begun, upto = [], None, 0
+    for i, r in enumerate(order):
+        if (at := (i // turns, upto // chars)) != begun:
+            parts.append(i)
+            begun = at
+        upto += len(r[3])
+    assert [r["part"] for r in whole[90]] == parts and (len(parts) > 1) == (turns < 90 or chars < 1000)
+    text = "".join(r["rendered"] for r in whole[90])
+    blocks = text.split("<|end|>\n")
+    assert legal([b[2 : b.index("|>")] for b in blocks[:-1]]) and blocks[-1] == ""
+    assert whole[90][0]["cost"] == plain_cost([r[2] for r in order]) and sum(r["n_source"] for r in whole[90]) == 90
+    assert [w for w in text.replace("<|end|>\n", " ").split() if not w.startswith("<|")] == " ".join(r[3] for r in order).split()
+
+
 def test_chat_legal_stays(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a")]
     got = op5_chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
@@ -231,6 +372,60 @@ def test_sharding(spark, tmp_path):
     assert {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()} == {s["shard"]: s["rows"] for s in now["shards"]}
 
 
+def plain_compaction(sizes, target, base, fan_in):
+    """Sizes after merging tier by tier, where a merge has the size of its parts together, from the newest rule to the last."""
+    tier = lambda n: max([0] + [k for k in range(1, 60) if base * fan_in**k <= n])
+    shards, at = [(i, n) for i, n in enumerate(sizes)], len(sizes)
+    while True:
+        made, gone = [], set()
+        for t in sorted({tier(n) for _, n in shards}):
+            own = [s for s in shards if 2 * s[1] < target and tier(s[1]) == t]
+            if len(own) < fan_in:
+                continue
+            run = []
+            for s in [*own, None]:
+                if s is None or (run and sum(n for _, n in run) + s[1] > target):
+                    if len(run) > 1:
+                        made.append(sum(n for _, n in run))
+                        gone |= {i for i, _ in run}
+                    run = []
+                if s:
+                    run.append(s)
+        if not made:
+            return sorted(n for _, n in shards)
+        shards = [s for s in shards if s[0] not in gone] + [(at + i, n) for i, n in enumerate(made)]
+        at += len(made)
+
+
+def test_tiers(spark, tmp_path):
+    """Which shards are merged, against a plain version, with ties in size and one that is most of everything."""
+    rng = random.Random(12)
+    for case in range(60):
+        target, base, fan_in = rng.choice([50, 200, 1000]), rng.choice([1, 5]), rng.choice([2, 3, 4])
+        sizes = [rng.choice([rng.randrange(1, 30), 7, 7, rng.randrange(1, 2 * target)]) for _ in range(rng.randrange(1, 40))] + [5000] * (case % 2)
+        store = op10_sharding.ShardStore(spark, str(tmp_path / f"t{case}"), target, base, fan_in)
+        shards = [{"shard": f"{0:08d}-{i:05d}", "bytes": n, "tier": store._tier(n)} for i, n in enumerate(sizes)]
+        version = 0
+        while runs := store._runs(shards):
+            version += 1
+            gone = {s["shard"] for run in runs for s in run}
+            merged = [sum(s["bytes"] for s in run) for run in runs]
+            assert all(n <= target for n in merged)
+            shards = [s for s in shards if s["shard"] not in gone] + [{"shard": f"{version:08d}-{i:05d}", "bytes": n, "tier": store._tier(n)} for i, n in enumerate(merged)]
+        assert sorted(s["bytes"] for s in shards) == plain_compaction(sizes, target, base, fan_in)
+
+
+def test_sharding_hot_rows(spark, tmp_path):
+    """Rows of one doc_id (or none) that are most of the table, and an empty table."""
+    rows = [(7, "same text " * 20)] * 300 + [(None, "t")] * 100 + [(i, f"text {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    store = op10_sharding.sharded(docs, str(tmp_path / "h"), arrivals=3, target=4000, base=500, fan_in=2)
+    assert rows_of(store.read()) == rows_of(docs) and store.placed().count() == len(rows)
+    assert not store._runs(store.manifest()["shards"])
+    none = op10_sharding.sharded(docs.limit(0), str(tmp_path / "n"))
+    assert none.read().count() == 0 and none.placed().count() == 0 and none.read().columns == docs.columns
+
+
 def test_sharding_versions(spark, tmp_path):
     docs = documents(spark, extra=False)
     store = op10_sharding.ShardStore(spark, str(tmp_path / "v"), 1 << 20, 1000, 2)

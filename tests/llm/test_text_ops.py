@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from fixtures import components, documents, lower, prose, rows_of, simhash, words_of
@@ -145,11 +146,41 @@ def test_golay():
     assert all(bin(int(x) ^ code[int(n)]).count("1") <= 3 for x, n in zip(v, near))
 
 
+def plain_deduplicated(rows):
+    """rows (doc_id, text) that stay: of each component one with the smallest id, and which ids and texts it may be."""
+    fps = [simhash(t) for _, t in rows]
+    own = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2])
+    groups = defaultdict(list)
+    for i, c in enumerate(own):
+        groups[c].append(rows[i])
+    out = []
+    for g in groups.values():
+        first = min((d for d, _ in g if d is not None), default=None)
+        out.append((first, {t for d, t in g if d == first}))
+    return out
+
+
 def test_deduplicated(spark, docs):
-    kept = op3_simhash.deduplicated(docs)
-    assert kept.columns == docs.columns
-    found = {r["component_id"] for r in op3_simhash.near_duplicates(docs).collect()} - {None}
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*found, None, None])
+    """One row of each component, also where one id is on unlike texts, copies have no id, and rows repeat."""
+    rng = random.Random(21)
+    unlike = [prose(rng, 200) for _ in range(4)]
+    more = [(300, unlike[0]), (300, unlike[1]), (300, unlike[1]), (301, unlike[2]), (None, unlike[3]), (None, unlike[3]), (None, unlike[3]), (302, None), (5, unlike[0] + " x"), (303, unlike[2])]
+    own = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    kept = op3_simhash.deduplicated(own)
+    assert kept.columns == own.columns and kept.schema == own.schema
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    want = plain_deduplicated([(r["doc_id"], r["text"]) for r in own.collect()])
+    assert Counter(d for d, _ in got) == Counter(d for d, _ in want)
+    for d, texts in want:
+        assert any(g[0] == d and g[1] in texts for g in got)
+    assert sorted(map(str, got)) == sorted(map(str, ((r["doc_id"], r["text"]) for r in op3_simhash.deduplicated(own.repartition(7)).collect())))
+    assert rows_of(kept) == rows_of(op3_simhash.deduplicated(own.repartition(3), hot=0))
+
+
+def test_deduplicated_keeps_unlike_texts(spark):
+    texts = ["alpha beta gamma delta epsilon", "one two three four five six", "red green blue yellow black"]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2])], "doc_id long, text string")
+    assert Counter(r["text"] for r in op3_simhash.deduplicated(docs).collect()) == Counter(texts)
 
 
 # --- decontamination
@@ -232,27 +263,90 @@ def test_mixing(spark, docs):
     assert Counter(r["doc_id"] for r in mixed.collect()) == sum((Counter({r["doc_id"]: r["copies"]}) for r in got if r["copies"]), Counter())
 
 
-# --- substring dedup
-
-
-def plain_substring(rows, window):
-    split = [(d, words_of(t)) for d, t in rows]
-    n = Counter(tuple(w[i : i + window]) for _, w in split for i in range(len(w) - window + 1))
-    out = Counter()
-    for d, w in split:
-        gone = set()
-        for i in range(len(w) - window + 1):
-            if n[tuple(w[i : i + window])] > 1:
-                gone |= set(range(i, i + window))
-        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        out[d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
-    return out
-
+def duck_rows(docs, sql, tmp_path):
+    """Rows of a query's SQL over these documents, as (columns in order of their names)."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    return sorted((tuple(v for _, v in sorted(zip(names, r))) for r in found.fetchall()), key=str)
+
+
+def test_mixing_ties(spark, tmp_path):
+    """Null ids, one id on all rows and repeated rows: sources still come within half a document of their targets."""
+    rng = random.Random(6)
+    rows = [(None, prose(rng, 10), "a") for _ in range(600)] + [(1, prose(rng, 10), "b") for _ in range(400)] + [(2, "x y z " * 5, "c")] * 300 + [(None, None, "c")] * 5
+    rows += [(1000 + i, prose(rng, rng.randrange(1, 40)), "d") for i in range(200)] + [(None, "t " * 7, "e")] * 40 + [(7, "u " * 3, None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = op8_mixing.mixed(docs).collect()
+    sizes, largest = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words_of(t))
+        largest[s] = max(largest[s], len(words_of(t)))
+    want = plain_targets(sizes)
+    taken, of = Counter(), {(d, len(words_of(t)), sizes[s]): s for d, t, s in rows}
+    for r in got:
+        s = of[r["doc_id"], r["size"], r["source_size"]]
+        taken[s] += r["taken"]
+        assert 0 <= r["copies"] <= 3 and r["target"] == pytest.approx(want[s])
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6, s
+    mixed = op8_mixing.mix_documents(docs)
+    words = Counter()
+    for r in mixed.collect():
+        words[r["source"]] += len(words_of(r["text"]))
+    assert words == +taken and mixed.columns == docs.columns
+    out = op8_mixing.mixed(docs)
+    assert rows_of(out) == rows_of(op8_mixing.mixed(docs.repartition(3)))
+    assert sorted((tuple(r[c] for c in sorted(out.columns)) for r in got), key=str) == duck_rows(docs, op8_mixing.OP8_SQL, tmp_path)
+
+
+def test_mixing_probabilities(spark):
+    """Who is drawn depends on a document's own probability and not on its random number alone."""
+    docs = spark.createDataFrame([(i, "w " * (2 if i % 2 else 50), "a" if i < 2000 else "b") for i in range(4000)], "doc_id long, text string, source string")
+    for at in (0, 2000):
+        got = [r for r in op8_mixing.mixed(docs).collect() if at <= r["doc_id"] < at + 2000]
+        whole = min(r["copies"] for r in got)
+        share = {n: sum(r["copies"] > whole for r in got if r["size"] == n) / 1000 for n in (2, 50)}
+        assert 0.1 < share[50] < share[2] - 0.1 < 0.9
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_substring_tells_words_apart(spark):
+    """Two long words that a polynomial hash modulo a power of two can't tell apart, in windows that differ in that word alone."""
+    a, b = thue_morse(1024), thue_morse(1024).translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    head = " ".join(f"h{i}" for i in range(34))
+    rows = [(1, f"{head} {a}"), (2, f"{head} {b}"), (3, f"x {head} {a} y"), (4, f"{b} {head}"), (5, f"{a} {head}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in op9_substring.without_repeats(docs).collect())
+    assert got == plain_substring(rows, 35)
+    assert {r[0]: r[2] for r in got} == {1: 35, 2: 0, 3: 35, 4: 0, 5: 0}
+    one = op9_substring.without_repeats(docs.where("doc_id < 3")).collect()
+    assert [r["n_removed"] for r in one] == [0, 0] and len(data) == 2049
+
+
+def test_substring_forged_hashes(spark, docs, monkeypatch):
+    """Hashes that are all alike choose all windows and decide nothing."""
+    monkeypatch.setattr(op9_substring, "gram_hashes", lambda words, n: np.zeros(max(0, len(words) - n + 1), np.uint64))
+    own = docs.limit(20)
+    rows = [(r["doc_id"], r["text"]) for r in own.collect()]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    run = op9_substring._candidates(type("Shared", (), {"value": [np.full(2, 255, np.uint8)] * 2})(), 4, 35, 18)
+    import pyarrow as pa
 
-@pytest.mark.parametrize(("window", "gram", "bits"), [(35, 18, None), (35, 18, 4), (5, 3, 16), (4, 4, 10)])
-def test_substring(spark, docs, window, gram, bits):
-    got = Counter(tuple(r) for r in op9_substring.without_repeats(docs, window, gram, bits).collect())
-    assert got == plain_substring([(r["doc_id"], r["text"]) for r in docs.collect()], window)
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array([t or "" for _, t in rows])], ["doc_id", "text_key", "text"])
+    seen = defaultdict(set)
+    for out in run(iter([batch])):
+        for r in out.to_pylist():
+            w = words_of(rows[r["text_key"]][1])
+            for i, d in enumerate(r["windows"]):
+                seen[d["a"], d["b"]].add(tuple(w[r["start"] + i : r["start"] + i + 35]))
+    assert table.count() == len(rows) and seen and all(len(v) == 1 for v in seen.values())
 
 
 def test_first_minimum():
