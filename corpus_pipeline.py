@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm.common import shared_dir
 from colloquy.llm.op3_simhash import deduplicated
 from colloquy.llm.op6_toxicity import toxicity_model, without_toxic
 from colloquy.llm.op7_decontamination import decontaminated
 from colloquy.llm.op8_mixing import mix_documents
 from colloquy.llm.op10_sharding import sharded
+from colloquy.staging import new_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows in a store of shards; gives each row's doc_id and shard."""
-    return sharded(docs, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}").placed()
+    return sharded(docs, new_path(spark, "shards")).placed()
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -55,7 +54,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
