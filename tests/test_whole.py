@@ -1,11 +1,9 @@
 """Jobs over all rows, where a smaller one had been registered."""
 
 import hashlib
-import random
 
 import numpy as np
 
-from colloquy.llm import op1_licenses as op1
 from colloquy.operators import scoring
 from colloquy.queries import QUERIES
 
@@ -78,52 +76,3 @@ def test_folds_go_by_place(spark, tmp_path):
         assert (got["total"], got["covered"], got["correct"]) == (8, 8, 8)
         trained = {(r["lang"], r["token"]): r["n"] for r in QUERIES["centroid_train"](spark, f"{tmp_path}/{digit}").collect()}
         assert trained == {("en", "alpha"): 16, ("en", "beta"): 16, ("fr", "gamma"): 16, ("fr", "delta"): 16}
-
-
-def plain_scores(text):
-    """For each label the best share of a template's pairs in any stretch of words; every stretch is tried."""
-    w, found = op1_words(text), {}
-    for label, t in op1.TEMPLATES:
-        t = t.split()
-        votes = {}
-        for i in range(len(w) - 1):
-            for j in range(len(t) - 1):
-                if w[i : i + 2] == t[j : j + 2]:
-                    votes.setdefault(i - j, set()).add(j)
-        votes = {d: js for d, js in votes.items() if len(js) > 1}
-        for d0 in votes:
-            for lo in range(len(w)):
-                held = {j for d, js in votes.items() if d0 <= d <= d0 + int(len(t) * (op1.STRETCH - 1)) for j in js if lo <= d + j and d + j + 2 <= lo + int(len(t) * op1.STRETCH)}
-                if len(held) / (len(t) - 1) >= op1.COVER:
-                    found[label] = max(found.get(label, 0), len(held) / (len(t) - 1))
-    return found
-
-
-def op1_words(text):
-    return "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text).split()
-
-
-def test_license_copies_beside_each_other(spark):
-    mit = op1.TEMPLATES[1][1]
-    longer = mit.replace("free of charge to", "free of charge by the copyright holder to")
-    halves = " ".join(mit.split()[10:] + mit.split()[:10])
-    texts = ["All rights reserved. All rights reserved.", "All rights reserved.\n" * 50, longer, f"{mit} {mit}", f"{longer} {longer}", halves, "rights reserved all rights", ""]
-    labels = ["proprietary", "proprietary", "mit", "mit", "mit", "", "", ""]
-    rng, near = random.Random(3), []
-    for _ in range(300):
-        own = []
-        for _ in range(rng.randint(1, 4)):
-            t = rng.choice(op1.TEMPLATES)[1].split()
-            for _ in range(rng.randint(0, 3)):
-                at = rng.randrange(len(t))
-                t[at : at + rng.randint(0, 2)] = ["x"] * rng.randint(0, 6)
-                t = t or ["x"]
-            own += t + ["y"] * rng.choice([0, 0, 1, 5])
-        near.append(" ".join(own))
-    docs = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in op1.scan_licenses(docs).collect()}
-    assert [got[i]["labels"] for i in range(len(texts))] == labels
-    for i, text in enumerate(texts + near):
-        scores = plain_scores(text)
-        assert set(filter(None, got[i]["labels"].split(","))) == set(scores) | set(filter(None, got[i]["base_labels"].split(","))), text
-        assert got[i]["score"] == max([*scores.values(), *([1.0] if got[i]["n_base"] else [])], default=0), text
