@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from colloquy.staging import staged
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of a folded text: what isn't in \x00-\x2F, \x3A-\x60 or \x7B-\x7F, said without a negation, which Java's patterns take ten
+#: times as long for.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 GAP = 3
 COVER = 0.8
 STRETCH = 1.5
