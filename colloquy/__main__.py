@@ -64,7 +64,7 @@ def search(turns: DataFrame, question: str, terms: tuple[str, ...], since: str,
     segment = icu_segmenter(spark)
     plan = make_plan(validate_request(question, since, terms), segment, terms)
     runs = touching_runs(turns, "speech", [*plan.groups, *plan.recall_groups], segment)
-    found = retrieve_yearly(turns, plan, year, since or "2020-01-01", runs=runs) if yearly else retrieve_fast(turns, plan, year, since or "2001-01-01", runs=runs)
+    found = retrieve_yearly(turns, plan, year, since or "2020-01-01", runs=runs, segment=segment) if yearly else retrieve_fast(turns, plan, year, since or "2001-01-01", runs=runs)
     rows = lambda df: [r.asDict() for r in df.collect()] if df is not None else []
     return {
         "concepts": [g.text for g in plan.groups], "searched": found.searched, "scans": found.scans, "hits": found.hits, "meetings": found.meetings,

@@ -63,6 +63,43 @@ def concept_hit(text: Column, concept: Concept, runs: dict[str, dict[str, list[i
     return F.when(whole.isNotNull(), exact).otherwise(partial)
 
 
+def is_whole(concept: Concept) -> bool:
+    """Is the concept found whole or not at all?"""
+    return concept.parts == (concept.text,) and len(stems(concept.text)) == 1
+
+
+def terms_of(concept: Concept) -> list[str]:
+    return [concept.text, *(s for p in concept.parts for s in stems(p))]
+
+
+def may_hit(text: Column, concepts: list[Concept]) -> Column:
+    """Does a text hold any term of the concepts, valid or not? A plain search, to leave most texts out early."""
+    out = F.lit(False)
+    for term in dict.fromkeys(t for c in concepts for t in terms_of(c)):
+        out = out | F.contains(text, F.lit(term))
+    return out
+
+
+def held(text: Column, concept: Concept, runs: dict[str, dict[str, list[int]]] | None = None) -> Column:
+    """What of a concept a text holds, as bits: bit 0 for the whole, bit i for its part i. A concept has fewer than 63 parts, as it
+    has at most 80 letters."""
+    own = lambda t: first_place(text, t, (runs or {}).get(t)).isNotNull()
+    out = F.when(own(concept.text), F.lit(1)).otherwise(F.lit(0)).cast("long")
+    if not is_whole(concept):
+        for i, part in enumerate(concept.parts):
+            found = F.lit(False)
+            for stem in [s for s in stems(part) if s != concept.text]:
+                found = found | own(stem)
+            out = out.bitwiseOR(F.when(found, F.lit(2 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
+
+
+def mask_coverages(bits: Column, concepts: list[Concept]) -> Column:
+    """coverages from an array of what is held of each concept."""
+    one = lambda i, c: F.when(F.get(bits, i).bitwiseAND(F.lit(1)) == 1, F.lit(1.0)).otherwise(F.lit(0.0) if is_whole(c) else F.bit_count(F.shiftright(F.get(bits, i), 1)) / len(c.parts))
+    return F.array(*[one(i, c) for i, c in enumerate(concepts)])
+
+
 def coverages(text: Column, concepts: list[Concept], runs: dict[str, dict[str, list[int]]] | None = None) -> Column:
     return F.array(*[concept_hit(text, c, runs)["coverage"] for c in concepts]) if concepts else F.array().cast("array<double>")
 

@@ -43,22 +43,19 @@ def occurrences(text: Column, pattern: str) -> Column:
 
 def word_tokens(text: Column, stopwords: tuple[str, ...] = rules.TRAINING_STOPWORDS, pattern: str = rules.TOKEN) -> Column:
     """Words that are neither stopwords nor digits, in order with repeats."""
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    keep = lambda w: ~F.array_contains(stop, w) & ~w.rlike(f"^{rules.DIGITS}$")
-    return F.filter(occurrences(squeeze(text), pattern), keep)
+    return F.filter(occurrences(squeeze(text), pattern), lambda w: ~w.isin(*stopwords) & ~w.rlike(f"^{rules.DIGITS}$"))
 
 
 def char_ngrams(text: Column, sizes: tuple[int, ...] = (2, 3), stopwords: tuple[str, ...] = rules.TRAINING_STOPWORDS) -> Column:
     """All runs of so many characters of the text without white space, minus stopwords and digits."""
     compact = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
 
     def grams(n: int) -> Column:
         count = F.length(compact) - n + 1
         starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(compact, i, F.lit(n)))
 
-    return F.filter(F.concat(*[grams(n) for n in sizes]), lambda g: ~F.array_contains(stop, g) & ~g.rlike(f"^{rules.DIGITS}$"))
+    return F.filter(F.concat(*[grams(n) for n in sizes]), lambda g: ~g.isin(*stopwords) & ~g.rlike(f"^{rules.DIGITS}$"))
 
 
 def tokenize(text: Column) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.staging import staged
+
 
 def keep_max(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order."""
@@ -52,13 +54,17 @@ def batches(rows: DataFrame, order: list[str], size: int = 8, prefix: str = "c")
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with their place (from 0) in a total order, without sorting all of them in one task: a range sort, counts of its
-    parts, and a number within each part."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    """rows with their place (from 0) in a total order, without sorting all of them in one task.
+
+    A range sort is written once, each row with its task and its number in it; what stands before a task is a sum over the tasks
+    before it, of which there is one row each. Both sides read what was written, so no plan can deal the rows anew.
+    """
+    dealt = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_rid", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_rid", 33), F.col("_rid").bitwiseAND(F.lit((1 << 33) - 1))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parts.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    return parts.join(sizes, "_part").withColumn(name, F.col("_before") + F.col("_in") - 1).drop("_part", "_in", "_before")
+    sizes = dealt.groupBy(part.alias("_part")).count()
+    sizes = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    return dealt.join(F.broadcast(sizes), part == F.col("_part")).withColumn(name, F.col("_before") + within).drop("_rid", "_part", "_before")
 
 
 def meeting_ranks(hits: DataFrame, meeting: str, turn: str, asks: Column, score: Column, limit: int = 4, counts: bool = True) -> DataFrame:
@@ -88,51 +94,64 @@ def reserve_per_group(rows: DataFrame, group: str, order: list[Column], limit: i
     return own.orderBy(F.desc("reserved"), *order).limit(limit)
 
 
-#: A meeting's rows that one choice of `limit` can need.
+#: What a meeting's row gains while none of that meeting has been chosen; half of it after the first, a third after two.
 BONUS = 0.15
 
 
-def diversified(rows: DataFrame, limit: int = 24, case: str = "case_id", ministry: str = "ministry", url: str = "url", meeting: str = "bucket", score: str = "score", ord_: str = "ord") -> DataFrame:
+def greedy(rows: list[tuple[str, float, tuple]], limit: int) -> list[int]:
+    """Which of rows (meeting, score, case), given in order, are chosen one after the other: first of new cases, then of any."""
+    queue: dict[str, list[int]] = {}
+    for i, (meeting, _, _) in enumerate(rows):
+        queue.setdefault(meeting, []).append(i)
+    taken, chosen, cases, used = dict.fromkeys(queue, 0), [], set(), set()
+    for new_cases in (True, False):
+        at = dict.fromkeys(queue, 0)
+        while len(chosen) < limit:
+            best = None
+            for meeting, own in queue.items():
+                while at[meeting] < len(own) and (own[at[meeting]] in used or (new_cases and rows[own[at[meeting]]][2] in cases)):
+                    at[meeting] += 1
+                if at[meeting] < len(own):
+                    rank = rows[own[at[meeting]]][1] + BONUS / (1 + taken[meeting])
+                    if best is None or rank > best[0]:
+                        best = rank, meeting
+            if best is None:
+                break
+            i = queue[best[1]][at[best[1]]]
+            chosen.append(i)
+            used.add(i)
+            cases.add(rows[i][2])
+            taken[best[1]] += 1
+    return chosen
+
+
+def diversified(rows: DataFrame, limit: int = 24, case: str = "case_id", ministry: str = "ministry", url: str = "url", meeting: str = "bucket", score: str = "score", ord_: str = "ord", date: str | None = None) -> DataFrame:
     """rows with selection, from 1: the best row again and again, where meetings taken from less get a bonus.
 
+    The order is score, newest date, meeting, ord; meetings compete in the order of their first rows. Of rows with one case,
+    ministry and url the first counts; a case belongs to one meeting. A null meeting is one of its own, a null score is 0.
     A meeting can give at most `limit` rows in either pass, so Spark first keeps its best `limit` cases and its best `limit` rows,
     and of these meetings the `limit` best by their first row; only limit * limit * 2 rows at most reach the sequential choice.
     """
-    order = [F.desc(score), F.asc(ord_)]
-    rows = keep_first(rows, [case, ministry, url], ord_)
-    fresh = keep_max(rows, [meeting, case, ministry], order)
-    fresh = top_per_group(fresh, [meeting], order, limit).drop("nth")
-    most = top_per_group(rows, [meeting], order, limit).drop("nth")
-    kept = keep_first(fresh.unionByName(most), [case, ministry, url], ord_)
-    heads = kept.groupBy(meeting).agg(F.max(score).alias("_best"), F.min(ord_).alias("_ord")).orderBy(F.desc("_best"), "_ord").limit(limit)
-    kept = kept.join(heads.select(meeting), meeting, "left_semi")
-    first = Window.partitionBy(meeting)
-    kept = kept.withColumn("_bucket", F.min(ord_).over(first)).repartition(1)
+    rows = rows.withColumn("_score", F.coalesce(F.col(score).cast("double"), F.lit(0.0))).withColumn("_meeting", F.coalesce(F.col(meeting).cast("string"), F.lit("")))
+    order = [F.desc("_score"), *([F.desc(date)] if date else []), F.asc("_meeting"), F.asc(ord_)]
+    rows = keep_max(rows, [case, ministry, url], order)
+    fresh = keep_max(rows, ["_meeting", case, ministry], order)
+    fresh = top_per_group(fresh, ["_meeting"], order, limit).drop("nth")
+    most = top_per_group(rows, ["_meeting"], order, limit).drop("nth")
+    kept = keep_max(fresh.unionByName(most), [case, ministry, url], order)
+    heads = keep_max(kept, ["_meeting"], order).orderBy(*order).limit(limit)
+    kept = kept.join(heads.select("_meeting"), "_meeting", "left_semi").select(*rows.columns)
+    kept = kept.withColumn("_nth", F.row_number().over(Window.orderBy(*order)))
     names = kept.columns
 
     def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every = pd.concat(list(parts), ignore_index=True)
-        if every.empty:
-            return
-        queue = {b: g.sort_values([score, ord_], ascending=[False, True], kind="stable") for b, g in every.groupby("_bucket", sort=True)}
-        taken, cases, used, chosen = dict.fromkeys(queue, 0), set(), set(), []
-        for distinct in (True, False):
-            while len(chosen) < limit:
-                best = None
-                for b, g in queue.items():
-                    open_ = [i for i in g.index if i not in used and not (distinct and (g.at[i, case], g.at[i, ministry]) in cases)]
-                    if open_:
-                        rank = g.at[open_[0], score] + BONUS / (1 + taken[b])
-                        if best is None or rank > best[0]:
-                            best = rank, open_[0], b
-                if best is None:
-                    break
-                _, i, b = best
-                chosen.append(i)
-                used.add(i)
-                taken[b] += 1
-                cases.add((every.at[i, case], every.at[i, ministry]))
-        yield every.loc[chosen, names].assign(selection=range(1, len(chosen) + 1))
+        if not every.empty:
+            every = every.sort_values("_nth", ignore_index=True)
+            cases = zip(every[case], every[ministry], strict=True)
+            chosen = greedy(list(zip(every["_meeting"], every["_score"], cases, strict=True)), limit)
+            yield every.loc[chosen, names].assign(selection=range(1, len(chosen) + 1))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInPandas(choose, f"{schema}, selection int").drop("_bucket")
+    return kept.repartition(1).mapInPandas(choose, f"{schema}, selection int").drop("_score", "_meeting", "_nth")

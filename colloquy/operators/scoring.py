@@ -21,13 +21,17 @@ QUERY_PARTS = 4
 def places(text: Column, term: str, most: int = 80) -> Column:
     """Offsets from 0 of a term's first places, which may overlap: the text is cut before each of them."""
     pieces = F.slice(F.split(text, f"(?={re.escape(term)})"), 1, most + 1)
-    lengths = F.transform(pieces, lambda p: F.length(p))
-    starts = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    return F.slice(F.filter(F.zip_with(starts, pieces, lambda i, p: F.when(F.startswith(p, F.lit(term)), i)), lambda i: i.isNotNull()), 1, most)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when(F.startswith(p, F.lit(term)), F.array_append(s["found"], s["at"])).otherwise(s["found"]).alias("found"))
+    return F.slice(F.aggregate(pieces, begin, step, lambda s: s["found"]), 1, most)
 
 
 def nearest_span(text: Column, terms: list[str], gap: int = 180) -> Column:
-    """struct(start, end) of the tightest span with the first two terms at most `gap` characters apart; null if there is none."""
+    """struct(start, end) of the tightest span with the first two terms at most `gap` characters apart; null if there is none.
+
+    Places are found once for a text: they are bound to a lambda's variable, as functions of arrays aren't shared otherwise. A
+    caller that filters on the result does best to explode it (`spans`), which a filter isn't pushed through.
+    """
     core = [t for t in terms if t][:2]
     if not core:
         return F.lit(None).cast("struct<start:int,end:int>")
@@ -41,13 +45,24 @@ def nearest_span(text: Column, terms: list[str], gap: int = 180) -> Column:
     second = places(text, core[1])
 
     def span(a: Column, b: Column) -> Column:
-        apart = F.greatest(F.greatest(a, b) - F.least(a + len(core[0]), b + len(core[1])), F.lit(0))
         start, end = F.least(a, b), F.greatest(a + len(core[0]), b + len(core[1]))
-        return F.when(apart <= gap, F.struct((end - start).alias("width"), start.alias("start"), end.alias("end")))
+        return F.struct((end - start).alias("width"), start.alias("start"), end.alias("end"))
+
+    # Of the second term's places only the last one up to a place of the first and the first one after it can make the tightest span.
+    def nearest(a: Column, others: Column) -> Column:
+        close = F.array(F.array_max(F.filter(others, lambda b: b <= a)), F.array_min(F.filter(others, lambda b: b > a)))
+        return F.transform(F.array_compact(close), lambda b: span(a, b))
+
+    apart = lambda s: s["width"] - len(core[0]) - len(core[1]) <= gap
+    best = lambda p: F.array_min(F.filter(F.flatten(F.transform(p["a"], lambda a: nearest(a, p["b"]))), apart))
+    bound = F.transform(F.array(F.struct(first.alias("a"), second.alias("b"))), best)
+    ends = F.transform(bound, lambda s: F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.when(have, F.get(ends, 0))
+
 
-    pairs = F.filter(F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: span(a, b)))), lambda s: s.isNotNull())
-    best = F.array_min(pairs)
-    return F.when(have & (F.size(pairs) > 0), F.struct(best["start"].alias("start"), best["end"].alias("end")))
+def spans(text: Column, terms: list[str], gap: int = 180) -> Column:
+    """nearest_span as a row, or no row where there is none."""
+    return F.explode(F.array_compact(F.array(nearest_span(text, terms, gap))))
 
 
 def rarity_weights(documents: DataFrame, text: str, plan: Plan, runs: dict | None = None) -> list[float]:

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from colloquy import rules
 from colloquy.functions import text as tx
-from colloquy.functions.hits import concept_hit, coverages, set_similarity, supported, term_share, weighted_coverage
+from colloquy.functions.hits import concept_hit, set_similarity, term_share
+from colloquy.functions.segment import icu_segmenter
 from colloquy.operators import roles
-from colloquy.operators.passages import best_windows, passage_windows, question_windows, recall_windows
+from colloquy.operators.bridge import bridged_answers
+from colloquy.operators.passages import best_question, best_recall, best_supported, first_window
 from colloquy.operators.ranking import keep_max
 from colloquy.operators.scoring import nearest_span
-from colloquy.plans.plan import Plan
+from colloquy.plans.plan import Plan, Segmenter
+from colloquy.staging import staged
 
 
 def contiguous_runs(turns: DataFrame, meeting: str, turn_id: str | None, order: str, ord_: str | None = None) -> DataFrame:
@@ -71,8 +74,9 @@ def _prepared(turns: DataFrame, nfkc: bool) -> DataFrame:
     return own.withColumn("case_id", tx.case_id(F.col("issue_id"), F.col("date"), F.col("speech_id"), F.col("speech_order"), F.col("place")))
 
 
-def strict_pairs(turns: DataFrame, plan: Plan, runs: dict | None = None, nfkc: bool = True, allowed: DataFrame | None = None) -> DataFrame:
-    """Pairs of a question that supports every concept and a reply that does, one for each case and agency: the most relevant.
+def strict_pairs(turns: DataFrame, plan: Plan, runs: dict | None = None, nfkc: bool = True, allowed: DataFrame | None = None, segment: Segmenter | None = None) -> DataFrame:
+    """Pairs of a question that supports every concept and a reply that does, or is linked to it through its words or its brevity
+    (see bridge.py), one for each case and agency: the most relevant.
 
     The previous answer of the same speaker in the same office, among the five turns before the question, helps to settle the
     agency if it was about the first concept. allowed: (speech_id) of questions to look at.
@@ -85,20 +89,21 @@ def strict_pairs(turns: DataFrame, plan: Plan, runs: dict | None = None, nfkc: b
     asks = own.where("asks and length(text) >= 8")
     if allowed is not None:
         asks = asks.join(allowed, "speech_id", "left_semi")
-    best = question_windows(passage_windows(asks, ["issue_id", "place"], "text"), ["issue_id", "place"], plan, runs)
-    best = best.select("issue_id", "place", F.col("passage").alias("question"), "coverage")
-    asks = asks.join(best, ["issue_id", "place"]).select("issue_id", "exchange", "case_id", "question", "coverage", "earlier", F.col("speech_url").alias("question_url"))
+    best = best_question(asks, ["issue_id", "place"], "text", plan, runs)
+    best = best.select("issue_id", "place", F.col("passage").alias("question"), F.col("start").alias("question_start"), F.col("end").alias("question_end"), "coverage")
+    asks = asks.join(best, ["issue_id", "place"]).select("issue_id", "exchange", "case_id", "question", "question_start", "question_end", F.col("text").alias("question_text"), "coverage", "earlier", F.col("speech_url").alias("question_url"))
     replies = own.where("not asks and not chair and exchange > 0 and coalesce(speech_url, '') <> ''")
-    cut = passage_windows(replies, ["issue_id", "place"], "text")
-    cut = cut.withColumn("cover", coverages(F.col("passage"), list(plan.groups), runs)).where(supported(F.col("cover")))
-    aligned = best_windows(cut, ["issue_id", "place"], weighted_coverage(F.col("cover")), F.length("passage")).select("issue_id", "place", F.col("passage").alias("answer"), F.col("score").alias("answer_score"))
+    aligned = best_supported(replies, ["issue_id", "place"], "text", plan, runs).select("issue_id", "place", F.col("passage").alias("answer"), F.col("score").alias("answer_score"))
     replies = replies.join(aligned, ["issue_id", "place"], "left")
     both = asks.join(replies.select("issue_id", "exchange", "place", "speaker", "speaker_position", "date", "meeting", "speech_url", "text", "answer", "answer_score"), ["issue_id", "exchange"])
     match = F.filter("earlier", lambda e: e["speaker"].eqNullSafe(F.col("speaker")) & e["speaker_position"].eqNullSafe(F.col("speaker_position")))
     both = both.withColumn("ministry", roles.answering_agency(tx.normalize(F.col("speaker_position"), nfkc), F.col("text"), F.try_element_at(match, F.lit(-1))["text"])).where("ministry is not null")
-    inherited = inherits_topic(F.col("text"), plan, runs)
-    both = both.withColumn("context", F.when(F.col("answer").isNotNull(), "answer").when(inherited, "turn")).where("context is not null")
-    both = both.withColumn("answer", F.coalesce("answer", "text")).withColumn("relevance", tx.round3((F.col("coverage") + F.coalesce("answer_score", F.lit(0.5))) / 2))
+    both = staged(both.withColumn("pair", F.monotonically_increasing_id()))
+    open_ = both.where("answer is null").select("pair", "question", "question_start", "question_end", "question_text", F.col("text").alias("answer_text"))
+    linked = bridged_answers(open_, plan, segment or icu_segmenter(turns.sparkSession), runs)
+    linked = both.drop("answer", "answer_score").join(linked, "pair").select(*both.columns, "context")
+    both = both.where("answer is not null").withColumn("context", F.lit("answer")).unionByName(linked)
+    both = both.withColumn("relevance", tx.round3((F.col("coverage") + F.col("answer_score")) / 2))
     out = both.select(
         "case_id", "ministry", "question", "answer", F.coalesce("speaker", F.lit(rules.UNNAMED)).alias("speaker"), F.coalesce("speaker_position", F.lit("")).alias("position"),
         F.coalesce("speaker_position", F.lit("")).alias("speaker_title"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("meeting", F.lit("")).alias("meeting"),
@@ -107,14 +112,6 @@ def strict_pairs(turns: DataFrame, plan: Plan, runs: dict | None = None, nfkc: b
     return keep_max(out, ["case_id", "ministry"], [F.desc("relevance"), F.asc("place")]).drop("place").orderBy(F.desc("relevance"), F.desc("date"), "case_id", "ministry")
 
 
-def inherits_topic(reply: Column, plan: Plan, runs: dict | None = None) -> Column:
-    """A short reply takes its question's topic if it holds half of a concept or refers back, and asks nothing itself."""
-    half = F.lit(False)
-    for g in plan.groups:
-        half = half | (concept_hit(reply, g, runs)["coverage"] >= 0.5)
-    return (F.length(reply) <= 250) & (F.regexp_count(reply, F.lit(rules.CUES)) <= 1) & (half | reply.rlike(rules.BACK_REFERENCE))
-
-
 def recall_pairs(turns: DataFrame, plan: Plan, runs: dict | None = None, nfkc: bool = True, blend: bool = True) -> DataFrame:
     """Pairs for a reviewer: replies of which the question or the reply itself touches the subjects, with clipped context.
 
@@ -126,7 +123,7 @@ def recall_pairs(turns: DataFrame, plan: Plan, runs: dict | None = None, nfkc: b
     own = lag_context(own, "issue_id", ["place"], "text", usable=~F.col("chair"))
     usable = "not asks and not chair and exchange > 0 and coalesce(speech_url, '') <> '' and length(text) >= 8"
     both = own.where(f"asks or ({usable})").where(~(~F.col("asks") & (F.length("text") < 120) & F.col("text").rlike(rules.NO_ANSWER)))
-    match = recall_windows(passage_windows(both, key, "text"), key, plan, runs).select(*key, F.struct("start", "end", "score").alias("match"))
+    match = best_recall(both, key, "text", plan, runs).select(*key, F.struct("start", "end", "score").alias("match"))
     both = both.join(match, key, "left")
     asks = both.where("asks").select(
         "issue_id", "exchange", "case_id", F.col("text").alias("question_text"), F.col("match").alias("q"), F.col("speech_url").alias("question_url"), "previous_context")
@@ -135,9 +132,11 @@ def recall_pairs(turns: DataFrame, plan: Plan, runs: dict | None = None, nfkc: b
     rows = rows.withColumn("ministry", roles.answering_agency(tx.normalize(F.col("speaker_position"), nfkc), F.col("answer_text"))).where("ministry is not null")
     q, a = F.coalesce("q.score", F.lit(0.0)), F.coalesce("a.score", F.lit(0.0))
     score = 0.75 * F.greatest(q, a) + 0.25 * F.least(q, a) if blend else F.when(F.col("q").isNotNull(), q).otherwise(a)
+    first = F.when(F.length("answer_text") > 2000, first_window(F.col("answer_text")))
+    rows = rows.withColumn("shown", F.when(F.col("a").isNull(), first).otherwise(F.struct("a.start", "a.end")))
     rows = rows.select(
         "case_id", "ministry", tx.context_clip(F.col("question_text"), F.col("q.start"), F.col("q.end"), 1600, 1000).alias("question"),
-        tx.context_clip(F.col("answer_text"), F.col("a.start"), F.col("a.end"), 2000, 1100).alias("answer"),
+        tx.context_clip(F.col("answer_text"), F.col("shown.start"), F.col("shown.end"), 2000, 1100).alias("answer"),
         F.when(F.col("q").isNull(), F.col("previous_context")).otherwise(F.lit("")).alias("previous_context"),
         F.coalesce("speaker", F.lit(rules.UNNAMED)).alias("speaker"), F.coalesce("speaker_position", F.lit("")).alias("position"), F.coalesce("date", F.lit("")).alias("date"),
         F.coalesce("meeting", F.lit("")).alias("meeting"), F.col("speech_url").alias("url"), F.coalesce("question_url", F.lit("")).alias("question_url"),

@@ -14,7 +14,7 @@ Segmenter = Callable[[str], list[Segment]]
 
 _KATAKANA = re.compile("[ァ-ヺヽ-ヿㇰ-ㇿ]")
 _KATAKANA_RUN = re.compile("[ァ-ヺー-ヿㇰ-ㇿ]+")
-_HAN = re.compile("[㐀-䶿一-鿿豈-﫿々〇]")
+_HAN = re.compile(f"[{rules.HAN}]")
 MOST_CONCEPTS, LONGEST_CONCEPT, MOST_QUERIES = 12, 80, 5
 
 

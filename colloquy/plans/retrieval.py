@@ -6,18 +6,20 @@ The loop runs on the driver and only decides from counts and short lists; every
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy import rules
 from colloquy.operators import roles
-from colloquy.operators.passages import passage_windows, recall_windows
-from colloquy.operators.ranking import diversified, meeting_ranks
+from colloquy.operators.passages import best_recall
+from colloquy.operators.ranking import diversified, keep_last, meeting_ranks
 from colloquy.operators.shares import fractional_shares
 from colloquy.operators.turns import contiguous_runs, held_for_context, recall_pairs, strict_pairs
-from colloquy.plans.plan import Plan
+from colloquy.plans.plan import Plan, Segmenter
 from colloquy.sources import readers
+from colloquy.staging import staged
 
 FAST_SCANS, FAST_ROWS, YEARLY_SCANS = 3, 96, 14
 ENOUGH_CASES, ENOUGH_MEETINGS, STRONG = 12, 3, 0.75
@@ -59,13 +61,21 @@ def recall_ranks(turns: DataFrame, plan: Plan, limit: int = 4, runs: dict | None
     own = turns.where(F.coalesce("issue_id", F.lit("")) != "").where(F.coalesce("speech_id", F.lit("")) != "").where(~roles.is_chair(*args))
     own = own.withColumn("asks", roles.is_questioner(F.col("speaker_group"), *args))
     own = own.where(F.col("asks") | roles.answering_agency(F.col("speaker_position"), F.col("speech")).isNotNull())
-    best = recall_windows(passage_windows(own, ["issue_id", "speech_id"], "speech"), ["issue_id", "speech_id"], plan, runs).select("issue_id", "speech_id", "score")
-    return meeting_ranks(best.join(own.select("issue_id", "speech_id", "asks").distinct(), ["issue_id", "speech_id"]), "issue_id", "speech_id", F.col("asks"), F.col("score"), limit, counts)
+    best = best_recall(own, ["issue_id", "speech_id", "asks"], "speech", plan, runs)
+    return meeting_ranks(best, "issue_id", "speech_id", F.col("asks"), F.col("score"), limit, counts)
 
 
 def _diverse(pairs: DataFrame, limit: int) -> DataFrame:
     bucket = F.coalesce(F.nullif(F.split("case_id", ":")[0], F.lit("")), F.nullif("meeting", F.lit("")), F.nullif("date", F.lit("")), F.lit("unknown"))
-    return diversified(pairs.withColumn("bucket", bucket), limit, score="retrieval_score").drop("bucket", "ord")
+    return diversified(pairs.withColumn("bucket", bucket), limit, score="retrieval_score", date="date").drop("bucket", "ord")
+
+
+def latest(scans: list[DataFrame]) -> DataFrame:
+    """The rows of some scans; of those of one turn the last one found, at the place of the first. Turns without an id all count."""
+    parts = [s.withColumn("_found", F.struct(F.lit(i).alias("scan"), "ord")) for i, s in enumerate(scans)]
+    rows = reduce(DataFrame.unionByName, parts)
+    named = F.coalesce("speech_id", F.lit("")) != ""
+    return keep_last(rows.where(named), ["speech_id"], "_found").unionByName(rows.where(~named)).drop("_found")
 
 
 def retrieve_fast(turns: DataFrame, plan: Plan, year: int, since: str = "2001-01-01", max_scans: int = FAST_SCANS, excluded: list[str] | None = None, runs: dict | None = None) -> Retrieval:
@@ -74,9 +84,16 @@ def retrieve_fast(turns: DataFrame, plan: Plan, year: int, since: str = "2001-01
     out, budget = Retrieval(recent_since=recent_since(year)), max(0, min(FAST_SCANS, max_scans))
     pool: DataFrame | None = None
     full: DataFrame | None = None
+    made: dict[int, DataFrame] = {}
     queries, done = list(dict.fromkeys(plan.queries))[:2], 0
 
     def sample() -> DataFrame:
+        """The candidates of what has been scanned so far, worked out once for every number of scans."""
+        if out.scans not in made:
+            made[out.scans] = staged(candidates())
+        return made[out.scans]
+
+    def candidates() -> DataFrame:
         own = contiguous_runs(pool, "issue_id", "speech_id", "speech_order", "ord").withColumn("issue_run", F.concat_ws("#", "issue_id", F.col("run").cast("string"))).drop("run")
         if full is not None:
             own = own.join(full.select("issue_id").distinct(), "issue_id", "left_anti").unionByName(full.withColumn("issue_run", F.col("issue_id")))
@@ -93,7 +110,7 @@ def retrieve_fast(turns: DataFrame, plan: Plan, year: int, since: str = "2001-01
         out.searched.append((query, since, f"{year}-12-31"))
         pool = scan.rows if pool is None else pool.unionByName(scan.rows)
         enough = sufficient(sample())
-        if not enough and scan.hits and out.scans < budget:
+        if not enough and out.scans < budget and not scan.rows.isEmpty():
             ranked = recall_ranks(scan.rows, plan, 20, runs).join(scan.rows.groupBy("issue_id").agg(F.min("meeting").alias("meeting"), F.min(F.nullif("date", F.lit(""))).alias("date")), "issue_id").collect()
             ranked.sort(key=lambda r: (-r["has_question"], -(r["question_matches"] + min(r["answer_matches"], 4)), -r["score"], r["issue_id"]))
             committees = list(dict.fromkeys(r["meeting"] for r in ranked if r["meeting"] and r["meeting"] != rules.PLENARY))[:3]
@@ -111,7 +128,7 @@ def retrieve_fast(turns: DataFrame, plan: Plan, year: int, since: str = "2001-01
     return out
 
 
-def retrieve_yearly(turns: DataFrame, plan: Plan, year: int, since: str = "2020-01-01", max_scans: int = YEARLY_SCANS, excluded: list[str] | None = None, include_older: bool = False, runs: dict | None = None) -> Retrieval:
+def retrieve_yearly(turns: DataFrame, plan: Plan, year: int, since: str = "2020-01-01", max_scans: int = YEARLY_SCANS, excluded: list[str] | None = None, include_older: bool = False, runs: dict | None = None, segment: Segmenter | None = None) -> Retrieval:
     """A scan for each of the last three years and query, then four whole meetings: the best of each year before the best of the
     rest. Without candidates the years before are searched once."""
     out, budget = Retrieval(recent_since=recent_since(year)), max(0, min(YEARLY_SCANS, max_scans))
@@ -123,7 +140,7 @@ def retrieve_yearly(turns: DataFrame, plan: Plan, year: int, since: str = "2020-
         most = min(8 if any(a >= out.recent_since for a, _ in periods) else 10, max(0, budget - 1))
         second = plan.queries[1:2] if plan.recall_groups else [plan.groups[1].text] if len(plan.groups) > 1 else list(plan.queries[-1:])
         first = list(dict.fromkeys([*plan.queries[:1], *second]))
-        pools: dict[tuple[str, str], DataFrame] = {}
+        pools: dict[tuple[str, str], list[DataFrame]] = {}
 
         def scan(queries: list[str]) -> None:
             for query in queries:
@@ -131,13 +148,13 @@ def retrieve_yearly(turns: DataFrame, plan: Plan, year: int, since: str = "2020-
                     if out.scans >= most:
                         out.search_limited = True
                         return
-                    found = readers.scan_turns(turns, query, *period, excluded=excluded)
-                    out.scans, out.hits, out.search_limited = out.scans + 1, out.hits + found.hits, out.search_limited or found.truncated
+                    got = readers.scan_turns(turns, query, *period, excluded=excluded)
+                    out.scans, out.hits, out.search_limited = out.scans + 1, out.hits + got.hits, out.search_limited or got.truncated
                     out.searched.append((query, *period))
-                    pools[period] = found.rows if period not in pools else pools[period].unionByName(found.rows)
+                    pools.setdefault(period, []).append(got.rows)
 
         def rank() -> list[list]:
-            return [recall_ranks(pools[p].dropDuplicates(["speech_id"]), plan, 4, runs).collect() for p in periods if p in pools]
+            return [recall_ranks(latest(pools[p]), plan, 4, runs).collect() for p in periods if p in pools]
 
         scan(first)
         ranked = rank()
@@ -157,16 +174,22 @@ def retrieve_yearly(turns: DataFrame, plan: Plan, year: int, since: str = "2020-
             out.scans += 1
             chosen[issue] = None
 
-    def candidates() -> DataFrame:
-        return _diverse(recall_pairs(readers.meetings_by_id(turns, list(chosen)), plan, runs, nfkc=False), 12)
+    made: dict[tuple[str, ...], tuple[DataFrame, DataFrame]] = {}
+
+    def found() -> tuple[DataFrame, DataFrame]:
+        """The turns of the chosen meetings, read once, and their candidates."""
+        if tuple(chosen) not in made:
+            own = staged(readers.meetings_by_id(turns, list(chosen)))
+            made[tuple(chosen)] = own, staged(_diverse(recall_pairs(own, plan, runs, nfkc=False), 12))
+        return made[tuple(chosen)]
 
     search(recent + older if include_older else recent)
-    if not include_older and older and out.scans < min(10, budget - 1) and (not chosen or candidates().isEmpty()):
+    if not include_older and older and out.scans < min(10, budget - 1) and (not chosen or found()[1].isEmpty()):
         search(older)
         out.historical_only = True
     if chosen:
-        own = readers.meetings_by_id(turns, list(chosen))
-        out.candidates, out.pairs = candidates(), strict_pairs(own, plan, runs, nfkc=False)
+        own, out.candidates = found()
+        out.pairs = strict_pairs(own, plan, runs, nfkc=False, segment=segment)
         out.shares = fractional_shares(out.pairs, "case_id", "ministry")
         out.historical_only &= not out.candidates.isEmpty()
     out.meetings = list(chosen)

@@ -188,14 +188,16 @@ def passage_windows(spark: SparkSession, sf: str) -> DataFrame:
 b AS (SELECT *, list_sum(c) / 3 AS score FROM c WHERE list_max(c) >= 0.5)
 SELECT conv_id, turn, start, t AS passage, round(score, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, length(t), window_no) = 1""")
 def best_passage(spark: SparkSession, sf: str) -> DataFrame:
-    return passages.recall_windows(_windows(spark, sf), ["conv_id", "turn"], PLAN).select("conv_id", "turn", "start", "passage", r6("score"))
+    own = passages.best_recall(table(spark, sf, "conversations"), ["conv_id", "turn"], "text", PLAN, ends=LATIN_ENDS, shift=NO_SHIFT)
+    return own.select("conv_id", "turn", "start", "passage", r6("score"))
 
 
 @query(f"""WITH {_WINDOWS}, c AS (SELECT *, [{", ".join(COVER_SQL)}] AS c FROM win),
 b AS (SELECT *, list_sum(c) / 3 AS coverage, list_sum(c) / 3 - length(t) / 5000.0::DOUBLE AS score FROM c WHERE list_min(c) >= 0.66)
 SELECT conv_id, turn, start, t AS passage, round(coverage, 6) AS coverage, round(score, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, window_no) = 1""")
 def question_window(spark: SparkSession, sf: str) -> DataFrame:
-    return passages.question_windows(_windows(spark, sf), ["conv_id", "turn"], PLAN).select("conv_id", "turn", "start", "passage", r6("coverage"), r6("score"))
+    own = passages.best_question(table(spark, sf, "conversations"), ["conv_id", "turn"], "text", PLAN, ends=LATIN_ENDS, shift=NO_SHIFT)
+    return own.select("conv_id", "turn", "start", "passage", r6("coverage"), r6("score"))
 
 
 # --- scores ----------------------------------------------------------------------------------------
@@ -221,8 +223,8 @@ a80 AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY conv_id, turn OR
 p AS (SELECT conv_id, turn, least(a.i, b.i) - 1 AS start, greatest(a.i + 3, b.i + 4) - 1 AS e FROM a80 a JOIN b80 b USING (conv_id, turn) WHERE greatest(0, greatest(a.i, b.i) - least(a.i + 3, b.i + 4)) <= 180)
 SELECT conv_id, turn, start::INT AS start, e::INT AS "end" FROM p QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY e - start, start, e) = 1""")
 def proximity_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "conversations").select("conv_id", "turn", scoring.nearest_span(F.col("text"), ["the", "tion"]).alias("s"))
-    return own.where("s is not null").select("conv_id", "turn", "s.start", "s.end")
+    own = table(spark, sf, "conversations").select("conv_id", "turn", scoring.spans(F.col("text"), ["the", "tion"]).alias("s"))
+    return own.select("conv_id", "turn", "s.start", "s.end")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text, list_filter(list_distinct(regexp_extract_all(text, '[A-Za-z0-9]{2,}')), lambda w: NOT regexp_full_match(w, '[0-9]+')) AS t FROM conversations)
@@ -391,7 +393,7 @@ def title_rule_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT n_name, count(*)::BIGINT AS n, round(sum(s_acctbal), 2) AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
 def exact_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    own = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return own.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
 
 

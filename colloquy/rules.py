@@ -72,6 +72,8 @@ GREETINGS = (
 )
 ENTITY_SUFFIX = r"(?:[\p{IsHan}等]{0,16})?(?:法|令|規則|機構|省|庁|委員会|審議会|部会|協会)(?=[^\p{IsHan}]|$)"
 KATAKANA = r"[\p{IsKatakana}ー]"
+# Letters of the Han script below U+10000, for patterns of Python, which know no scripts.
+HAN = "⺀-⻳⼀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-﫿"
 
 # Fixed values. Words that say nothing about the topic.
 FILLER = (
@@ -98,7 +100,7 @@ BACK_REFERENCE = "御指摘|おっしゃ|その点|その取組|本件"
 
 # Fixed values. What a draft question may be wrapped in.
 REQUEST_SUFFIX = r"(?:について|に関して)(?:詳しく|具体的に)?教えて(?:ください|下さい)[。．.!！?？]*$"
-SHOULD = "を([㐀-䶿一-鿿々]{2,4})(?:する|す)?べき"
+SHOULD = f"を([{HAN}]{{2,4}})(?:する|す)?べき"
 SHOULD_GENERIC = ("検討", "議論", "考慮", "実施")
 
 # Fixed values. Laws that set up an agency.

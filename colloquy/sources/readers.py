@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy import schema
 from colloquy.functions.text import normalize
 from colloquy.sources.sinks import CSV
+from colloquy.staging import staged
 
 SPEECHES, MEETINGS = 100, 10
 
@@ -73,25 +74,36 @@ def newest(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
 
 
 def scan_turns(turns: DataFrame, query: str, since: str | None = None, until: str | None = None, limit: int = SPEECHES, excluded: list[str] | None = None) -> Scan:
-    """The newest turns that hold all words of a query; a filter on a range of dates reaches the files."""
-    hits = turns.where(between(F.col("date"), since, until)).where(has_all(F.col("speech"), query))
+    """The newest turns that hold all words of a query; a filter on a range of dates reaches the files.
+
+    The corpus is read once: hits are counted as they pass, and the rows kept are written. Hits count before meetings are
+    excluded, and a scan's limit applies to what is left, so a scan isn't used up by meetings that are known.
+    """
+    hits, seen = turns.where(between(F.col("date"), since, until)).where(has_all(F.col("speech"), query)), Observation()
+    hits = hits.observe(seen, F.count(F.lit(1)).alias("n"))
     if excluded:
-        hits = hits.where(~F.col("issue_id").isin(excluded))
-    n = hits.count()
-    return Scan(newest(hits, [F.desc("date"), F.asc("issue_id"), F.asc("ord")], limit), n > limit, n)
+        hits = hits.where(~F.coalesce(F.col("issue_id").isin(excluded), F.lit(False)))
+    rows = staged(newest(hits, [F.desc("date"), F.asc("issue_id"), F.asc("ord")], limit))
+    n = seen.get["n"]
+    return Scan(rows, n > limit, n)
 
 
 def scan_meetings(turns: DataFrame, query: str, since: str | None = None, until: str | None = None, limit: int = MEETINGS, meetings: list[str] | None = None, excluded: list[str] | None = None) -> Scan:
-    """All turns of the newest meetings of which a turn holds all words of a query."""
+    """All turns of the newest meetings of which a turn holds all words of a query.
+
+    The names of the meetings (at most `limit`) come first, so that the second pass is a filter that reaches the files.
+    """
     own = turns.where(between(F.col("date"), since, until))
     if meetings:
         own = own.where(F.col("meeting").isin(meetings))
+    hit, seen = own.where(has_all(F.col("speech"), query)).groupBy("issue_id").agg(F.max("date").alias("_date")), Observation()
+    hit = hit.observe(seen, F.count(F.lit(1)).alias("n"))
     if excluded:
-        own = own.where(~F.col("issue_id").isin(excluded))
-    hit = own.where(has_all(F.col("speech"), query)).groupBy("issue_id").agg(F.max("date").alias("_date"))
-    n = hit.count()
-    kept = newest(hit, [F.desc("_date"), F.asc("issue_id")], limit)
-    return Scan(own.join(F.broadcast(kept.select("issue_id")), "issue_id", "left_semi"), n > limit, n)
+        hit = hit.where(~F.coalesce(F.col("issue_id").isin(excluded), F.lit(False)))
+    kept = [r["issue_id"] for r in newest(hit, [F.desc("_date"), F.asc("issue_id")], limit).collect()]
+    n = seen.get["n"]
+    named = F.col("issue_id").isin([i for i in kept if i is not None])
+    return Scan(staged(own.where(named | F.col("issue_id").isNull() if None in kept else named)), n > limit, n)
 
 
 def meetings_by_id(turns: DataFrame, ids: list[str]) -> DataFrame:
