@@ -633,3 +633,6 @@ def csv_export(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id::VARCHAR AS doc_id, md5(coalesce(text, '')) AS digest, lang, source FROM documents")
 def csv_export_text(spark: SparkSession, sf: str) -> DataFrame:
     return _reread_csv(spark, sf).select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "lang", "source")
+
+
+from colloquy import transcript_queries  # noqa: E402, F401  registers its own

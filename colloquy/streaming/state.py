@@ -15,7 +15,7 @@ MOST_ENTRY_BYTES, MOST_SOURCE_BYTES = 2_000_000, 12_000_000
 
 def expires(at: Column, complete: Column, seconds: int = COMPLETE_SECONDS, failed_seconds: int = FAILED_SECONDS) -> Column:
     """A complete result is kept long, a failed or partial one shortly."""
-    return F.timestamp_micros(F.unix_micros(at.cast("timestamp")) + F.when(complete, F.lit(seconds)).otherwise(F.lit(failed_seconds)) * 1_000_000)
+    return F.timestamp_micros(F.unix_micros(at.cast("timestamp")) + F.when(complete, F.lit(seconds)).otherwise(F.lit(failed_seconds)).cast("long") * 1_000_000)
 
 
 def cacheable(expected: Column, completed: Column, uncertain: Column) -> Column:
