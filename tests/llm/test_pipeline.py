@@ -3,7 +3,8 @@
 from collections import Counter
 
 import corpus_pipeline
-from fixtures import documents
+from fixtures import components, documents, lower, simhash, words_of
+from test_text_ops import plain_targets
 
 from colloquy.llm import op3_simhash, op7_decontamination, op8_mixing
 from colloquy.llm.queries import ORACLES, QUERIES
@@ -29,6 +30,42 @@ def test_stages(spark, sf):
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()) == Counter(r["doc_id"] for r in shards.collect())
 
 
+def test_stages_by_brute_force(spark, sf):
+    """SimHash, decontamination, mixing and sharding, each on the last one's rows, by plain Python."""
+    stage, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{sf}/documents.parquet")
+    one = stage["simhash"](spark, docs, sf).cache()
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    fps = [simhash(t) for _, t in rows]
+    groups = components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2])
+    first = {}
+    for (d, _), g in zip(rows, groups):
+        first[g] = min(first.get(g, d), d)
+    assert Counter(r["doc_id"] for r in one.collect()) == Counter(first.values())
+    kept = stage["decontamination"](spark, one, sf).cache()
+
+    def shingles(text):
+        w = "".join(c if not c.isascii() or c.isalnum() else " " for c in lower(text)).split(" ")
+        w = [x for x in w if x]
+        return {tuple(w[i : i + 5]) for i in range(max(0, len(w) - 4))} or ({tuple(w)} if w else set())
+
+    items = [s for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if (s := shingles(r["text"]))]
+    assert all(len(next(iter(s))) == 5 for s in items)
+    clean = {r["doc_id"] for r in one.collect() if not any(len(s & shingles(r["text"])) >= 0.8 * len(s) - 1e-9 for s in items)}
+    assert {r["doc_id"] for r in kept.collect()} == clean and len(clean) < one.count()
+    mix = stage["mixing"](spark, kept, sf).cache()
+    size, largest, taken = Counter(), Counter(), Counter()
+    for r in kept.collect():
+        n = len(words_of(r["text"]))
+        size[r["source"]] += n
+        largest[r["source"]] = max(largest[r["source"]], n)
+    for r in mix.collect():
+        taken[r["source"]] += len(words_of(r["text"]))
+    want = plain_targets(size)
+    assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6 for s in size)
+    shards = stage["sharding"](spark, mix, sf)
+    assert Counter(r["doc_id"] for r in shards.collect()) == Counter(r["doc_id"] for r in mix.collect())
+
+
 def test_stages_take_hard_cases(spark, sf):
     hard = documents(spark, extra=False)
     for own in (hard, hard.where("doc_id = -1")):
@@ -36,6 +73,7 @@ def test_stages_take_hard_cases(spark, sf):
             out = stage(spark, own, sf)
             n = out.count()
             assert n <= 3 * own.count() and (name == "sharding" or out.columns == own.columns)
+            assert name == "sharding" or {(r["doc_id"], r["text"]) for r in out.collect()} <= {(r["doc_id"], r["text"]) for r in own.collect()}
 
 
 def test_registered():
