@@ -1,4 +1,10 @@
-"""The corpus pipeline: toxicity, near-dedup, decontamination, mixing and sharding, each over all that the last stage kept."""
+"""The corpus pipeline: toxicity, near-dedup, decontamination, mixing and sharding, each over all that the last stage kept.
+
+Every stage takes null columns, empty and very long texts, ties, repeated rows, empty tables and extra columns as its operator does.
+Null and empty texts score below the threshold where toxic labels are the fewer, are near-duplicates of each other, hold no
+benchmark item and count 0 words. Repeated rows are one after the second stage, and may be up to three again after the mix. An empty
+table stays empty. Extra columns are kept until the last stage.
+"""
 
 from __future__ import annotations
 
@@ -47,7 +53,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", sharding),
 ]
 
-#: A trained classifier and a SimHash closure are not expressible in SQL; tests compare with a brute-force version.
+#: A trained classifier and a SimHash closure are not expressible in SQL; tests compare the other stages with brute-force versions, and
+#: the classifier with its features added up one by one and with held-out labels.
 ORACLE_SQL: str | None = None
 
 
