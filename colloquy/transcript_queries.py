@@ -20,7 +20,7 @@ from colloquy.sources import readers
 from colloquy.streaming import state
 
 PHRASES = (
-    "水素ステーションの整備について、政府としてはどのような見解をお持ちなのか伺います。", "金融庁としては水素の整備に取り組みます。", "御指摘の水素ステーションの税制を進めます。", "環境省として対応します。水素ステーションの整備を進めます。次に、農業です。",
+    "水素ステーションの整備について、政府としてはどのような見解をお持ちなのか伺います。", "金融庁としては水素ステーションの整備に取り組みます。", "御指摘の水素ステーションの税制を進めます。", "環境省として対応します。水素ステーションの整備を進めます。次に、農業です。",
     "○山田委員長 開会します。", "独立行政法人水素機構が検討します。質問しません。", "連携する金融庁として対応します。水素の支援。", "「お答えします」と申し上げました。税制です。",
 )
 POSITIONS = ("経済産業大臣", "財務大臣・内閣府特命担当大臣(金融)", "内閣総理大臣", "環境省地球環境局長", "参考人", "内閣府副大臣")
@@ -194,7 +194,7 @@ def allowed_urls(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("page_id", lookups.allowed_url(F.col("url"), host or "").alias("allowed"))
 
 
-@query("""SELECT event_id, epoch_us(ts) + CASE WHEN value >= 50 THEN 86400 ELSE 30 END * 1000000 AS expires_us, event_id % 5 = event_id % 3 AND event_id % 4 = 0 AS cacheable FROM events""")
+@query("""SELECT event_id, epoch_us(ts) + CASE WHEN value >= 50 THEN 86400 ELSE 30 END * 1000000::BIGINT AS expires_us, event_id % 5 = event_id % 3 AND event_id % 4 = 0 AS cacheable FROM events""")
 def cache_rules(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "events")
     expires = F.unix_micros(state.expires(F.col("ts"), F.coalesce(F.col("value") >= 50, F.lit(False))))
