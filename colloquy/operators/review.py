@@ -136,18 +136,34 @@ def accepted_unique(rows: DataFrame) -> DataFrame:
     return keep_last(rows, ["case_id", "ministry"], "ord")
 
 
-def run_reviewer(candidates: DataFrame, reviewer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch: str = "batch", parallel: int = 3) -> DataFrame:
-    """Reviews of numbered batches of candidates, at most `parallel` at a time. A batch that fails gives no rows, so its
-    candidates end as uncertain."""
+class NotNow(RuntimeError):
+    """What a reviewer raises where trying again is no use: a quota is used up, or the model is busy."""
+
+
+def run_reviewer(candidates: DataFrame, reviewer: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch: str = "batch", parallel: int = 3, split: int | None = None) -> DataFrame:
+    """Reviews of numbered batches of candidates, at most `parallel` at a time. A batch that fails is tried once more. split: a batch
+    of so many that fails twice is then halved, and each half reviewed on its own, as the earlier policy did with four. What still
+    fails gives no rows, so its candidates end as uncertain; NotNow isn't tried again."""
+
+    def attempt(own: pd.DataFrame) -> pd.DataFrame | None:
+        for _ in range(2):
+            try:
+                return reviewer(own)
+            except NotNow:
+                return None
+            except (TimeoutError, ConnectionError, ValueError):
+                continue
+        if split and len(own) == split and split > 1:
+            found = [f for f in (attempt(own.iloc[: split // 2]), attempt(own.iloc[split // 2 :])) if f is not None]
+            return pd.concat(found) if found else None
+        return None
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         every = [p for p in parts if len(p)]
         if every:
             for _, own in pd.concat(every).groupby(batch, sort=True):
-                try:
-                    found = reviewer(own)
-                except (TimeoutError, ConnectionError, ValueError):
-                    continue
-                yield found
+                found = attempt(own)
+                if found is not None:
+                    yield found
 
     return candidates.repartition(parallel, batch).mapInPandas(run, schema)

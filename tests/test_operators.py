@@ -287,6 +287,34 @@ def test_review(spark):
     assert sorted(r["id"] for r in ran.collect()) == ["c4", "c5", "c6", "c7"]
 
 
+def test_reviewer_tries_again(spark, tmp_path):
+    """Once more after a failure, then in halves; a quota that is used up isn't asked twice."""
+    candidates = spark.createDataFrame([(f"c{i}",) for i in range(1, 13)], "id string")
+    batches = ranking.batches(candidates, ["id"], 4).select("id", "batch")
+
+    def reviewer(own):
+        calls = tmp_path / "_".join(own["id"])
+        n = int(calls.read_text()) + 1 if calls.exists() else 1
+        calls.write_text(str(n))
+        first = sorted(own["id"])[0]
+        if "c1" in set(own["id"]) and n < 2:
+            raise TimeoutError
+        if len(own) == 4 and "c2" in set(own["id"]) or "c3" in set(own["id"]):
+            raise ValueError(first)
+        if "c5" in set(own["id"]):
+            raise review.NotNow
+        return own[["id"]].assign(decision="accept")
+
+    order = [sorted(r["id"] for r in batches.where(F.col("batch") == b).collect()) for b in range(3)]
+    got = {r["id"] for r in review.run_reviewer(batches, reviewer, "id string, decision string", split=4).collect()}
+    lost = {"c3", "c5"}
+    for own in order:
+        halves = [own] if not {"c2", "c3"} & set(own) else [own[:2], own[2:]]
+        for h in halves:
+            assert (set(h) <= got) == (not lost & set(h)) and (not lost & set(h) or not set(h) & got)
+    assert any((tmp_path / "_".join(o)).read_text() == "2" for o in order if "c1" in o)
+
+
 def test_quotes(spark):
     assert one(spark, tx.grounded(F.col("s"), F.col("q")), s="甲は乙である。", q="「乙である」") == "乙である"
     assert one(spark, tx.grounded(F.col("s"), F.col("q")), s="甲は乙である。", q="丙") is None
