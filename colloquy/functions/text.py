@@ -101,7 +101,7 @@ def quote_with_context(text: Column, quote: Column, sentence: str = rules.PART_S
 
 def grounded(source: Column, quote: Column, most: int = 180) -> Column:
     """The quote if it stands in the source, as it is or without one pair of quotation marks around it; else null."""
-    pairs = (("「", "」"), ("『", "』"), ('"', '"'), ("'", "'"), ("“", "”"))
+    pairs = (("「", "」"), ("『", "』"), ('"', '"'), ("“", "”"), ("‘", "’"))
     inner = F.substring(quote, F.lit(2), F.length(quote) - 2)
     fits = lambda q: F.length(q).between(1, most) & F.contains(source, q)
     wrapped = F.lit(False)

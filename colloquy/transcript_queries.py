@@ -12,10 +12,10 @@ from colloquy import rules, schema
 from colloquy.functions import hits as ht
 from colloquy.functions import text as tx
 from colloquy.functions.segment import icu_segmenter
-from colloquy.operators import lookups, ranking, review, roles, turns
+from colloquy.operators import lookups, ranking, review, roles, turns, verdicts
 from colloquy.plans import retrieval
 from colloquy.plans.plan import Concept, Plan
-from colloquy.queries import query, table
+from colloquy.queries import LATIN_PART, query, table
 from colloquy.sources import readers
 from colloquy.streaming import state
 
@@ -166,6 +166,63 @@ def retrieve_yearly(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.retrieve_yearly(readers.normalized_turns(as_turns(spark, sf)), PLAN, 2024, segment=icu_segmenter(spark)).candidates
 
 
+# --- reviewers' answers as text ---------------------------------------------------------------------
+
+#: A review of a label as JSON, in Spark and in the SQL: some lack a field, have one more, one that isn't text, or a value outside its set.
+REVIEW = (
+    "CASE WHEN doc_id % 37 = 5 THEN '[1]' ELSE '{\"id\":\"' || CASE WHEN doc_id % 23 = 7 THEN 'x' ELSE '' END || cast(doc_id as string) || '\"'"
+    " || CASE WHEN doc_id % 13 = 0 THEN '' ELSE ',\"beneficiary\":\"' || CASE WHEN doc_id % 25 = 9 THEN ' ' ELSE 'who' END || '\"' END"
+    " || ',\"activity\":' || CASE WHEN doc_id % 19 = 3 THEN '7' ELSE '\"what\"' END"
+    " || ',\"relation\":\"' || CASE WHEN toxic = 1 THEN 'different' WHEN doc_id % 29 = 1 THEN ' same' WHEN doc_id % 29 = 2 THEN 'Same' WHEN doc_id % 29 = 4 THEN 'accept' WHEN doc_id % 29 = 6 THEN '' WHEN doc_id % 29 = 8 THEN 'x' WHEN quality = 0 THEN 'unclear' ELSE 'same' END"
+    " || '\",\"comparison\":\"' || CASE WHEN doc_id % 17 = 0 THEN ' ' WHEN doc_id % 17 = 1 THEN repeat('y', 301) ELSE 'why' END"
+    " || '\",\"decision\":\"' || CASE WHEN doc_id % 31 = 9 THEN 'yes' WHEN quality = 1 THEN 'accept' ELSE 'uncertain' END || '\"'"
+    " || CASE WHEN doc_id % 27 = 2 THEN ',\"note\":\"n\"' ELSE '' END"
+    " || CASE WHEN doc_id % 7 = 3 THEN '' WHEN doc_id % 7 = 4 THEN ',\"q\":\"\"' ELSE ',\"q\":\"q1\"' END"
+    " || CASE WHEN doc_id % 11 = 2 THEN '' ELSE ',\"a\":\"v1a2\"' END || '}' END"
+)
+_REVIEW_TEXTS = f"""one AS (SELECT doc_id, doc_id // 8 AS batch, {REVIEW} AS o FROM labels), said2 AS (SELECT *, 1 AS nth FROM one UNION ALL SELECT *, 2 FROM one WHERE doc_id % 5 = 1),
+rws AS (SELECT *, json_type(o) = 'OBJECT' AS obj, row_number() OVER (PARTITION BY batch ORDER BY doc_id, nth) AS place FROM said2 WHERE batch % 41 <> 3),
+f AS (SELECT batch, place, o, obj, CASE WHEN obj THEN json_keys(o) ELSE [] END AS k, o->>'id' AS id, o->>'beneficiary' AS beneficiary, o->>'relation' AS relation, o->>'comparison' AS comparison, o->>'decision' AS decision, o->>'q' AS q, o->>'a' AS a FROM rws),
+g AS (SELECT *, list_has_all(k, ['id', 'beneficiary', 'activity', 'relation', 'comparison', 'decision']) AND len(list_filter(k, lambda x: x NOT IN ('id', 'beneficiary', 'activity', 'relation', 'comparison', 'decision', 'q', 'a'))) = 0 AND json_type(o, '$.activity') = 'VARCHAR' AND NOT list_has_all(k, ['q', 'a']) AND decision IN ('reject', 'uncertain') AS omitted,
+  CASE WHEN relation = 'unclear' OR (decision = 'accept' AND relation <> 'same') THEN 'uncertain' WHEN relation <> 'same' THEN 'reject' ELSE decision END AS said FROM f),
+p AS (SELECT doc_id::VARCHAR AS did, doc_id // 8 AS batch, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]?'), lambda s: trim(s)), lambda s: s <> '') AS p FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+h AS (SELECT g.*, CASE WHEN NOT obj THEN 'invalid_row' WHEN NOT list_has_all(k, ['id', 'beneficiary', 'activity', 'relation', 'comparison', 'decision']) THEN 'missing_semantic_fields' WHEN list_contains(k, 'note') THEN 'unknown_fields' WHEN json_type(o, '$.activity') <> 'VARCHAR' THEN 'non_string_fields' WHEN NOT list_has_all(k, ['q', 'a']) AND decision = 'accept' THEN 'missing_accepted_refs' WHEN NOT list_has_all(k, ['q', 'a']) AND NOT omitted THEN 'invalid_row' END AS shape,
+  did IS NOT NULL AS known, p.p[1] AS qtext, p.p[2] AS atext FROM g LEFT JOIN p ON g.id = p.did AND g.batch = p.batch),
+i AS (SELECT *, CASE WHEN shape IS NOT NULL THEN shape WHEN NOT known THEN 'unknown_id' WHEN decision NOT IN ('accept', 'reject', 'uncertain') THEN 'invalid_decision' WHEN trim(comparison) = '' THEN 'blank_comparison' WHEN length(comparison) > 300 THEN 'long_comparison' WHEN relation NOT IN ('same', 'broader', 'provider_only', 'different', 'unclear') THEN 'invalid_relation' WHEN said = 'accept' AND (trim(beneficiary) = '' OR coalesce(q, '') = '' OR coalesce(a, '') = '') THEN 'blank_accepted_roles_or_refs' END AS r FROM h),
+j AS (SELECT *, min(place) FILTER (r IS NULL) OVER (PARTITION BY batch, id) AS head FROM i),
+chk AS (SELECT *, CASE WHEN shape IS NULL AND known AND place > head THEN 'duplicate_id' ELSE coalesce(r, CASE WHEN said = 'accept' AND (qtext IS NULL OR atext IS NULL) THEN 'unknown_accepted_refs' END) END AS reason FROM j)"""
+
+
+def _review_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, responses as read, rows as checked): a response for eight labels, some of it said twice, in a string, or no JSON at all."""
+    labels = table(spark, sf, "labels")
+    one = labels.select("doc_id", F.expr("doc_id div 8").alias("batch"), F.expr(REVIEW).alias("o"))
+    both = one.withColumn("nth", F.lit(1)).union(one.where("doc_id % 5 = 1").withColumn("nth", F.lit(2)))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "nth", "o"))), lambda s: s["o"]), ",")
+    texts = both.groupBy("batch").agg(F.concat(F.lit('{"reviews":['), listed, F.lit("]}")).alias("t"))
+    texts = texts.select("batch", F.expr("CASE WHEN batch % 41 = 3 THEN 'no json' WHEN batch % 43 = 2 THEN '\"' || replace(t, '\"', '\\\\\"') || '\"' ELSE t END").alias("response"))
+    candidates = labels.select(F.expr("doc_id div 8").alias("batch"), F.col("doc_id").cast("string").alias("id")).distinct()
+    docs = table(spark, sf, "documents").select(F.expr("doc_id div 8").alias("batch"), F.col("doc_id").cast("string").alias("id"), "doc_id", F.col("text").alias("question"), F.col("text").alias("answer"))
+    parts = verdicts.answer_parts(docs.join(candidates, ["batch", "id"], "left_semi"), ["batch", "id"], "doc_id", "doc_id", sentence=LATIN_PART, skip=(), header="^$")
+    read = verdicts.read_reviews(texts)
+    return candidates, read, verdicts.checked_rows(verdicts.review_rows(read), candidates, parts)
+
+
+@query(f"""WITH {_REVIEW_TEXTS} SELECT batch, 'returned' AS counter, count(*)::BIGINT AS n FROM rws GROUP BY batch UNION ALL SELECT batch, 'invalid_review', 1 FROM one WHERE batch % 41 = 3 GROUP BY batch UNION ALL SELECT batch, 'omitted_unused_refs', count(*) FROM chk WHERE omitted GROUP BY batch UNION ALL SELECT batch, reason, count(*) FROM chk WHERE reason IS NOT NULL GROUP BY batch, reason
+UNION ALL SELECT batch, 'relation_' || CASE WHEN relation = '' THEN 'blank' WHEN relation = ' same' THEN 'surrounding_whitespace' WHEN relation = 'Same' THEN 'letter_case' WHEN relation = 'accept' THEN 'decision_code' ELSE 'other' END AS kind, count(*) FROM chk WHERE reason = 'invalid_relation' GROUP BY ALL""")
+def review_text_counters(spark: SparkSession, sf: str) -> DataFrame:
+    _, read, checked = _review_texts(spark, sf)
+    return verdicts.batch_counters(read, checked)
+
+
+@query(f"""WITH {_REVIEW_TEXTS}, good AS (SELECT batch, id, said, qtext, atext FROM chk WHERE reason IS NULL), late AS (SELECT DISTINCT batch, id FROM chk WHERE reason = 'duplicate_id'), c AS (SELECT DISTINCT doc_id // 8 AS batch, doc_id::VARCHAR AS id FROM labels),
+s AS (SELECT c.*, CASE WHEN late.id IS NULL THEN good.said END AS said, qtext, atext FROM c LEFT JOIN good USING (batch, id) LEFT JOIN late USING (batch, id))
+SELECT id, coalesce(said, 'uncertain') AS decision, said IS NOT NULL AS completed, CASE WHEN said = 'accept' THEN qtext END AS question_evidence, CASE WHEN said = 'accept' THEN atext END AS answer_evidence, CASE WHEN said = 'accept' THEN id::BIGINT END AS owner FROM s""")
+def review_text_settled(spark: SparkSession, sf: str) -> DataFrame:
+    candidates, _, checked = _review_texts(spark, sf)
+    return verdicts.settled(candidates, checked).drop("batch", "comparison")
+
+
 # --- reviews, addresses and caches -----------------------------------------------------------------
 
 
