@@ -6,16 +6,22 @@ nested levels whose radii halve:
 * Top: pivots in farthest-first order over a bounded sample (SAMPLE vectors, the first by a hash of the id); each prefix of the
   order covers the sample with a smaller radius. Every vector goes to its nearest pivot. The index is fitted on the sample, but it
   holds every vector, and bounds use the radius that the vectors really have.
-* Below a pivot, in pieces of at most about PIECE vectors: centres with radii 2 eps, eps and eps / 2, each level keeping the
-  centres of the one above. A leaf has a centre, the radius of its vectors around it (at most eps / 2, so they all link) and a
-  count.
+* Below a pivot, in pieces of at most about PIECE vectors: nodes, whose centres are a net of radius eps, and leaves, a net of
+  radius eps / 2 that keeps the nodes' centres. A leaf hangs on the node nearest to its centre. Nodes and leaves know the radius
+  that their vectors really have; those of a leaf (at most eps / 2) all link, so it needs only a count.
 
-The traversal goes down from pairs of pivots to pairs of blocks of leaves to pairs of leaves. A pair is pruned when its centres
-are farther apart than both radii and eps. A pair of leaves that lie within eps as a whole is linked by its counts, without its
-vectors, so a third of all rows in one tight group costs a few leaves. Leaf pairs in between are settled vector by vector. All
-bounds keep a margin of MARGIN, and every single pair is decided by its cosine in double precision.
+The traversal goes down in three steps, and nothing below a pruned pair is shipped:
 
-No tree can prune vectors that all lie equally far from each other; there the traversal compares all blocks, in matrix products.
+* A node meets the cell of another pivot if the cell's radius, the node's and eps allow it, and if it comes within eps of the
+  plane halfway between the two pivots, which anything in reach of the other cell must do. Only then is it sent to that cell, in
+  blocks of about BLOCK nodes and in single precision.
+* Two nodes are pruned when their centres are farther apart than both radii and eps; the leaves of what is left meet.
+* Leaves are pruned in the same way. A pair that lies within eps as a whole is linked by its counts, without its vectors, so a
+  third of all rows in one tight group costs a few leaves; pairs in between are settled vector by vector.
+
+All bounds keep a margin (MARGIN; ROUGH in single precision), and every single pair is decided by its cosine in double precision.
+
+No tree can prune vectors that all lie equally far from each other; there the traversal compares all blocks of nodes, in matrix products.
 
 Vectors that are null, empty, zero or hold a null or non-finite component link with nothing; vectors of different length don't
 link. A null id is returned as it is and never names a component (null if it has no other). Repeated rows are vectors of their
@@ -34,25 +40,26 @@ from pyspark.sql import functions as F
 
 from colloquy.staging import staged
 
-from .common import components
+from .common import components, mix
 
 COSINE = 0.9
 SAMPLE = 2048
 PIECE = 4096
+BLOCK = 16384
 MARGIN = 1e-9
 #: By how much a cosine in single precision may be off.
 ROUGH = 1e-4
 MOST_PIVOTS = 1024
 
 
-def _pack(rows: np.ndarray) -> pa.Array:
-    rows = np.ascontiguousarray(rows, np.float64)
-    width = rows.shape[1] * 8
+def _pack(rows: np.ndarray, kind: type = np.float64) -> pa.Array:
+    rows = np.ascontiguousarray(rows, kind)
+    width = rows.shape[1] * rows.itemsize
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(rows)])
 
 
-def _unpack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.float64) for x in column.to_pylist()])
+def _unpack(column: pa.ChunkedArray | pa.Array, kind: type = np.float64) -> np.ndarray:
+    return np.stack([np.frombuffer(x, kind) for x in column.to_pylist()])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,11 +87,13 @@ def farthest_first(points: np.ndarray, n: int) -> np.ndarray:
     return points[pick]
 
 
-def leaves(points: np.ndarray, eps: float) -> np.ndarray:
-    """For each point the index of its leaf's first centre: nested nets with radii 2 eps, eps and eps / 2."""
+def nets(points: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the index of its node's centre and of its leaf's: nested nets with radii eps and eps / 2."""
     owner = np.zeros(len(points), np.int64)
     centres: list[int] = []
-    for radius in (2 * eps, eps, eps / 2):
+    upper = owner
+    for radius in (eps, eps / 2):
+        upper = owner.copy()
         limit = 1 - radius * radius / 2
         near = np.full(len(points), -np.inf)
         for c in centres:
@@ -101,7 +110,7 @@ def leaves(points: np.ndarray, eps: float) -> np.ndarray:
             open_ &= near < limit
             open_[c] = False
             owner[c] = c
-    return owner
+    return upper[owner], owner
 
 
 def _cells(shared):
@@ -129,7 +138,7 @@ def _leaf_rows(eps: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rid")
         rid, points = table["rid"].to_numpy(), _unpack(table["unit"])
-        owner = leaves(points, eps - 4 * MARGIN)
+        above, owner = nets(points, eps - 4 * MARGIN)
         cell, first = table["cell"][0].as_py(), np.unique(owner)
         centre = np.zeros((len(first), points.shape[1]))
         at = np.searchsorted(first, owner)
@@ -147,9 +156,13 @@ def _leaf_rows(eps: float):
                 break
             centre[wide] = points[first[wide]]
         reach = float((table["away"].to_numpy()).max()) + MARGIN
-        n = len(first)
-        out = pa.table({"rid": rid, "leaf": rid[first][at]})
-        return out.append_column("unit", table["unit"]).append_column("cell", pa.array([cell] * len(rid), pa.int64())).append_column("centre", _only(_pack(centre), first, len(rid))).append_column("radius", _spread(radius, first, len(rid))).append_column("size", _spread(size, first, len(rid))).append_column("reach", pa.array([reach] * len(rid)))
+        n, nodes = len(rid), np.unique(above)
+        cover = np.zeros(len(nodes))
+        np.maximum.at(cover, np.searchsorted(nodes, above), np.sqrt(np.maximum(0, 2 - 2 * (points * points[above]).sum(1))))
+        cover = np.where(np.bincount(np.searchsorted(nodes, above)) == 1, 0.0, cover + MARGIN)
+        hung = np.bincount(np.searchsorted(nodes, above[first]), minlength=len(nodes))
+        out = pa.table({"rid": rid, "leaf": rid[first][at], "node": rid[above], "cover": _spread(cover, nodes, n), "hung": _spread(hung, nodes, n)})
+        return out.append_column("unit", table["unit"]).append_column("cell", pa.array([cell] * len(rid), pa.int64())).append_column("centre", _only(_pack(centre), first, n)).append_column("radius", _spread(radius, first, n)).append_column("size", _spread(size, first, n)).append_column("reach", pa.array([reach] * len(rid)))
 
     return run
 
@@ -167,12 +180,71 @@ def _only(values: pa.Array, at: np.ndarray, n: int) -> pa.Array:
     return values.take(pa.array(where, mask=where < 0))
 
 
+def _sent(shared, eps: float):
+    """Where the nodes of a cell are compared: rows (ca, pa, cb, pb, side, node, cover, centre), a block against another or itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value
+        for batch in batches:
+            own = batch.column(3).to_numpy()
+            for cell in np.unique(own):
+                rows = np.flatnonzero(own == cell)
+                part = batch.take(pa.array(rows))
+                node, cover, unit = part.column(0).to_numpy(), part.column(1).to_numpy(), _unpack(part.column(2))
+                others, pivot, reach, parts = cells[int(cell)]
+                if pivot is None:
+                    near = np.ones((len(node), len(others)), bool)
+                else:
+                    dot, me = unit @ pivot.T, int(np.flatnonzero(others == cell)[0])
+                    between = np.sqrt(np.maximum(2 - 2 * pivot @ pivot[me], 1e-300))
+                    plane = (dot[:, [me]] - dot) / between <= eps + cover[:, None] + MARGIN
+                    near = plane & (np.sqrt(np.maximum(0, 2 - 2 * dot)) <= reach[None, :] + cover[:, None] + eps + MARGIN)
+                    near[:, me] = True
+                block = (mix(node.astype(np.uint64)) % np.uint64(parts[np.flatnonzero(others == cell)[0]])).astype(np.int64)
+                thin = _pack(unit, np.float32)
+                for k, other in enumerate(others.tolist()):
+                    for p in range(int(parts[k])):
+                        at = np.flatnonzero(near[:, k])
+                        if not len(at):
+                            continue
+                        mine = block[at]
+                        first = (cell < other) | ((cell == other) & (mine <= p))
+                        here, there = np.stack([np.full(len(at), cell), mine]), np.stack([np.full(len(at), other), np.full(len(at), p)])
+                        (ca, pa_), (cb, pb) = np.where(first, here, there), np.where(first, there, here)
+                        columns = [ca, pa_, cb, pb, np.where(first, 0, 1).astype(np.int32), node[at], cover[at]]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), thin.take(pa.array(at))], ["ca", "pa", "cb", "pb", "side", "node", "cover", "centre"])
+
+    return run
+
+
+def _node_pairs(eps: float):
+    """Pairs of nodes (a, b) of two blocks, or of one, that their radii don't prune."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, node, cover, points = table["side"].to_numpy(), table["node"].to_numpy(), table["cover"].to_numpy(), _unpack(table["centre"], np.float32)
+        same = table["ca"][0] == table["cb"][0] and table["pa"][0] == table["pb"][0]
+        a, b = np.flatnonzero(side == 0), np.arange(len(side)) if same else np.flatnonzero(side == 1)
+        found = [np.zeros((2, 0), np.int64)]
+        across, cover = points[b].T, cover.astype(np.float32)
+        for i in range(0, len(a) if len(b) else 0, 256):
+            own = a[i : i + 256]
+            reach = cover[own][:, None] + cover[b][None, :] + np.float32(eps)
+            r, c = np.nonzero(points[own] @ across >= 1 - reach * reach / 2 - np.float32(ROUGH))
+            if same:
+                r, c = r[c > r + i], c[c > r + i]
+            found.append(np.stack([node[own[r]], node[b[c]]]))
+        x, y = np.concatenate(found, 1)
+        return pa.table({"a": x, "b": y})
+
+    return run
+
+
 def _leaf_pairs(cosine: float, eps: float):
     def run(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
         rid, size, radius, points = table["leaf"].to_numpy(), table["size"].to_numpy(), table["radius"].to_numpy(), _unpack(table["centre"])
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = not len(b)
+        same = table["na"][0] == table["nb"][0]
         b = a if same else b
         rough_b = points[b].astype(np.float32).T
         found: list[np.ndarray] = []
@@ -210,26 +282,23 @@ def _settled(cosine: float):
     return run
 
 
-def _cell_pairs(reach: list, pivots: dict[int, tuple[int, np.ndarray]], eps: float) -> list[tuple[int, int]]:
-    """Pairs of pivots that the bound on their distance doesn't prune. reach: (cell, radius); cells below 0 have no pivot."""
-    out = []
-    by_length: dict[int, list[tuple[int, float, int]]] = {}
-    for cell, radius in reach:
-        length = -cell if cell < 0 else next(n for n, (first, p) in pivots.items() if first <= cell < first + len(p))
-        by_length.setdefault(length, []).append((cell, radius, cell - pivots[length][0] if cell >= 0 else -1))
+def _cells_of(known: list, pivots: dict[int, tuple[int, np.ndarray]], block: int) -> dict[int, tuple]:
+    """For each cell the cells of its length, their pivots, radii and numbers of blocks. known: (cell, radius, nodes); cells below 0 have no pivot."""
+    out, by_length = {}, {}
+    for cell, radius, nodes in known:
+        length = None if cell < 0 else next(n for n, (first, p) in pivots.items() if first <= cell < first + len(p))
+        if length is None:
+            out[cell] = (np.array([cell]), None, None, np.array([-(-nodes // block)]))
+        else:
+            by_length.setdefault(length, []).append((cell, radius, -(-nodes // block)))
     for length, own in by_length.items():
-        if own[0][0] < 0:
-            out += [(c, c) for c, _, _ in own]
-            continue
-        cell, radius, at = (np.array(x) for x in zip(*own, strict=True))
-        p = pivots[length][1][at]
-        apart = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
-        x, y = np.nonzero((apart <= radius[:, None] + radius[None, :] + eps + MARGIN) & (cell[:, None] <= cell[None, :]))
-        out += list(zip(cell[x].tolist(), cell[y].tolist(), strict=True))
+        cell, radius, parts = (np.array(x) for x in zip(*own, strict=True))
+        shared = (cell, pivots[length][1][cell - pivots[length][0]], radius, parts)
+        out |= {int(c): shared for c in cell}
     return out
 
 
-def cover_tree_links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, piece: int = PIECE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cover_tree_links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, piece: int = PIECE, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, extra) of vectors (rid, unit): rid with its leaf, linked leaves with sizes, further links of a rid.
 
     members: rid, leaf, size (of the leaf). links: a, b, size_a, size_b. extra: a, b, rid, n.
@@ -240,26 +309,23 @@ def cover_tree_links(vectors: DataFrame, cosine: float = COSINE, sample: int = S
     chosen = vectors.orderBy(F.xxhash64("rid")).limit(sample).collect()
     for length in sorted({len(r["unit"]) // 8 for r in chosen}):
         own = np.stack([np.frombuffer(r["unit"], np.float64) for r in chosen if len(r["unit"]) == 8 * length])
-        pivots[length] = (first, farthest_first(own, min(MOST_PIVOTS, max(1, math.ceil(n / piece)))))
+        pivots[length] = (first, farthest_first(own, min(MOST_PIVOTS, max(1, math.ceil(n / block)))))
         first += len(pivots[length][1])
     shared = spark.sparkContext.broadcast(pivots)
     celled = staged(vectors.mapInArrow(_cells(shared), "rid long, unit binary, cell long, away double"))
     pieces = celled.groupBy("cell").agg(F.ceil(F.count("*") / piece).alias("pieces"))
     dealt = celled.join(F.broadcast(pieces), "cell").withColumn("piece", F.pmod(F.xxhash64("rid"), F.col("pieces"))).drop("pieces")
-    schema = "rid long, leaf long, unit binary, cell long, centre binary, radius double, size long, reach double"
+    schema = "rid long, leaf long, node long, cover double, hung long, unit binary, cell long, centre binary, radius double, size long, reach double"
     grown = staged(dealt.groupBy("cell", "piece").applyInArrow(_leaf_rows(eps), schema))
-    leaf = grown.where("size is not null").select("leaf", "cell", "centre", "radius", "size")
-    reach = [(r["cell"], r["r"]) for r in grown.groupBy("cell").agg(F.max("reach").alias("r")).collect()]
-    pairs = spark.createDataFrame(_cell_pairs(reach, pivots, eps), "ca long, cb long")
-    per = leaf.groupBy("cell").agg(F.ceil(F.count("*") / piece).alias("parts"))
-    leaf = staged(leaf.join(F.broadcast(per), "cell").withColumn("part", F.pmod(F.xxhash64("leaf"), F.col("parts"))).drop("parts"))
-    per = staged(per)
-    tasks = pairs.join(per.toDF("ca", "na"), "ca").join(per.toDF("cb", "nb"), "cb")
-    tasks = tasks.withColumn("pa", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1))).withColumn("pb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    tasks = staged(tasks.where("ca < cb or pa <= pb").select("ca", "pa", "cb", "pb", F.xxhash64("ca", "pa", "cb", "pb").alias("task")))
-    at = lambda c, p, side: tasks.where(f"{side} = 0 or ca <> cb or pa <> pb").join(leaf, (F.col(c) == F.col("cell")) & (F.col(p) == F.col("part"))).select("task", F.lit(side).alias("side"), "leaf", "size", "radius", "centre")
-    sides = at("ca", "pa", 0).union(at("cb", "pb", 1))
-    met = staged(sides.groupBy("task").applyInArrow(_leaf_pairs(cosine, eps), "a long, b long, size_a long, size_b long, linked boolean"))
+    known = [tuple(r) for r in grown.groupBy("cell").agg(F.max("reach"), F.count("hung")).collect()]
+    cells = spark.sparkContext.broadcast(_cells_of(known, pivots, block))
+    sent = grown.where("hung is not null").select("node", "cover", "unit", "cell").mapInArrow(_sent(cells, eps), "ca long, pa long, cb long, pb long, side int, node long, cover double, centre binary")
+    near = sent.groupBy("ca", "pa", "cb", "pb").applyInArrow(_node_pairs(eps), "a long, b long")
+    within = grown.where("hung > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    near = staged(near.union(within).toDF("na", "nb"))
+    leaf = staged(grown.where("size is not null").select("leaf", "node", "centre", "radius", "size"))
+    at = lambda c, side: near.where(f"{side} = 0 or na <> nb").join(leaf, F.col(c) == F.col("node")).select("na", "nb", F.lit(side).alias("side"), "leaf", "size", "radius", "centre")
+    met = staged(at("na", 0).union(at("nb", 1)).groupBy("na", "nb").applyInArrow(_leaf_pairs(cosine, eps), "a long, b long, size_a long, size_b long, linked boolean"))
     links, open_ = met.where("linked").drop("linked"), met.where("not linked").select("a", "b")
     unit = grown.select("rid", F.col("leaf").alias("of"), "unit")
     both = open_.join(unit, F.col("a") == F.col("of")).select("a", "b", F.lit(0).alias("side"), "rid", "unit").union(open_.join(unit, F.col("b") == F.col("of")).select("a", "b", F.lit(1).alias("side"), "rid", "unit"))
@@ -269,11 +335,11 @@ def cover_tree_links(vectors: DataFrame, cosine: float = COSINE, sample: int = S
     return members, links, extra
 
 
-def near_vectors(table: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, piece: int = PIECE) -> DataFrame:
+def near_vectors(table: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, piece: int = PIECE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of table (vec_id, embedding)."""
     given = table.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     given = staged(given.mapInArrow(_units, "rid long, vec_id long, unit binary"))
-    members, links, extra = cover_tree_links(given.where("unit is not null").select("rid", "unit"), cosine, sample, piece)
+    members, links, extra = cover_tree_links(given.where("unit is not null").select("rid", "unit"), cosine, sample, piece, block)
     members = staged(members.withColumnRenamed("rid", "of"))
     by_leaf = links.select(F.col("a").alias("leaf"), F.col("size_b").alias("n")).union(links.select("b", "size_a")).groupBy("leaf").agg(F.sum("n").alias("leaf_links"))
     by_row = extra.groupBy("rid").agg(F.sum("n").alias("row_links"))

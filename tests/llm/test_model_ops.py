@@ -42,8 +42,8 @@ def plain_links(rows, cosine):
     return out
 
 
-@pytest.mark.parametrize("piece", [4096, 20])
-def test_embeddings(spark, piece):
+@pytest.mark.parametrize(("piece", "block"), [(4096, 16384), (20, 12), (40, 300)])
+def test_embeddings(spark, piece, block):
     rng = np.random.default_rng(3)
     vectors = [rng.normal(size=8) for _ in range(120)]
     for spread in (0.02, 0.12, 0.25, 0.4):
@@ -54,7 +54,7 @@ def test_embeddings(spark, piece):
     rows = [(i, [float(x) for x in v], "l", 1) for i, v in enumerate(vectors)]
     rows += [(900, None, "l", 1), (901, [], "l", 1), (902, [0.0] * 8, "l", 1), (903, [float("nan")] + [1.0] * 7, "l", 1), (904, [None] + [1.0] * 7, "l", 1), (905, [float("inf")] + [1.0] * 7, "l", 1), (None, rows[0][1], "l", 1), rows[5], (None, None, None, None)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf string, unit int")
-    got = Counter(tuple(r) for r in op2_embeddings.near_vectors(table, piece=piece, sample=50).select("vec_id", "n_links", "component_id", "kept").collect())
+    got = Counter(tuple(r) for r in op2_embeddings.near_vectors(table, piece=piece, block=block, sample=50).select("vec_id", "n_links", "component_id", "kept").collect())
     assert got == plain_links([(r[0], r[1]) for r in rows], 0.9)
 
 
@@ -62,8 +62,10 @@ def test_leaves():
     rng = np.random.default_rng(4)
     points = rng.normal(size=(300, 4))
     points /= np.linalg.norm(points, axis=1)[:, None]
-    owner = op2_embeddings.leaves(points, 0.4)
+    above, owner = op2_embeddings.nets(points, 0.4)
     assert (owner[owner] == owner).all() and np.linalg.norm(points - points[owner], axis=1).max() <= 0.2 + 1e-9
+    assert (above[above] == above).all() and (above[owner] == above).all() and np.linalg.norm(points[owner] - points[above], axis=1).max() <= 0.4 + 1e-9
+    assert set(above) <= set(owner)
 
 
 def test_embeddings_empty(spark):
