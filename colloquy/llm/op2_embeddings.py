@@ -14,8 +14,9 @@ The traversal goes down in three steps, and nothing below a pruned pair is shipp
 
 * A node meets the cell of another pivot if the cell's radius, the node's and eps allow it, and if it comes within eps of the
   plane halfway between the two pivots, which anything in reach of the other cell must do. Only then is it sent to that cell, in
-  blocks of about BLOCK nodes and in single precision.
-* Two nodes are pruned when their centres are farther apart than both radii and eps; the leaves of what is left meet.
+  blocks of about BLOCK leaves and in single precision.
+* Two nodes are pruned when their centres are farther apart than both radii and eps. Nodes that have none left in a block send
+  nothing more to it; the leaves of the others meet there.
 * Leaves are pruned in the same way. A pair that lies within eps as a whole is linked by its counts, without its vectors, so a
   third of all rows in one tight group costs a few leaves; pairs in between are settled vector by vector.
 
@@ -181,7 +182,7 @@ def _only(values: pa.Array, at: np.ndarray, n: int) -> pa.Array:
 
 
 def _sent(shared, eps: float):
-    """Where the nodes of a cell are compared: rows (ca, pa, cb, pb, side, node, cover, centre), a block against another or itself."""
+    """Where the nodes of a cell are compared: rows (ca, pa, cb, pb, side, node, cover, hung, centre), a block against another or itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
@@ -190,7 +191,7 @@ def _sent(shared, eps: float):
             for cell in np.unique(own):
                 rows = np.flatnonzero(own == cell)
                 part = batch.take(pa.array(rows))
-                node, cover, unit = part.column(0).to_numpy(), part.column(1).to_numpy(), _unpack(part.column(2))
+                node, cover, unit, hung = part.column(0).to_numpy(), part.column(1).to_numpy(), _unpack(part.column(2)), part.column(4).to_numpy()
                 others, pivot, reach, parts = cells[int(cell)]
                 if pivot is None:
                     near = np.ones((len(node), len(others)), bool)
@@ -211,45 +212,47 @@ def _sent(shared, eps: float):
                         first = (cell < other) | ((cell == other) & (mine <= p))
                         here, there = np.stack([np.full(len(at), cell), mine]), np.stack([np.full(len(at), other), np.full(len(at), p)])
                         (ca, pa_), (cb, pb) = np.where(first, here, there), np.where(first, there, here)
-                        columns = [ca, pa_, cb, pb, np.where(first, 0, 1).astype(np.int32), node[at], cover[at]]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), thin.take(pa.array(at))], ["ca", "pa", "cb", "pb", "side", "node", "cover", "centre"])
+                        columns = [ca, pa_, cb, pb, np.where(first, 0, 1).astype(np.int32), node[at], cover[at], hung[at]]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), thin.take(pa.array(at))], ["ca", "pa", "cb", "pb", "side", "node", "cover", "hung", "centre"])
 
     return run
 
 
-def _node_pairs(eps: float):
-    """Pairs of nodes (a, b) of two blocks, or of one, that their radii don't prune."""
+def _near_nodes(eps: float):
+    """The nodes of two blocks, or of one, that their radii let meet another one there, and in one block those with several leaves."""
 
-    def run(table: pa.Table) -> pa.Table:
-        side, node, cover, points = table["side"].to_numpy(), table["node"].to_numpy(), table["cover"].to_numpy(), _unpack(table["centre"], np.float32)
-        same = table["ca"][0] == table["cb"][0] and table["pa"][0] == table["pb"][0]
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ca, pa_, cb, pb = (k.as_py() for k in key)
+        side, cover, points = table["side"].to_numpy(), table["cover"].to_numpy().astype(np.float32), _unpack(table["centre"], np.float32)
+        same = (ca, pa_) == (cb, pb)
         a, b = np.flatnonzero(side == 0), np.arange(len(side)) if same else np.flatnonzero(side == 1)
-        found = [np.zeros((2, 0), np.int64)]
-        across, cover = points[b].T, cover.astype(np.float32)
+        met = (table["hung"].to_numpy() > 1) & same
+        across = points[b].T
         for i in range(0, len(a) if len(b) else 0, 256):
             own = a[i : i + 256]
             reach = cover[own][:, None] + cover[b][None, :] + np.float32(eps)
             r, c = np.nonzero(points[own] @ across >= 1 - reach * reach / 2 - np.float32(ROUGH))
             if same:
                 r, c = r[c > r + i], c[c > r + i]
-            found.append(np.stack([node[own[r]], node[b[c]]]))
-        x, y = np.concatenate(found, 1)
-        return pa.table({"a": x, "b": y})
+            met[own[r]] = True
+            met[b[c]] = True
+        kept = table.filter(pa.array(met))
+        return kept.select(["ca", "pa", "cb", "pb", "side", "node"])
 
     return run
 
 
 def _leaf_pairs(cosine: float, eps: float):
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
         rid, size, radius, points = table["leaf"].to_numpy(), table["size"].to_numpy(), table["radius"].to_numpy(), _unpack(table["centre"])
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = table["na"][0] == table["nb"][0]
+        same = key[0] == key[2] and key[1] == key[3]
         b = a if same else b
         rough_b = points[b].astype(np.float32).T
         found: list[np.ndarray] = []
-        for i in range(0, len(a), 1024):
-            own = a[i : i + 1024]
+        for i in range(0, len(a) if len(b) else 0, 256):
+            own = a[i : i + 256]
             reach = radius[own].max() + radius[b] + eps
             dot = points[own].astype(np.float32) @ rough_b
             r, c = np.nonzero(dot >= (1 - reach * reach / 2 - ROUGH).astype(np.float32))
@@ -283,14 +286,14 @@ def _settled(cosine: float):
 
 
 def _cells_of(known: list, pivots: dict[int, tuple[int, np.ndarray]], block: int) -> dict[int, tuple]:
-    """For each cell the cells of its length, their pivots, radii and numbers of blocks. known: (cell, radius, nodes); cells below 0 have no pivot."""
+    """For each cell the cells of its length, their pivots, radii and numbers of blocks. known: (cell, radius, leaves); cells below 0 have no pivot."""
     out, by_length = {}, {}
-    for cell, radius, nodes in known:
+    for cell, radius, leaves in known:
         length = None if cell < 0 else next(n for n, (first, p) in pivots.items() if first <= cell < first + len(p))
         if length is None:
-            out[cell] = (np.array([cell]), None, None, np.array([-(-nodes // block)]))
+            out[cell] = (np.array([cell]), None, None, np.array([-(-leaves // block)]))
         else:
-            by_length.setdefault(length, []).append((cell, radius, -(-nodes // block)))
+            by_length.setdefault(length, []).append((cell, radius, -(-leaves // block)))
     for length, own in by_length.items():
         cell, radius, parts = (np.array(x) for x in zip(*own, strict=True))
         shared = (cell, pivots[length][1][cell - pivots[length][0]], radius, parts)
@@ -317,15 +320,14 @@ def cover_tree_links(vectors: DataFrame, cosine: float = COSINE, sample: int = S
     dealt = celled.join(F.broadcast(pieces), "cell").withColumn("piece", F.pmod(F.xxhash64("rid"), F.col("pieces"))).drop("pieces")
     schema = "rid long, leaf long, node long, cover double, hung long, unit binary, cell long, centre binary, radius double, size long, reach double"
     grown = staged(dealt.groupBy("cell", "piece").applyInArrow(_leaf_rows(eps), schema))
-    known = [tuple(r) for r in grown.groupBy("cell").agg(F.max("reach"), F.count("hung")).collect()]
+    known = [tuple(r) for r in grown.groupBy("cell").agg(F.max("reach"), F.count("size")).collect()]
     cells = spark.sparkContext.broadcast(_cells_of(known, pivots, block))
-    sent = grown.where("hung is not null").select("node", "cover", "unit", "cell").mapInArrow(_sent(cells, eps), "ca long, pa long, cb long, pb long, side int, node long, cover double, centre binary")
-    near = sent.groupBy("ca", "pa", "cb", "pb").applyInArrow(_node_pairs(eps), "a long, b long")
-    within = grown.where("hung > 1").select(F.col("node").alias("a"), F.col("node").alias("b"))
-    near = staged(near.union(within).toDF("na", "nb"))
+    task = ["ca", "pa", "cb", "pb"]
+    sent = grown.where("hung is not null").select("node", "cover", "unit", "cell", "hung").mapInArrow(_sent(cells, eps), "ca long, pa long, cb long, pb long, side int, node long, cover double, hung long, centre binary")
+    near = staged(sent.groupBy(*task).applyInArrow(_near_nodes(eps), "ca long, pa long, cb long, pb long, side int, node long"))
     leaf = staged(grown.where("size is not null").select("leaf", "node", "centre", "radius", "size"))
-    at = lambda c, side: near.where(f"{side} = 0 or na <> nb").join(leaf, F.col(c) == F.col("node")).select("na", "nb", F.lit(side).alias("side"), "leaf", "size", "radius", "centre")
-    met = staged(at("na", 0).union(at("nb", 1)).groupBy("na", "nb").applyInArrow(_leaf_pairs(cosine, eps), "a long, b long, size_a long, size_b long, linked boolean"))
+    met = near.join(leaf, "node").groupBy(*task).applyInArrow(_leaf_pairs(cosine, eps), "a long, b long, size_a long, size_b long, linked boolean")
+    met = staged(met)
     links, open_ = met.where("linked").drop("linked"), met.where("not linked").select("a", "b")
     unit = grown.select("rid", F.col("leaf").alias("of"), "unit")
     both = open_.join(unit, F.col("a") == F.col("of")).select("a", "b", F.lit(0).alias("side"), "rid", "unit").union(open_.join(unit, F.col("b") == F.col("of")).select("a", "b", F.lit(1).alias("side"), "rid", "unit"))
