@@ -47,15 +47,18 @@ def word_tokens(text: Column, stopwords: tuple[str, ...] = rules.TRAINING_STOPWO
 
 
 def char_ngrams(text: Column, sizes: tuple[int, ...] = (2, 3), stopwords: tuple[str, ...] = rules.TRAINING_STOPWORDS) -> Column:
-    """All runs of so many characters of the text without white space, minus stopwords and digits."""
-    compact = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+    """All runs of so many characters of the text without white space, minus stopwords and digits.
 
-    def grams(n: int) -> Column:
-        count = F.length(compact) - n + 1
-        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substring(compact, i, F.lit(n)))
+    The characters are bound to a lambda's variable, so a text is cut once and not for each of its runs.
+    """
+    chars = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""), ""), lambda c: c != "")
 
-    return F.filter(F.concat(*[grams(n) for n in sizes]), lambda g: ~g.isin(*stopwords) & ~g.rlike(f"^{rules.DIGITS}$"))
+    def grams(chars: Column, n: int) -> Column:
+        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+
+    every = F.flatten(F.transform(F.array(chars), lambda c: F.concat(*[grams(c, n) for n in sizes])))
+    return F.filter(every, lambda g: ~g.isin(*stopwords) & ~g.rlike(f"^{rules.DIGITS}$"))
 
 
 def tokenize(text: Column) -> Column:
@@ -63,6 +66,18 @@ def tokenize(text: Column) -> Column:
     return F.concat(word_tokens(text), char_ngrams(text))
 
 
+def bag(tokens: Column) -> Column:
+    """array<struct<token, n>>: how often each of a row's tokens is there. Sorted once and cut where the token changes."""
+    none = F.array().cast("array<int>")
+
+    def cut(words: Column) -> Column:
+        ends = F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.get(words, i).eqNullSafe(F.get(words, i + 1)))).otherwise(none)
+        count = lambda own: F.transform(own, lambda e, j: F.struct(F.get(words, e).alias("token"), (e - F.coalesce(F.get(own, j - 1), F.lit(-1))).cast("long").alias("n")))
+        return F.flatten(F.transform(F.array(ends), count))
+
+    return F.flatten(F.transform(F.array(F.sort_array(tokens)), cut))
+
+
 def token_set(text: Column, stopwords: tuple[str, ...] = rules.TOOL_STOPWORDS) -> Column:
     stop = F.array(*[F.lit(w) for w in stopwords])
     return F.array_distinct(F.filter(occurrences(F.coalesce(text, F.lit("")), rules.TOKEN), lambda w: ~F.array_contains(stop, w)))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import tokenize
+from colloquy.functions.text import bag, tokenize
 from colloquy.operators.scoring import bag_cosine
 from colloquy.operators.shares import score_shares
+from colloquy.staging import staged
 
 
 def split(rows: DataFrame, place: Column, ratio: float = 0.8) -> DataFrame:
@@ -26,8 +27,23 @@ def train_centroids(rows: DataFrame, label: str = "ministry", text: str | None =
 
 
 def similarities(rows: DataFrame, key: str, centroids: DataFrame, label: str = "ministry", text: str | None = None, tokens: Column | None = None) -> DataFrame:
-    """(key, label, cosine) for rows and labels that share a token."""
-    return bag_cosine(token_counts(rows, [key], tokens if tokens is not None else tokenize(F.col(text or "question"))), key, centroids, label)
+    """(key, label, cosine) for rows and labels that share a token. Rows with one key are one text; those without are left out.
+
+    A row's bag is counted where the row is and meets the centroids there while they are small enough for Spark to broadcast them
+    (they are written first, so that it knows); only sums for each key and label are shuffled. Lengths of rows that share a key,
+    which aren't sums, come from their tokens put together.
+    """
+    rows, centroids = rows.where(F.col(key).isNotNull()), staged(centroids)
+    tokens = tokens if tokens is not None else tokenize(F.col(text or "question"))
+    square = F.aggregate("_bag", F.lit(0).cast("long"), lambda a, t: a + t["n"] * t["n"])
+    own = rows.select(key, bag(tokens).alias("_bag")).select(key, F.explode(F.array(F.struct("_bag", square.alias("_square")))).alias("_own"))
+    own = own.select(key, "_own._square", F.inline("_own._bag").alias("token", "_n"))
+    dots = own.join(centroids.select(label, "token", "n"), "token").groupBy(key, label).agg(F.sum(F.col("_n") * F.col("n")).alias("_dot"), F.max("_square").alias("_square"))
+    again = staged(rows.groupBy(key).count().where("count > 1").select(key))
+    merged = token_counts(rows.join(again, key, "left_semi"), [key], tokens).groupBy(key).agg(F.sum(F.col("n") * F.col("n")).alias("_merged"))
+    lengths = centroids.groupBy(label).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("_length"))
+    found = dots.join(staged(merged), key, "left").join(staged(lengths), label)
+    return found.select(key, label, (F.col("_dot") / (F.sqrt(F.coalesce("_merged", "_square").cast("double")) * F.col("_length"))).alias("cosine"))
 
 
 def predictions(scores: DataFrame, key: str, label: str = "ministry") -> DataFrame:

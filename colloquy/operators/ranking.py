@@ -47,9 +47,8 @@ def top_per_group(rows: DataFrame, key: list[str], order: list[Column], n: int =
 
 
 def batches(rows: DataFrame, order: list[str], size: int = 8, prefix: str = "c") -> DataFrame:
-    """rows of a bounded list with batch (from 0), id (c1, c2, ... over all) and batch_id (from 1 in each batch)."""
-    nth = F.row_number().over(Window.orderBy(*order)) - 1
-    own = rows.withColumn("_n", nth).withColumn("batch", F.floor(F.col("_n") / size)).withColumn("id", F.concat(F.lit(prefix), (F.col("_n") + 1).cast("string")))
+    """rows with batch (from 0), id (c1, c2, ... over all) and batch_id (from 1 in each batch)."""
+    own = numbered(rows, order, "_n").withColumn("batch", F.floor(F.col("_n") / size)).withColumn("id", F.concat(F.lit(prefix), (F.col("_n") + 1).cast("string")))
     return own.withColumn("batch_id", F.concat(F.lit(prefix), (F.col("_n") % size + 1).cast("string"))).drop("_n")
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy import rules
-from colloquy.operators.ranking import keep_last
+from colloquy.operators.ranking import keep_last, numbered
+from colloquy.staging import staged
 
 FIELDS = ("id", "beneficiary", "activity", "relation", "comparison", "decision", "q", "a")
 MOST_COMPARISON = 300
@@ -106,10 +107,14 @@ def usage_totals(usage: DataFrame) -> DataFrame:
 
 
 def question_dictionary(candidates: DataFrame, question: str, ord_: str) -> DataFrame:
-    """candidates with question_id; the first of those with one question carries its text, the others only refer to it."""
-    key = F.sha2(F.col(question), 256)
-    own = candidates.withColumn("question_id", key).withColumn("_nth", F.row_number().over(Window.partitionBy("question_id").orderBy(ord_)))
-    return own.withColumn(question, F.when(F.col("_nth") == 1, F.col(question))).drop("_nth")
+    """candidates with question_id; the first of those with one question carries its text, the others only refer to it.
+
+    ord_ names a row. The first places are found by a grouped minimum, so a question that many rows share is in no single task.
+    """
+    own = candidates.withColumn("question_id", F.sha2(F.col(question), 256))
+    first = staged(own.groupBy("question_id").agg(F.min(ord_).alias("_first")).withColumnRenamed("question_id", "_of"))
+    own = own.join(first, F.col("question_id").eqNullSafe(F.col("_of")), "left")
+    return own.withColumn(question, F.when(F.col(ord_) == F.col("_first"), F.col(question))).drop("_of", "_first")
 
 
 def needs_scope_check(anchor: str, text: Column, evidence: Column, roles: Column) -> Column:
@@ -119,9 +124,14 @@ def needs_scope_check(anchor: str, text: Column, evidence: Column, roles: Column
 
 
 def scope_budget(accepted: DataFrame, ambiguous: Column, order: list[str], budget: int = MOST_SCOPE_CHECKS) -> DataFrame:
-    """accepted with scope: clear, check (the first `budget` ambiguous rows, batch after batch in order) or overflow (then uncertain)."""
-    own = accepted.withColumn("_ambiguous", ambiguous).withColumn("_nth", F.sum(F.col("_ambiguous").cast("int")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    return own.withColumn("scope", F.when(~F.col("_ambiguous"), "clear").when(F.col("_nth") <= budget, "check").otherwise("overflow")).drop("_ambiguous", "_nth")
+    """accepted with scope: clear, check (the first `budget` ambiguous rows, batch after batch in order) or overflow (then uncertain).
+
+    A row of which it isn't known whether it is ambiguous counts as ambiguous.
+    """
+    known = F.coalesce(ambiguous, F.lit(True))
+    unsure = numbered(accepted.where(known), order, "_nth")
+    unsure = unsure.withColumn("scope", F.when(F.col("_nth") < budget, "check").otherwise("overflow")).drop("_nth")
+    return accepted.where(~known).withColumn("scope", F.lit("clear")).unionByName(unsure)
 
 
 def merge_scope(rows: DataFrame, outcomes: DataFrame) -> DataFrame:

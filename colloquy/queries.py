@@ -12,7 +12,7 @@ from colloquy.functions import text as tx
 from colloquy.operators import classify, lookups, passages, ranking, review, roles, scoring, shares, turns
 from colloquy.plans.plan import Concept, Plan
 from colloquy.sources import readers, sinks
-from colloquy.staging import new_path
+from colloquy.staging import new_path, staged
 from colloquy.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -440,11 +440,12 @@ pr AS (SELECT doc_id, lang AS predicted, cosine FROM cs WHERE cosine > 0 QUALIFY
 ev AS (SELECT d.doc_id, d.lang AS actual, pr.predicted FROM documents d LEFT JOIN pr ON d.doc_id = pr.doc_id WHERE d.doc_id % 10 >= 8)"""
 
 
-def _fold(spark: SparkSession, sf: str, train: bool) -> DataFrame:
-    """One side of the reference's 80/20 split, by the place of a document's id among all of them; without an id, on no side."""
+def _folds(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the reference's 80/20 split, by the place of a document's id among all of them; without an id, on no side."""
     own = table(spark, sf, "documents")
     places = classify.split(ranking.numbered(own.select("doc_id").distinct(), ["doc_id"], "place"), F.col("place"))
-    return own.join(places.where(F.col("is_train") == train).select("doc_id"), "doc_id")
+    places = staged(places.select("doc_id", "is_train"))
+    return own.join(places.where("is_train").select("doc_id"), "doc_id"), own.join(places.where("not is_train").select("doc_id"), "doc_id")
 
 
 def _centroids(rows: DataFrame) -> DataFrame:
@@ -457,19 +458,20 @@ def _predicted(rows: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    own = _fold(spark, sf, False)
-    return own.select("doc_id", F.col("lang").alias("actual")).join(_predicted(own, _centroids(_fold(spark, sf, True))), "doc_id", "left")
+    train, test = _folds(spark, sf)
+    return test.select("doc_id", F.col("lang").alias("actual")).join(_predicted(test, _centroids(train)), "doc_id", "left")
 
 
 @query(f"WITH {_BAG} SELECT lang, token, sum(n)::BIGINT AS n FROM bag WHERE doc_id % 10 < 8 GROUP BY lang, token")
 def centroid_train(spark: SparkSession, sf: str) -> DataFrame:
     """The training side of the reference's own 80/20 split by position."""
-    return _centroids(_fold(spark, sf, True))
+    return _centroids(_folds(spark, sf)[0])
 
 
 @query(f"WITH {_PREDICT} SELECT doc_id, predicted, round(cosine, 6) AS cosine FROM pr")
 def cosine_predict(spark: SparkSession, sf: str) -> DataFrame:
-    return _predicted(_fold(spark, sf, False), _centroids(_fold(spark, sf, True))).select("doc_id", "predicted", r6("cosine"))
+    train, test = _folds(spark, sf)
+    return _predicted(test, _centroids(train)).select("doc_id", "predicted", r6("cosine"))
 
 
 @query(ORACLES["cosine_predict"].replace(" WHERE doc_id % 10 < 8", "").replace(" WHERE doc_id % 10 >= 8", "").replace(" WHERE b.doc_id % 10 >= 8", ""))

@@ -1,10 +1,14 @@
 """Jobs over all rows, where a smaller one had been registered."""
 
 import hashlib
+import math
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from colloquy.operators import scoring
+from colloquy.functions import text as tx
+from colloquy.operators import classify, ranking, review, scoring
 from colloquy.queries import QUERIES
 
 
@@ -76,3 +80,52 @@ def test_folds_go_by_place(spark, tmp_path):
         assert (got["total"], got["covered"], got["correct"]) == (8, 8, 8)
         trained = {(r["lang"], r["token"]): r["n"] for r in QUERIES["centroid_train"](spark, f"{tmp_path}/{digit}").collect()}
         assert trained == {("en", "alpha"): 16, ("en", "beta"): 16, ("fr", "gamma"): 16, ("fr", "delta"): 16}
+
+
+def test_similarities_by_hand(spark):
+    """Rows that share a key are one text; rows without a key, without words or with words of their own are told apart."""
+    texts = [(1, "tax tax road"), (1, "road water zebra"), (2, "water"), (3, ""), (4, None), (5, "zebra"), (None, "tax")] + [(6, "tax road " * 40)] * 3
+    rows = spark.createDataFrame(texts, "k long, text string").withColumn("tokens", F.split(F.coalesce("text", F.lit("")), " ")).withColumn("tokens", F.filter("tokens", lambda t: t != ""))
+    labels = {"a": {"tax": 5, "road": 1}, "b": {"water": 2, "road": 3}}
+    centroids = spark.createDataFrame([(lab, t, n) for lab, own in labels.items() for t, n in own.items()], "ministry string, token string, n long")
+    bags: dict[int, Counter] = {}
+    for k, t in texts:
+        if k is not None:
+            bags.setdefault(k, Counter()).update((t or "").split())
+    want = {}
+    for k, own in bags.items():
+        for lab, c in labels.items():
+            if set(own) & set(c):
+                length = math.sqrt(sum(n * n for n in own.values())) * math.sqrt(sum(n * n for n in c.values()))
+                want[k, lab] = round(sum(n * c.get(t, 0) for t, n in own.items()) / length, 12)
+    for limit in ("10485760", "-1"):  # centroids broadcast, and too large for it
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        got = {(r["k"], r["ministry"]): round(r["cosine"], 12) for r in classify.similarities(rows, "k", centroids, tokens=F.col("tokens")).collect()}
+        assert got == want
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bags_and_runs_by_hand(spark):
+    texts = ["", None, "a", "日本語 の日本", "😀a😀a", "12 ab  12", "aaaa"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for r in rows.select("i", tx.char_ngrams(F.col("t"), stopwords=("zz",)).alias("g"), tx.bag(tx.char_ngrams(F.col("t"), stopwords=("zz",))).alias("b")).collect():
+        chars = "".join((texts[r["i"]] or "").split())
+        grams = [chars[k : k + n] for n in (2, 3) for k in range(len(chars) - n + 1)]
+        grams = [g for g in grams if not g.isdigit()]
+        assert list(r["g"]) == grams
+        assert {x["token"]: x["n"] for x in r["b"]} == Counter(grams)
+
+
+def test_lists_are_numbered_over_parts(spark):
+    """Batches, scope checks and the question dictionary on rows in many parts, one question on a third of them."""
+    rows = spark.range(3000).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("q"), (F.col("id") % 40).cast("string"))).alias("q")).repartition(16)
+    got = {r["n"]: (r["batch"], r["id"], r["batch_id"]) for r in ranking.batches(rows, ["n"]).collect()}
+    assert got == {i: (i // 8, f"c{i + 1}", f"c{i % 8 + 1}") for i in range(3000)}
+    scope = {r["n"]: r["scope"] for r in review.scope_budget(rows, F.when(F.col("n") != 7, F.col("n") % 5 == 2), ["n"], 4).collect()}
+    unsure = [i for i in range(3000) if i % 5 == 2]
+    assert scope == {i: "clear" if i not in set(unsure) else "check" if i in unsure[:4] else "overflow" for i in range(3000)}
+    said = {r["n"]: r["q"] for r in review.question_dictionary(rows, "q", "n").collect()}
+    first = {}
+    for i in range(3000):
+        first.setdefault("hot" if i % 3 == 0 else f"q{i % 40}", i)
+    assert {i: q for i, q in said.items() if q is not None} == {i: q for q, i in first.items()} and len(said) == 3000
