@@ -47,8 +47,8 @@ def similarities(rows: DataFrame, key: str, centroids: DataFrame, label: str = "
 
 
 def predictions(scores: DataFrame, key: str, label: str = "ministry") -> DataFrame:
-    """(key, predicted, cosine): the label with the highest cosine; ties by name. A row without any has no prediction."""
-    best = Window.partitionBy(key).orderBy(F.desc("cosine"), label)
+    """(key, predicted, cosine): the label with the highest cosine, compared to 9 digits; ties by name. A row without any has no prediction."""
+    best = Window.partitionBy(key).orderBy(F.desc(F.round("cosine", 9)), label)
     return scores.where("cosine > 0").withColumn("_nth", F.row_number().over(best)).where("_nth = 1").select(key, F.col(label).alias("predicted"), "cosine")
 
 

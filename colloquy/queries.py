@@ -454,7 +454,7 @@ def _centroids(rows: DataFrame) -> DataFrame:
 
 def _predicted(rows: DataFrame, centroids: DataFrame) -> DataFrame:
     found = classify.similarities(rows, "doc_id", centroids, "lang", tokens=tx.word_tokens(F.col("text")))
-    return classify.predictions(found.withColumn("cosine", F.round("cosine", 9)), "doc_id", "lang")
+    return classify.predictions(found, "doc_id", "lang")
 
 
 def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
