@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,21 +61,30 @@ def _pack(rows: np.ndarray, kind: type = np.float64) -> pa.Array:
 
 
 def _unpack(column: pa.ChunkedArray | pa.Array, kind: type = np.float64) -> np.ndarray:
-    return np.stack([np.frombuffer(x, kind) for x in column.to_pylist()])
+    """The vectors of a column, all of one width and none null, as a matrix over the column's own bytes."""
+    own = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    own = own.cast(pa.large_binary())
+    ends = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
+    return np.frombuffer(own.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(len(own), -1)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit vectors in double precision; null where a vector can't be compared."""
     for batch in batches:
-        out = []
-        for x in batch.column(2).to_pylist():
-            v = np.array([np.nan if c is None else c for c in x], np.float64) if x else None
-            if v is not None and np.isfinite(v).all() and (top := np.abs(v).max()) > 0:
-                v = v / top
-                out.append((v / math.sqrt(v @ v)).tobytes())
-            else:
-                out.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["rid", "vec_id", "unit"])
+        lists = batch.column(2)
+        widths = lists.value_lengths().fill_null(0).to_numpy()
+        flat, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(widths) - widths
+        rows, units = [], [pa.array([], pa.binary())]
+        for w in np.unique(widths[widths > 0]):
+            at = np.flatnonzero(widths == w)
+            v = flat[starts[at][:, None] + np.arange(w)].astype(np.float64)
+            top = np.abs(v).max(1)
+            good = np.isfinite(top) & (top > 0)
+            v = v[good] / top[good][:, None]
+            rows.append(at[good])
+            units.append(_pack(v / np.sqrt((v * v).sum(1))[:, None]))
+        unit = _only(pa.concat_arrays(units), np.concatenate(rows), len(lists)) if rows else pa.nulls(len(lists), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), unit], ["rid", "vec_id", "unit"])
 
 
 def farthest_first(points: np.ndarray, n: int) -> np.ndarray:
@@ -118,18 +128,17 @@ def _cells(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value
         for batch in batches:
-            cell, away = [], []
-            for x in batch.column(1).to_pylist():
-                v = np.frombuffer(x, np.float64)
-                own = pivots.get(len(v))
-                if own is None:
-                    cell.append(-len(v))
-                    away.append(2.0)
-                else:
-                    dot = own[1] @ v
-                    k = int(dot.argmax())
-                    cell.append(own[0] + k)
-                    away.append(math.sqrt(max(0.0, 2 - 2 * float(dot[k]))))
+            lengths = pc.binary_length(batch.column(1)).to_numpy() // 8
+            cell, away = -lengths.astype(np.int64), np.full(len(lengths), 2.0)
+            for length in np.unique(lengths):
+                if int(length) in pivots:
+                    first, own = pivots[int(length)]
+                    every = np.flatnonzero(lengths == length)
+                    for i in range(0, len(every), 2048):
+                        at = every[i : i + 2048]
+                        dot = _unpack(batch.column(1).take(pa.array(at))) @ own.T
+                        cell[at] = first + dot.argmax(1)
+                        away[at] = np.sqrt(np.maximum(0, 2 - 2 * dot.max(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int64()), pa.array(away, pa.float64())], ["rid", "unit", "cell", "away"])
 
     return run
