@@ -102,15 +102,10 @@ def nets(points: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
     """For each point the index of its node's centre and of its leaf's: nested nets with radii eps and eps / 2."""
     owner = np.zeros(len(points), np.int64)
     centres: list[int] = []
-    upper = owner
+    upper, near = owner, np.full(len(points), -np.inf)
     for radius in (eps, eps / 2):
         upper = owner.copy()
         limit = 1 - radius * radius / 2
-        near = np.full(len(points), -np.inf)
-        for c in centres:
-            dot = points @ points[c]
-            closer = dot > near
-            near[closer], owner[closer] = dot[closer], c
         open_ = near < limit
         while open_.any():
             c = int(open_.argmax())
@@ -234,15 +229,21 @@ def _near_nodes(eps: float):
         ca, pa_, cb, pb = (k.as_py() for k in key)
         side, cover, points = table["side"].to_numpy(), table["cover"].to_numpy().astype(np.float32), _unpack(table["centre"], np.float32)
         same = (ca, pa_) == (cb, pb)
-        a, b = np.flatnonzero(side == 0), np.arange(len(side)) if same else np.flatnonzero(side == 1)
+        a = np.flatnonzero(side == 0)
+        a = a[np.argsort(cover[a], kind="stable")]
+        b = a if same else np.flatnonzero(side == 1)
         met = (table["hung"].to_numpy() > 1) & same
         across = points[b].T
         for i in range(0, len(a) if len(b) else 0, 256):
             own = a[i : i + 256]
-            reach = cover[own][:, None] + cover[b][None, :] + np.float32(eps)
-            r, c = np.nonzero(points[own] @ across >= 1 - reach * reach / 2 - np.float32(ROUGH))
+            widest = cover[own[-1]] + cover[b] + np.float32(eps)  # the widest node of the block first, each node's own reach after it
+            dot = points[own] @ across
+            r, c = np.nonzero(dot >= 1 - widest * widest / 2 - np.float32(ROUGH))
+            reach = cover[own[r]] + cover[b[c]] + np.float32(eps)
+            near = dot[r, c] >= 1 - reach * reach / 2 - np.float32(ROUGH)
             if same:
-                r, c = r[c > r + i], c[c > r + i]
+                near &= c > r + i
+            r, c = r[near], c[near]
             met[own[r]] = True
             met[b[c]] = True
         kept = table.filter(pa.array(met))
