@@ -312,6 +312,41 @@ def test_mixing_probabilities(spark):
         assert 0.1 < share[50] < share[2] - 0.1 < 0.9
 
 
+# --- substrings
+
+
+def plain_substring(rows, window):
+    split = [(d, words_of(t)) for d, t in rows]
+    n = Counter(tuple(w[i : i + window]) for _, w in split for i in range(len(w) - window + 1))
+    out = Counter()
+    for d, w in split:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if n[tuple(w[i : i + window])] > 1:
+                gone |= set(range(i, i + window))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out[d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize(("window", "gram", "bits"), [(35, 18, None), (35, 18, 4), (5, 3, 16), (4, 4, 10)])
+def test_substring(spark, docs, window, gram, bits):
+    got = Counter(tuple(r) for r in op9_substring.without_repeats(docs, window, gram, bits).collect())
+    assert got == plain_substring([(r["doc_id"], r["text"]) for r in docs.collect()], window)
+
+
+def test_substring_very_long(spark):
+    """Texts of 60,000 words that share passages with themselves, each other and short ones."""
+    rng = random.Random(12)
+    passage, once = prose(rng, 50, 9999), prose(rng, 34, 9999)
+    long = [" ".join([prose(rng, 30_000, 9999), passage, prose(rng, 29_900, 9999), passage if i else once, once]) for i in range(2)]
+    rows = [(1, long[0]), (2, long[1]), (3, passage), (4, once), (None, "x " + passage + " y"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, n_words int, kept string")
+    got = Counter(tuple(r) for r in op9_substring.without_repeats(docs).collect())
+    assert got == plain_substring(rows, 35)
+    assert {r[0]: r[2] for r in got} == {1: 50, 2: 100, 3: 50, 4: 0, None: 50, 5: 0, 6: 0}
+
+
 def thue_morse(n):
     return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
 
