@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op10_sharding import op10_sharding
+from .op11_tokens import op11_tokens
 from .op1_licenses import OP1_SQL, op1_licenses
 from .op2_embeddings import OP2_SQL, op2_embeddings
 from .op3_simhash import op3_simhash
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_substring": op9_substring,
     "op10_sharding": op10_sharding,
+    "op11_tokens": op11_tokens,
 }
 ORACLES: dict[str, str] = {
     "op1_licenses": OP1_SQL,
