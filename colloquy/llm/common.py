@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.staging import staged
@@ -141,6 +141,35 @@ def starts_inside(first_word: np.ndarray, n: int, total: int) -> np.ndarray:
     return np.arange(m) + n <= end_of[:m]
 
 
+# --- parts of long conversations -------------------------------------------------------------------
+
+
+def numbered_parts(rows: DataFrame, order: list[Column], most: int, most_chars: int) -> DataFrame:
+    """rows (conv_id, text, ...) with `place`, a number that rises in the given order, and `part`, the number of the first turn of
+    the part of its conversation that a row belongs to; parts end where a conversation reaches a multiple of `most` turns or
+    `most_chars` characters.
+
+    A range sort deals rows by the order, which begins with conv_id; what stands before a task's first row of a conversation is the
+    sum over the tasks before it, of which there is one row each.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = staged(dealt.withColumn("place", F.monotonically_increasing_id()).withColumn("task", F.shiftright("place", 33)))
+    within = Window.partitionBy("conv_id", "task").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    sums = dealt.groupBy("conv_id", "task").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    sums = staged(sums.select(F.col("conv_id").alias("of"), F.col("task").alias("of_task"), F.coalesce(F.sum("n").over(before), zero).alias("n"), F.coalesce(F.sum("chars").over(before), zero).alias("chars")))
+    at = dealt.select("conv_id", "task", "place", F.length("text").alias("own"))
+    at = at.withColumn("nth", F.count("*").over(within)).withColumn("upto", F.coalesce(F.sum("own").over(within), zero))
+    at = at.join(sums, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("task") == F.col("of_task")))
+    at = at.withColumn("nth", F.col("nth") + F.col("n")).withColumn("cut", F.struct(F.floor(F.col("nth") / most), F.floor((F.col("upto") + F.col("chars")) / most_chars)))
+    at = staged(at.select("conv_id", F.col("place").alias("of_place"), "nth", "cut"))
+    first = at.groupBy("conv_id", "cut").agg(F.min("nth").alias("part"))
+    first = first.select(F.col("conv_id").alias("of"), F.col("cut").alias("of_cut"), "part")
+    named = at.join(first, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("cut") == F.col("of_cut"))).select("of_place", "part")
+    return dealt.join(named, F.col("place") == F.col("of_place")).drop("of_place", "task")
+
+
 # --- connected components ------------------------------------------------------------------------
 
 

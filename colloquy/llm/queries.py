@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op10_sharding import op10_sharding
 from .op11_tokens import op11_tokens
 from .op12_whitening import op12_whitening
+from .op13_structure import op13_structure
 from .op1_licenses import OP1_SQL, op1_licenses
 from .op2_embeddings import OP2_SQL, op2_embeddings
 from .op3_simhash import op3_simhash
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_tokens": op11_tokens,
     "op12_whitening": op12_whitening,
+    "op13_structure": op13_structure,
 }
 ORACLES: dict[str, str] = {
     "op1_licenses": OP1_SQL,
