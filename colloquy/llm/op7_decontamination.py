@@ -10,7 +10,8 @@ partition's sketches bounds which hashes of a document need to be looked up at a
 the item and then verified on the words themselves.
 
 Documents are never shuffled: each task gets the sketches of a block of items and reads its own documents. Items come in blocks
-of at most BLOCK shingles, so what is sent to the executors has a fixed bound; a larger benchmark takes more passes.
+of at most BLOCK shingles, so what is sent to the executors has a fixed bound; a larger benchmark takes more passes, one after the
+other: what a block but the last gives is written to the shared folder, and its sketches go before those of the next are made.
 
 Nulls: a null text or item has no words and matches nothing; null ids are returned as they are. An item of fewer than five words
 is one shingle of all its words. Repeated items and documents are matched row by row. Empty tables give no rows. Extra columns
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.staging import staged
+
 from .common import ALNUM_WORDS, LOWER, gram_hashes, starts_inside, text_slices, word_hashes, word_spans
 
 SHINGLE = 5
@@ -123,9 +126,20 @@ def item_blocks(items: DataFrame, shingle: int, threshold: float, block: int) ->
         yield Items(rows, shingle, threshold)
 
 
-def _matches(block, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sent(spark: SparkSession, items: Items):
+    """A block's arrays and sets for the tasks: plain values, as workers needn't have this package."""
+    return spark.sparkContext.broadcast(dict(vars(items)))
+
+
+def _received(block) -> Items:
+    items = Items.__new__(Items)
+    vars(items).update(block.value)
+    return items
+
+
+def _matches(block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = block.value
+        items = _received(block)
         for batch in batches:
             ids, rows = batch.column(0), []
             for a, _, data, offsets in text_slices(batch.column(1)):
@@ -140,20 +154,33 @@ def _matches(block, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
+def _block_after_block(spark: SparkSession, items: DataFrame, shingle: int, threshold: float, block: int) -> Iterator[tuple[object, bool]]:
+    """(broadcast block, is it the last one); a block that isn't goes when the next is asked for."""
+    blocks = item_blocks(items.select(F.col("item_id").cast("long"), "text"), shingle, threshold, block)
+    own = next(blocks, None)
+    while own is not None:
+        sent = _sent(spark, own)
+        own = next(blocks, None)
+        yield sent, own is None
+        if own is not None:
+            sent.destroy()
+
+
 def contamination(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) for each document and item whose shingles it holds."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, n_shingles long, n_found long, containment double"
     out = spark.createDataFrame([], schema)
     given = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    for own in item_blocks(items.select(F.col("item_id").cast("long"), "text"), shingle, threshold, block):
-        out = out.union(given.mapInArrow(_matches(spark.sparkContext.broadcast(own), pa.int64()), schema))
+    for sent, last in _block_after_block(spark, items, shingle, threshold, block):
+        found = given.mapInArrow(_matches(sent), schema)
+        out = out.union(found if last else staged(found))
     return out
 
 
 def _clean(block, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = block.value
+        items = _received(block)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for a, _, data, offsets in text_slices(batch.column(at)):
@@ -166,9 +193,9 @@ def _clean(block, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 def decontaminated(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """The rows of docs that hold no item; the columns stay."""
-    sc = docs.sparkSession.sparkContext
-    for own in item_blocks(items.select(F.col("item_id").cast("long"), "text"), shingle, threshold, block):
-        docs = docs.mapInArrow(_clean(sc.broadcast(own), docs.columns.index("text")), docs.schema)
+    for sent, last in _block_after_block(docs.sparkSession, items, shingle, threshold, block):
+        kept = docs.mapInArrow(_clean(sent, docs.columns.index("text")), docs.schema)
+        docs = kept if last else staged(kept)
     return docs
 
 

@@ -13,14 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spaced, text_slices, word_hashes, word_spans
 
 GRAMS = (3, 4, 5)
-#: Bytes of one text that training takes apart at once.
+#: Bytes of one text that training takes apart at once; what is learnt doesn't depend on it.
 LEARN_BYTES = 1_000_000
+#: Bytes of text of each label that a model learns from at most, whole texts in the order of the sample.
+SAMPLE_BYTES = 64_000_000
 
 
 @dataclass(frozen=True)
@@ -98,22 +100,36 @@ def passages(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_bags(text: str | None, shape: Shape) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features, how often each) of every passage of a text. A long text is cut at white space into slices of LEARN_BYTES, whose
-    bags add up where the whole text is one passage, so that what it needs doesn't grow with its length."""
-    raw, out = (text or "").encode(), []
-    for data in text_pieces(raw):
-        found, first = features(data, np.array([0, len(data)]), shape)
+    """(features, how often each) of every passage of a text, as scoring would find them.
+
+    A long text is taken apart in slices of about LEARN_BYTES. Each slice begins with the last word of the one before, so pairs and
+    words said again are found across cuts, and passages are numbered over the whole text.
+    """
+    carried, done, keys, counts = b"", 0, [], []
+    for data in text_pieces((text or "").encode()):
+        data = np.concatenate([np.frombuffer(carried, np.uint8), data]) if carried else data
+        whole = np.array([0, len(data)])
+        found, first = features(data, whole, shape)
         if not found:
             continue
-        begin, _ = passages(first, shape.passage)
+        old = 1 if carried else 0
         word, ids = np.concatenate([w for w, _ in found]), np.concatenate([f for _, f in found])
-        key, n = np.unique((np.searchsorted(begin, word, "right") - 1).astype(np.int64) << 32 | ids, return_counts=True)
-        cut = np.flatnonzero(np.diff(key >> 32, prepend=-1))
-        out += [((key[a:b] & 0xFFFFFFFF).astype(np.int32), n[a:b]) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True)]
-    if shape.passage or len(out) < 2:
-        return out
-    ids, at = np.unique(np.concatenate([i for i, _ in out]), return_inverse=True)
-    return [(ids, np.bincount(at, np.concatenate([n for _, n in out])).astype(np.int64))]
+        new = word >= old
+        at = word[new].astype(np.int64) + (done - old)
+        key, n = np.unique((at // shape.passage if shape.passage else at * 0) << 32 | ids[new], return_counts=True)
+        keys.append(key)
+        counts.append(n)
+        done += int(first[-1]) - old
+        starts, ends, _ = word_spans(data, whole, shape.words)
+        carried = data[starts[-1] : ends[-1]].tobytes()
+    if not keys:
+        return []
+    key, n = keys[0], counts[0]
+    if len(keys) > 1:
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(key >> 32, prepend=-1))
+    return [((key[a:b] & 0xFFFFFFFF).astype(np.int32), n[a:b]) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True)]
 
 
 def text_pieces(raw: bytes) -> list[np.ndarray]:
@@ -233,17 +249,20 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: dict[int, int]) -> DataFrame:
-    """(text, label): at most most[y] labelled rows of each label y, the first by a hash of doc_id, in an order by another hash.
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: dict[int, int], most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(text, label): at most most[y] labelled rows of each label y, the first by a hash of doc_id, in an order by another hash; of
+    each label, those that together hold at most most_bytes bytes of text, counted from the first, texts of over an eighth of it aside.
 
-    Empty texts are not learnt from, nor is a doc_id that has both labels. Of repeated rows one is taken; a text counts whole, however
-    long. The chosen ids have a fixed bound, so they are broadcast.
+    Empty texts are not learnt from, nor is a doc_id that has both labels. Of repeated rows one is taken; a text that is learnt from
+    counts whole. The chosen ids have a fixed bound, so they are broadcast and ordered in one task.
     """
     named = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(learn)
     named = named.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
-    usable = docs.where(F.octet_length("text") > 0).select("doc_id").distinct()
-    named = named.join(usable, "doc_id", "left_semi")
+    usable = docs.where(F.octet_length("text") > 0).groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")).where(F.col("size") <= most_bytes // 8)
+    named = named.join(usable, "doc_id")
+    upto = Window.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     first = [named.where(F.col("label") == y).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n) for y, n in sorted(most.items())]
+    first = [f.withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= most_bytes).select("doc_id", "label") for f in first]
     chosen = docs.select("doc_id", "text").where(F.octet_length("text") > 0).join(F.broadcast(first[0].union(first[1])), "doc_id")
     chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     return chosen.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sum(most.values())).select("text", "label")
@@ -267,9 +286,14 @@ def fit(rows: DataFrame, shape: Shape) -> Model:
     return Model(np.frombuffer(got["weight"], np.float32), got["bias"]) if got else Model(np.zeros(1 << shape.buckets, np.float32), 0.0)
 
 
+def _sent(docs: DataFrame, model: Model):
+    """The model's numbers, of fixed size, for the tasks: plain values, as workers needn't have this package."""
+    return docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
+
+
 def _score(shared, shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1), model, shape))], ["doc_id", "score"])
 
@@ -278,13 +302,12 @@ def _score(shared, shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 def scored(docs: DataFrame, model: Model, shape: Shape) -> DataFrame:
     """(doc_id, score) for every row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(shared, shape), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(_sent(docs, model), shape), "doc_id long, score double")
 
 
 def _pass(shared, shape: Shape, at: int, below: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at), model, shape) < below))
 
@@ -293,5 +316,4 @@ def _pass(shared, shape: Shape, at: int, below: float) -> Callable[[Iterator[pa.
 
 def below(docs: DataFrame, model: Model, shape: Shape, threshold: float) -> DataFrame:
     """The rows of docs that score below the threshold; the columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_pass(shared, shape, docs.columns.index("text"), threshold), docs.schema)
+    return docs.mapInArrow(_pass(_sent(docs, model), shape, docs.columns.index("text"), threshold), docs.schema)

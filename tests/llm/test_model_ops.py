@@ -139,23 +139,28 @@ def test_label_is_no_input(spark):
 
 
 def test_long_texts_are_learnt(spark, monkeypatch):
-    """A text is learnt from whole, however long, in slices that don't change the bag."""
+    """A text is learnt from whole, however long: slices of any size give the passages and counts of the whole text."""
     rng = random.Random(13)
-    text = prose(rng, 4000, 3000)
+    texts = [prose(rng, 4000, 3000), " ".join(rng.choice(["so", "so", "Very", "well-known", "x", "...", "é"]) for _ in range(1500)), "one", " \n ", "x" * 5000 + " y", None]
     for shape in (op4_quality.SHAPE, op6_toxicity.SHAPE):
-        whole = subword.text_bags(text, shape)
-        monkeypatch.setattr(subword, "LEARN_BYTES", 2500)
-        cut = subword.text_bags(text, shape)
-        monkeypatch.undo()
-        a, b = (Counter({int(f): int(k) for ids, n in bags for f, k in zip(ids, n)}) for bags in (whole, cut))
-        if shape.passage == 0:
-            assert len(whole) == len(cut) == 1 and (a & b).total() >= 0.99 * a.total()
-        assert abs(a.total() - b.total()) <= 0.01 * a.total()
+        for text in texts:
+            whole = subword.text_bags(text, shape)
+            for size in (1, 7, 100, 2500):
+                monkeypatch.setattr(subword, "LEARN_BYTES", size)
+                cut = subword.text_bags(text, shape)
+                monkeypatch.undo()
+                assert [(i.tolist(), n.tolist()) for i, n in cut] == [(i.tolist(), n.tolist()) for i, n in whole]
     docs, labels = labelled(spark, 40)
     long = docs.withColumn("text", F.when(F.col("doc_id") == 3, F.repeat(F.concat("text", F.lit(" ")), F.lit(2000))).otherwise(F.col("text")))
     assert long.where("octet_length(text) > 200000").count() == 1
     got = subword.sample(long, labels, "toxic", F.lit(True), {0: 100, 1: 100}).collect()
     assert max(len(r["text"]) for r in got) > 200_000 and len(got) == 40
+    bounded = subword.sample(docs, labels, "toxic", F.lit(True), {0: 100, 1: 100}, 4000).collect()
+    for y in (0, 1):
+        assert 0 < sum(len(r["text"].encode()) for r in bounded if r["label"] == y) <= 4000
+    assert len(bounded) < 40 and set(bounded) <= set(subword.sample(docs, labels, "toxic", F.lit(True), {0: 100, 1: 100}).collect())
+    few = subword.sample(long, labels, "toxic", F.lit(True), {0: 100, 1: 100}, 1_000_000).collect()
+    assert len(few) == 39 and max(len(r["text"]) for r in few) < 125_000
 
 
 def test_scores_by_hand(spark):
