@@ -1,15 +1,15 @@
 """License scans by diagonal voting.
 
 Every document is cut into words (A-Z lower-cased), and the hash of every pair of neighbouring words is joined with the word
-pairs of the license templates. A pair at word i of the document and word j of the template votes for the diagonal i - j, where a
-copy of the template would start. Votes are gathered for each document, template and diagonal as a bit set of the j seen.
+pairs of the license templates; where hashes are equal, the words themselves are compared. A pair at word i of the document and
+word j of the template votes for the diagonal i - j, where a copy of the template would start. Votes are gathered for each document, template and diagonal as a bit set of the j seen.
 
 A phrase stands where its diagonal has all votes. For the longer templates, a stretch of the document of at most STRETCH times
 the template's length must hold at least COVER of its pairs, on diagonals with two votes or more that lie no further apart than
 that length allows, so words put in or left out do no harm. Every diagonal is the lowest of its own stretch: a complete copy
 counts whatever stands beside it, and copies are never joined into one that is too long.
 
-OP1_SQL keeps the earlier rule, which merged diagonals at most GAP apart into one span; it finds no more than this one.
+OP1_SQL says the same rule with joins of votes in place of bit sets.
 
 Everything is Spark's own expressions: arrays of words, explode, a broadcast join with the fixed templates, grouped bit sets (a
 table in the shared folder, as phrases and spans both read it) and a window over the diagonals of one document. A document's votes are bounded by its length, and documents don't meet.
@@ -28,7 +28,6 @@ from colloquy.staging import staged
 #: Words of a folded text: what isn't in \x00-\x2F, \x3A-\x60 or \x7B-\x7F, said without a negation, which Java's patterns take ten
 #: times as long for.
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
-GAP = 3
 COVER = 0.8
 STRETCH = 1.5
 # The phrases whose exact places count, and wording by which licenses and notices are known.
@@ -67,11 +66,11 @@ def template_pairs(spark: SparkSession) -> DataFrame:
 def votes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, template..., start, seen): bit j of seen says that the template's pair j votes for this start."""
     words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.regexp_extract_all(folded(F.col("text")), F.lit(WORD), F.lit(0)).alias("w"))
-    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    each = words.select("doc_id", "text_key", F.posexplode(pairs).alias("i", "pair"))
-    own = template_pairs(docs.sparkSession)
-    own = own.withColumn("pair", F.xxhash64("first", "second")).drop("first", "second")
-    hits = each.join(F.broadcast(own), "pair").withColumn("start", F.col("i") - F.col("at"))
+    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(F.xxhash64(a, b).alias("pair"), a.alias("a"), b.alias("b")))
+    each = words.select("doc_id", "text_key", F.posexplode(pairs).alias("i", "p")).select("doc_id", "text_key", "i", "p.*")
+    own = template_pairs(docs.sparkSession).withColumn("of_pair", F.xxhash64("first", "second"))
+    same = (F.col("pair") == F.col("of_pair")) & (F.col("a") == F.col("first")) & (F.col("b") == F.col("second"))
+    hits = each.join(F.broadcast(own), same).withColumn("start", F.col("i") - F.col("at"))
     return hits.groupBy("doc_id", "text_key", "template", "label", "phrase", "pairs", "words", "start").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("seen"))
 
 
@@ -134,17 +133,21 @@ w AS (
 ), p AS (
   SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] AS pair FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM w)
 ), v AS (
-  SELECT doc_id, template, label, phrase, pairs, words, i - pos AS start, count(DISTINCT pos) AS n, min(i) AS lo, max(i) + 2 AS hi, list(DISTINCT pos) AS seen
-  FROM p JOIN t ON p.pair = t.pair GROUP BY ALL
+  SELECT DISTINCT doc_id, template, label, phrase, pairs, words, i - pos AS start, pos FROM p JOIN t ON p.pair = t.pair
+), d AS (
+  SELECT doc_id, template, start, count(*) AS n FROM v GROUP BY ALL
 ), exact AS (
-  SELECT doc_id, label, start FROM v WHERE phrase AND n = pairs
+  SELECT v.doc_id, label, v.start FROM v JOIN d USING (doc_id, template, start) WHERE phrase AND n = pairs AND pos = 0
 ), near AS (
-  SELECT *, sum(CASE WHEN apart > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY start) AS span FROM (
-    SELECT *, start - lag(start) OVER (PARTITION BY doc_id, template ORDER BY start) AS apart FROM v WHERE NOT phrase AND n > 1)
+  SELECT v.* FROM v JOIN d USING (doc_id, template, start) WHERE NOT phrase AND n > 1
+), base AS (
+  SELECT DISTINCT doc_id, template, start AS base FROM near
+), lo AS (
+  SELECT DISTINCT doc_id, template, base, start + pos AS lo FROM base JOIN near USING (doc_id, template) WHERE start BETWEEN base AND base + floor(words * {STRETCH - 1})
 ), merged AS (
-  SELECT doc_id, label, len(list_distinct(flatten(list(seen)))) / pairs::DOUBLE AS score FROM near
-  GROUP BY doc_id, template, label, pairs, words, span
-  HAVING len(list_distinct(flatten(list(seen)))) / pairs::DOUBLE >= {COVER} AND max(hi) - min(lo) <= words * {STRETCH}
+  SELECT doc_id, label, count(DISTINCT pos) / pairs::DOUBLE AS score FROM lo JOIN near USING (doc_id, template)
+  WHERE start BETWEEN base AND base + floor(words * {STRETCH - 1}) AND start + pos >= lo AND start + pos + 2 <= lo + floor(words * {STRETCH})
+  GROUP BY doc_id, template, label, pairs, base, lo HAVING count(DISTINCT pos) / pairs::DOUBLE >= {COVER}
 ), b AS (
   SELECT doc_id, count(*) AS n, min(start) AS lo, max(start) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM exact GROUP BY doc_id
 ), a AS (

@@ -17,9 +17,9 @@ least costs, and parts combine by min-plus products.
 Every conversation of at most STRETCH turns and STRETCH_CHARS characters comes to one task, is repaired there and is one row. A
 longer one, which may be a third of all rows, is numbered by a range sort, and cut before every STRETCH turns and every
 STRETCH_CHARS characters, counted from its beginning; each part gives its matrix, a conversation's few matrices are combined in
-order to find the states at the cuts, and each part is then repaired on its own between its two states, as a row that the number
-of its first turn names. So rows depend on the conversations alone and never on partitions or tasks, and the parts of one,
-rendered one after the other, are a legal conversation of the least cost.
+order to find the costs ahead at the cuts; each part shows where each state before it leads, and is then repaired and rendered on its
+own from the state that is reached there, as the whole conversation would be. What parts say is put together in order, so each conversation is one row whatever its length, up to the 2 GB that a string may have; rows
+depend on the conversations alone and never on partitions or tasks.
 
 Turns are ordered by turn (null first), then role and text. A null text is empty; a null or unknown role is relabelled at cost
 MEND; case and white space around a role are ignored. Rows with a null conv_id are one conversation. Repeated rows are turns of
@@ -33,11 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.staging import staged
 
+from .common import numbered_parts
+
 ROLES = ("system", "user", "assistant")
 NONE, SYSTEM, USER, ASSISTANT = range(4)
 MERGE, INSERT, RELABEL, MEND = 1, 3, 4, 2
@@ -90,11 +92,17 @@ def end_costs() -> list[int]:
     return [_BIG, 2 * INSERT, INSERT, 0]
 
 
-def repair(roles: np.ndarray, before: int, after: int) -> list[tuple[int, bool, int]]:
-    """The cheapest (new role, merged, role of an empty turn put in before) for each turn, from one state to another."""
+def only(state: int) -> list[int]:
+    """Costs of ending in each state where there is only one to end in."""
+    return [0 if s == state else _BIG for s in range(4)]
+
+
+def repair(roles: np.ndarray, before: int, ahead: list[int]) -> tuple[list[tuple[int, bool, int]], int]:
+    """The cheapest (new role, merged, role of an empty turn put in before) for each turn, from a state to any with these costs
+    ahead of it, and the state it ends in."""
     n = len(roles)
     best = np.full((n + 1, 4), _BIG, np.int64)
-    best[n, after] = 0
+    best[n] = ahead
     for i in range(n - 1, -1, -1):
         for old, new, c, _, _ in MOVES[roles[i]]:
             best[i, old] = min(best[i, old], c + best[i + 1, new])
@@ -105,7 +113,7 @@ def repair(roles: np.ndarray, before: int, after: int) -> list[tuple[int, bool,
                 out.append((new, merged, put))
                 state = new
                 break
-    return out
+    return out, state
 
 
 PACKED = "conv_id long, part long, roles array<int>, texts array<string>, cost array<bigint>"
@@ -145,16 +153,39 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _borders(table: pa.Table) -> pa.Table:
-    """The states at the borders of one conversation's parts, in order."""
+    """The costs ahead of each of one conversation's parts, as a repair of the whole conversation has them there."""
     table = table.sort_by("part")
-    states, total = border_states([np.array(c).reshape(4, 4) for c in table["cost"].to_pylist()])
-    n = len(states) - 1
+    steps = [np.array(c).reshape(4, 4) for c in table["cost"].to_pylist()]
+    states, total = border_states(steps)
+    ahead = [only(states[-1])]
+    for m in reversed(steps[1:]):
+        ahead.append(np.minimum((m + np.array(ahead[-1])[None]).min(1), _BIG).tolist())
+    n = len(steps)
     return pa.table({
-        "of": table["conv_id"], "of_part": table["part"], "before": pa.array(states[:-1], pa.int32()), "after": pa.array(states[1:], pa.int32()),
+        "of": table["conv_id"], "of_part": table["part"], "ahead": pa.array(ahead[::-1], pa.list_(pa.int64())),
         "opens": [i == 0 for i in range(n)], "closes": [i == n - 1 for i in range(n)], "total": pa.array([total] * n, pa.int64()),
     })
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state that each state before a part leads to."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            roles, ahead = np.array(row.column("roles")[0].as_py()), row.column("ahead")[0].as_py()
+            ends = [repair(roles, s, ahead)[1] for s in range(4)]
+            yield pa.RecordBatch.from_arrays([row.column("conv_id"), row.column("part"), pa.array([ends], pa.list_(pa.int32()))], ["conv_id", "part", "ends"])
+
+
+def _reached(table: pa.Table) -> pa.Table:
+    """The state before each part of one conversation."""
+    table = table.sort_by("part")
+    states = [NONE]
+    for ends in table["ends"].to_pylist():
+        states.append(ends[states[-1]])
+    return pa.table({"of": table["conv_id"], "of_part": table["part"], "before": pa.array(states[:-1], pa.int32())})
+
+
 def border_states(steps: list[np.ndarray]) -> tuple[list[int], int]:
     """The states of a cheapest repair before, between and after stretches with these matrices, and what it costs."""
     tail = [np.array(end_costs(), np.int64)]
@@ -167,10 +198,11 @@ def border_states(steps: list[np.ndarray]) -> tuple[list[int], int]:
     return states, int(tail[0][NONE])
 
 
-def repaired_stretch(roles: list[int], texts: list[str], before: int, after: int, closes: bool) -> list[tuple[str, str, int, bool]]:
+def repaired_stretch(roles: list[int], texts: list[str], before: int, ahead: list[int], closes: bool) -> list[tuple[str, str, int, bool]]:
     """(role, text, turns of the input in it, does it continue the last turn of the stretch before)."""
     out: list[list] = []
-    for text, (role, merged, put) in zip(texts, repair(np.array(roles), before, after), strict=True):
+    moves, after = repair(np.array(roles), before, ahead)
+    for text, (role, merged, put) in zip(texts, moves, strict=True):
         if put != NONE:
             out.append([put, [], False])
         if merged and out:
@@ -191,13 +223,14 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = batch.slice(i, 200)
             out, opens, closes, costs = [], [], [], []
             for row in own.to_pylist():
-                before, after, total = row.get("before"), row.get("after"), row.get("total")
+                before, ahead, total = row.get("before"), row.get("ahead"), row.get("total")
                 if before is None:
                     (before, after), total = border_states([np.array(row["cost"]).reshape(4, 4)])
+                    ahead = only(after)
                 opens.append(row.get("opens") is not False)
                 closes.append(row.get("closes") is not False)
                 costs.append(total)
-                turns = repaired_stretch(row["roles"], row["texts"], before, after, closes[-1])
+                turns = repaired_stretch(row["roles"], row["texts"], before, ahead, closes[-1])
                 out.append([dict(zip(("role", "text", "n_source", "joins"), t, strict=True)) for t in turns])
             columns = [own.column("conv_id"), own.column("part"), pa.array(opens), pa.array(closes), pa.array(costs, pa.int64()), pa.array(out, kind)]
             yield pa.RecordBatch.from_arrays(columns, ["conv_id", "part", "opens", "closes", "cost", "turns"])
@@ -207,33 +240,8 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _repaired(_packed(batches))
 
 
-def numbered_turns(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """rows with part: the number of the first turn of the part of its conversation that a turn belongs to.
-
-    A range sort deals rows by conversation and turn; what stands before a task's first row of a conversation is the sum over the
-    tasks before it, of which there is one row each.
-    """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = staged(dealt.withColumn("rid", F.monotonically_increasing_id()).withColumn("task", F.shiftright("rid", 33)))
-    within = Window.partitionBy("conv_id", "task").orderBy("rid").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("conv_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy("conv_id", "task").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    zero = F.lit(0).cast("long")
-    sums = sums.select(F.col("conv_id").alias("of"), F.col("task").alias("of_task"), F.coalesce(F.sum("n").over(before), zero).alias("n"), F.coalesce(F.sum("chars").over(before), zero).alias("chars"))
-    sums = staged(sums)
-    at = dealt.select("conv_id", "task", "rid", F.length("text").alias("own"))
-    at = at.withColumn("nth", F.count("*").over(within)).withColumn("upto", F.coalesce(F.sum("own").over(within), zero))
-    at = at.join(sums, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("task") == F.col("of_task")))
-    at = at.withColumn("nth", F.col("nth") + F.col("n")).withColumn("cut", F.struct(F.floor(F.col("nth") / STRETCH), F.floor((F.col("upto") + F.col("chars")) / STRETCH_CHARS)))
-    at = staged(at.select("conv_id", "rid", "nth", "cut"))
-    first = at.groupBy("conv_id", "cut").agg(F.min("nth").alias("part"))
-    first = first.select(F.col("conv_id").alias("of"), F.col("cut").alias("of_cut"), "part")
-    named = at.join(first, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("cut") == F.col("of_cut"))).select("rid", "part")
-    return dealt.join(named, "rid").drop("rid", "task")
-
-
-def repaired_conversations(conversations: DataFrame) -> DataFrame:
-    """One row for each conversation, or for each part of one that is longer than STRETCH turns or STRETCH_CHARS characters.
+def repaired_parts(conversations: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(a row for each conversation of at most STRETCH turns and STRETCH_CHARS characters, a row for each part of longer ones or None).
 
     part is the number of its first turn, from 0; opens and closes mark the first and last part of a conversation, cost is that of
     the whole conversation. turns: role, text, n_source (turns of the input in it), joins (it continues the turn before the part).
@@ -248,12 +256,16 @@ def repaired_conversations(conversations: DataFrame) -> DataFrame:
     whole = rows.join(long, same, "left_anti").repartition("conv_id").sortWithinPartitions(*order)
     out = whole.select("conv_id", F.lit(0).cast("long").alias("part"), "role_no", "text").mapInArrow(_whole, REPAIRED)
     if long.isEmpty():
-        return out
-    cut = numbered_turns(rows.join(long, same, "left_semi"), order)
-    packed = staged(cut.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", *order[1:]).select("conv_id", "part", "role_no", "text").mapInArrow(_packed, PACKED))
-    borders = packed.select("conv_id", "part", "cost").groupBy("conv_id").applyInArrow(_borders, "of long, of_part long, before int, after int, opens boolean, closes boolean, total long")
-    both = packed.join(staged(borders), same & (F.col("part") == F.col("of_part"))).drop("of", "of_part")
-    return out.union(both.mapInArrow(_repaired, REPAIRED))
+        return out, None
+    cut = numbered_parts(rows.join(long, same, "left_semi"), order, STRETCH, STRETCH_CHARS)
+    packed = staged(cut.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "place").select("conv_id", "part", "role_no", "text").mapInArrow(_packed, PACKED))
+    of = same & (F.col("part") == F.col("of_part"))
+    borders = packed.select("conv_id", "part", "cost").groupBy("conv_id").applyInArrow(_borders, "of long, of_part long, ahead array<bigint>, opens boolean, closes boolean, total long")
+    borders = staged(borders)
+    ends = packed.select("conv_id", "part", "roles").join(borders, of).select("conv_id", "part", "roles", "ahead").mapInArrow(_ends, "conv_id long, part long, ends array<int>")
+    reached = staged(staged(ends).groupBy("conv_id").applyInArrow(_reached, "of long, of_part long, before int"))
+    both = packed.join(borders, of).drop("of", "of_part").join(reached, of).drop("of", "of_part")
+    return out, both.mapInArrow(_repaired, REPAIRED)
 
 
 def render(parts: DataFrame) -> DataFrame:
@@ -263,11 +275,48 @@ def render(parts: DataFrame) -> DataFrame:
     return parts.withColumn("rendered", F.concat(F.array_join(F.transform("turns", turn), ""), F.when(F.col("closes"), END).otherwise("")))
 
 
+CHATS = "conv_id long, n_turns long, n_source long, cost long, rendered string"
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each conversation from its parts, which come in order."""
+    names = [c.split()[0] for c in CHATS.split(", ")]
+    own: list = []
+    said: list[str] = []
+
+    def row() -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.large_string()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*own, "".join(said)], kinds, strict=True)], names)
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            conv, n_turns, n_source, cost, rendered = (batch.column(k)[i].as_py() for k in range(5))
+            if own and own[0] == conv:
+                own[1:3] = own[1] + n_turns, own[2] + n_source
+                said.append(rendered)
+                continue
+            if own:
+                yield row()
+            own, said = [conv, n_turns, n_source, cost], [rendered]
+    if own:
+        yield row()
+
+
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """(conv_id, part, n_turns, n_source, cost, rendered): each conversation's repaired turns; part is 0 for one that is whole."""
-    own = render(repaired_conversations(conversations))
+    """(conv_id, n_turns, n_source, cost, rendered): one row for each conversation and its repaired turns."""
+    whole, parts = (said(x) if x else None for x in repaired_parts(conversations))
+    columns = [c.split()[0] for c in CHATS.split(", ")]
+    if parts is None:
+        return whole.select(*columns)
+    parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part").select(*columns)
+    return whole.select(*columns).union(parts.mapInArrow(_joined, CHATS))
+
+
+def said(parts: DataFrame) -> DataFrame:
+    """parts with what they are rendered to and how many turns of their own, and of the input, they have."""
     n_source = F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + t["n_source"])
-    return own.select("conv_id", "part", F.size("turns").cast("long").alias("n_turns"), n_source.alias("n_source"), "cost", "rendered")
+    n_turns = F.size(F.filter("turns", lambda t: ~t["joins"])).cast("long")
+    return render(parts).select("conv_id", "part", n_turns.alias("n_turns"), n_source.alias("n_source"), "cost", "rendered")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

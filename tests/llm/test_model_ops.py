@@ -290,7 +290,7 @@ def test_chats(spark):
     rows = chat_rows(random.Random(9))
     rows += [(80, t, "user" if t % 3 else "assistant", "long " * 50, "x", 1) for t in range(400)]
     table = spark.createDataFrame(rows, CHAT)
-    got = {r["conv_id"]: r for r in op5_chat.repaired_conversations(table).collect()}
+    got = {r["conv_id"]: r for r in op5_chat.repaired_parts(table)[0].collect()}
     assert len(got) == len({r[0] for r in rows}) == op5_chat.format_chats(table).count()
     for conv, found in got.items():
         own = plain_order([r for r in rows if r[0] == conv])
@@ -324,22 +324,26 @@ def test_chat_partitions(spark, monkeypatch, turns, chars):
         found.append(rows_of(op5_chat.format_chats(table.repartition(n))))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1] == found[2]
-    whole = {}
-    for r in sorted(op5_chat.format_chats(table).collect(), key=lambda r: (str(r["conv_id"]), r["part"])):
-        whole.setdefault(r["conv_id"], []).append(r)
+    whole = {r["conv_id"]: r for r in op5_chat.format_chats(table).collect()}
+    assert len(whole) == len(found[0]) == len({r[0] for r in rows})
     order = plain_order([r for r in rows if r[0] == 90])
-    parts, begun, upto = [], None, 0
+    starts, begun, upto = [], None, 0
     for i, r in enumerate(order):
         if (at := (i // turns, upto // chars)) != begun:
-            parts.append(i)
+            starts.append(i)
             begun = at
         upto += len(r[3])
-    assert [r["part"] for r in whole[90]] == parts and (len(parts) > 1) == (turns < 90 or chars < 1000)
-    text = "".join(r["rendered"] for r in whole[90])
-    blocks = text.split("<|end|>\n")
-    assert legal([b[2 : b.index("|>")] for b in blocks[:-1]]) and blocks[-1] == ""
-    assert whole[90][0]["cost"] == plain_cost([r[2] for r in order]) and sum(r["n_source"] for r in whole[90]) == 90
-    assert [w for w in text.replace("<|end|>\n", " ").split() if not w.startswith("<|")] == " ".join(r[3] for r in order).split()
+    parts = op5_chat.repaired_parts(table)[1]
+    cut = sorted(r["part"] for r in parts.collect() if r["conv_id"] == 90) if parts else [0]
+    assert cut == starts and (len(starts) > 1) == (turns < 90 or chars < 1000)
+    own = whole[90]
+    blocks = own["rendered"].split("<|end|>\n")
+    assert legal([b[2 : b.index("|>")] for b in blocks[:-1]]) and blocks[-1] == "" and own["n_turns"] == len(blocks) - 1
+    assert own["cost"] == plain_cost([r[2] for r in order]) and own["n_source"] == 90
+    assert [w for w in own["rendered"].replace("<|end|>\n", " ").split() if not w.startswith("<|")] == " ".join(r[3] for r in order).split()
+    monkeypatch.undo()
+    plain = {r["conv_id"]: r for r in op5_chat.format_chats(table).collect()}
+    assert whole == plain
 
 
 def test_chat_legal_stays(spark):
@@ -359,7 +363,7 @@ def test_chat_stretches():
         assert cost == plain_cost(roles.tolist())
         turns = []
         for i, p in enumerate(pieces):
-            turns += op5_chat.repaired_stretch(p.tolist(), ["x"] * len(p), states[i], states[i + 1], i == len(pieces) - 1)
+            turns += op5_chat.repaired_stretch(p.tolist(), ["x"] * len(p), states[i], op5_chat.only(states[i + 1]), i == len(pieces) - 1)
         assert legal([role for role, _, _, joins in turns if not joins])
 
 
