@@ -12,6 +12,7 @@ from colloquy.functions import text as tx
 from colloquy.operators import classify, lookups, passages, ranking, review, roles, scoring, shares, turns
 from colloquy.plans.plan import Concept, Plan
 from colloquy.sources import readers, sinks
+from colloquy.sources.grams import GramIndex
 from colloquy.staging import new_path, staged
 from colloquy.streaming import state
 
@@ -283,6 +284,33 @@ def meeting_scan(spark: SparkSession, sf: str) -> DataFrame:
     return readers.scan_meetings(_as_turns(spark, sf), "tion the").rows.select("issue_id", "speech_id")
 
 
+def _gram_index(spark: SparkSession, sf: str) -> GramIndex:
+    index = GramIndex(spark, new_path(spark, "grams"), chunk=1 << 10, shelf=1 << 12)
+    index.add(_as_turns(spark, sf))
+    return index
+
+
+@query(ORACLES["turn_scan"])
+def turn_scan_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The scan over a written index of character pairs."""
+    return readers.scan_turns(_gram_index(spark, sf), "tion the", "000000010", excluded=["12"]).rows.select("issue_id", "speech_id")
+
+
+@query(ORACLES["meeting_scan"])
+def meeting_scan_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.scan_meetings(_gram_index(spark, sf), "tion the").rows.select("issue_id", "speech_id")
+
+
+@query("""WITH g AS (SELECT DISTINCT conv_id, turn, unnest(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS gram FROM conversations)
+SELECT gram, count(*)::BIGINT AS turns, min(conv_id || ':' || turn) AS least FROM g GROUP BY gram""")
+def gram_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """How many turns hold each pair of characters, from the postings as written."""
+    index = _gram_index(spark, sf)
+    each = index._table("postings", "_year string, chunk long, gram string, turns array<int>").select("gram", F.explode(F.transform("turns", lambda t: t + F.col("chunk") * index.chunk)).alias("_place"))
+    named = each.join(index.turns().select("_place", F.concat("issue_id", F.lit(":"), "speech_id").alias("id")), "_place")
+    return named.groupBy("gram").agg(F.count("*").alias("turns"), F.min("id").alias("least"))
+
+
 @query("""WITH h AS (SELECT conv_id, turn, role = 'user' AS asks, (contains(text, 'the')::INT + contains(text, 'tion')::INT) / 2.0::DOUBLE AS s FROM conversations WHERE contains(text, 'the') OR contains(text, 'tion'))
 SELECT conv_id, max(s) AS score, bool_or(asks) AS has_question, count(DISTINCT CASE WHEN asks THEN turn END)::BIGINT AS question_matches, count(DISTINCT CASE WHEN NOT asks THEN turn END)::BIGINT AS answer_matches
 FROM h GROUP BY conv_id ORDER BY has_question DESC, question_matches + least(answer_matches, 4) DESC, score DESC, conv_id LIMIT 20""")

@@ -1,4 +1,7 @@
-"""Readers: corpora of turns and the scans over them, JSON exports of meetings and laws, labelled pairs."""
+"""Readers: corpora of turns and the scans over them, JSON exports of meetings and laws, labelled pairs.
+
+A corpus is a table of turns or a written index of one (`grams.GramIndex`); scans of either give the same rows.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from colloquy import schema
 from colloquy.functions.text import normalize
+from colloquy.sources.grams import GramIndex
 from colloquy.sources.sinks import CSV
 from colloquy.staging import staged
 
@@ -73,12 +77,13 @@ def newest(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return rows.orderBy(*order).limit(limit)
 
 
-def scan_turns(turns: DataFrame, query: str, since: str | None = None, until: str | None = None, limit: int = SPEECHES, excluded: list[str] | None = None) -> Scan:
+def scan_turns(turns: DataFrame | GramIndex, query: str, since: str | None = None, until: str | None = None, limit: int = SPEECHES, excluded: list[str] | None = None) -> Scan:
     """The newest turns that hold all words of a query; a filter on a range of dates reaches the files.
 
     The corpus is read once: hits are counted as they pass, and the rows kept are written. Hits count before meetings are
     excluded, and a scan's limit applies to what is left, so a scan isn't used up by meetings that are known.
     """
+    turns = turns.turns_with(query, since, until) if isinstance(turns, GramIndex) else turns
     hits, seen = turns.where(between(F.col("date"), since, until)).where(has_all(F.col("speech"), query)), Observation()
     hits = hits.observe(seen, F.count(F.lit(1)).alias("n"))
     if excluded:
@@ -88,26 +93,30 @@ def scan_turns(turns: DataFrame, query: str, since: str | None = None, until: st
     return Scan(rows, n > limit, n)
 
 
-def scan_meetings(turns: DataFrame, query: str, since: str | None = None, until: str | None = None, limit: int = MEETINGS, meetings: list[str] | None = None, excluded: list[str] | None = None) -> Scan:
+def scan_meetings(turns: DataFrame | GramIndex, query: str, since: str | None = None, until: str | None = None, limit: int = MEETINGS, meetings: list[str] | None = None, excluded: list[str] | None = None) -> Scan:
     """All turns of the newest meetings of which a turn holds all words of a query.
 
     The names of the meetings (at most `limit`) come first, so that the second pass is a filter that reaches the files.
     """
-    own = turns.where(between(F.col("date"), since, until))
-    if meetings:
-        own = own.where(F.col("meeting").isin(meetings))
-    hit, seen = own.where(has_all(F.col("speech"), query)).groupBy("issue_id").agg(F.max("date").alias("_date")), Observation()
+
+    def within(rows: DataFrame) -> DataFrame:
+        own = rows.where(between(F.col("date"), since, until))
+        return own.where(F.col("meeting").isin(meetings)) if meetings else own
+
+    indexed = isinstance(turns, GramIndex)
+    hit, seen = within(turns.turns_with(query, since, until) if indexed else turns).where(has_all(F.col("speech"), query)).groupBy("issue_id").agg(F.max("date").alias("_date")), Observation()
     hit = hit.observe(seen, F.count(F.lit(1)).alias("n"))
     if excluded:
         hit = hit.where(~F.coalesce(F.col("issue_id").isin(excluded), F.lit(False)))
     kept = [r["issue_id"] for r in newest(hit, [F.desc("_date"), F.asc("issue_id")], limit).collect()]
     n = seen.get["n"]
     named = F.col("issue_id").isin([i for i in kept if i is not None])
-    return Scan(staged(own.where(named | F.col("issue_id").isNull() if None in kept else named)), n > limit, n)
+    own = turns.meeting_turns(kept) if indexed else turns
+    return Scan(staged(within(own).where(named | F.col("issue_id").isNull() if None in kept else named)), n > limit, n)
 
 
-def meetings_by_id(turns: DataFrame, ids: list[str]) -> DataFrame:
-    return turns.where(F.col("issue_id").isin(ids))
+def meetings_by_id(turns: DataFrame | GramIndex, ids: list[str]) -> DataFrame:
+    return turns.meeting_turns(ids) if isinstance(turns, GramIndex) else turns.where(F.col("issue_id").isin(ids))
 
 
 def valid_term(term: str, name: str = "") -> bool:

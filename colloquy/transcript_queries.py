@@ -30,7 +30,7 @@ TALK = (
     "'202' || cast(conv_id % 5 as string) || '-0' || cast(1 + conv_id % 9 as string) || '-01' AS date", "CASE WHEN conv_id % 4 = 0 THEN '本会議' ELSE '経済産業委員会' END AS meeting",
     "CASE WHEN role = 'user' THEN '山田' ELSE '鈴木' END AS speaker", "CASE WHEN role = 'user' THEN '会派' END AS speaker_group",
     f"CASE WHEN role = 'assistant' THEN {_pick('(conv_id + turn) % 6', POSITIONS)} WHEN role = 'system' THEN '委員長' END AS speaker_position", "CASE WHEN turn % 7 = 3 THEN '証人' END AS speaker_role",
-    f"{_pick('(conv_id * 3 + turn) % 8', PHRASES)} || substr(text, 1, 60) AS speech", "'https://a.jp/' || cast(conv_id as string) || '/' || cast(turn as string) AS speech_url", "turn AS ord", "(conv_id * 3 + turn) % 8 AS phrase",
+    f"{_pick('(conv_id * 3 + turn) % 8', PHRASES)} || text AS speech", "'https://a.jp/' || cast(conv_id as string) || '/' || cast(turn as string) AS speech_url", "turn AS ord", "(conv_id * 3 + turn) % 8 AS phrase",
 )
 TALK_SQL = f"talk AS (SELECT {', '.join(TALK)} FROM conversations)"
 OFFICE = "concat_ws(' ', coalesce(speaker_role, ''), coalesce(speaker_position, ''))"
