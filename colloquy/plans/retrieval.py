@@ -1,6 +1,7 @@
 """Retrieval: which turns and meetings of a corpus a plan looks at, within a budget of scans.
 
-The loop runs on the driver and only decides from counts and short lists; every scan, pairing and ranking is a Spark job.
+The loop runs on the driver and only decides from counts and short lists; every scan, pairing and ranking is a Spark job. Turns may
+be a table or a written index, and a cache of scans may be given.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy import rules
+from colloquy.caches import SourceCache
 from colloquy.operators import roles
 from colloquy.operators.passages import best_recall
 from colloquy.operators.ranking import diversified, keep_last, meeting_ranks
@@ -19,6 +21,7 @@ from colloquy.operators.shares import fractional_shares
 from colloquy.operators.turns import contiguous_runs, held_for_context, recall_pairs, strict_pairs
 from colloquy.plans.plan import Plan, Segmenter
 from colloquy.sources import readers
+from colloquy.sources.grams import GramIndex
 from colloquy.staging import staged
 
 FAST_SCANS, FAST_ROWS, YEARLY_SCANS = 3, 96, 14
@@ -78,7 +81,7 @@ def latest(scans: list[DataFrame]) -> DataFrame:
     return keep_last(rows.where(named), ["speech_id"], "_found").unionByName(rows.where(~named)).drop("_found")
 
 
-def retrieve_fast(turns: DataFrame, plan: Plan, year: int, since: str = "2001-01-01", max_scans: int = FAST_SCANS, excluded: list[str] | None = None, runs: dict | None = None) -> Retrieval:
+def retrieve_fast(turns: DataFrame | GramIndex, plan: Plan, year: int, since: str = "2001-01-01", max_scans: int = FAST_SCANS, excluded: list[str] | None = None, runs: dict | None = None, cache: SourceCache | None = None) -> Retrieval:
     """Turn scans with the plan's first two queries, each widened by whole meetings of the committees that rank best, until there
     are enough candidates. Whole meetings take the place of the runs of single turns found of them. turns: normalized."""
     out, budget = Retrieval(recent_since=recent_since(year)), max(0, min(FAST_SCANS, max_scans))
@@ -105,7 +108,7 @@ def retrieve_fast(turns: DataFrame, plan: Plan, year: int, since: str = "2001-01
     for query in queries:
         if enough or out.scans >= budget:
             break
-        scan = readers.scan_turns(turns, query, since, f"{year}-12-31", excluded=excluded)
+        scan = readers.scan_turns(turns, query, since, f"{year}-12-31", excluded=excluded, cache=cache)
         out.scans, out.hits, out.search_limited, done = out.scans + 1, out.hits + scan.hits, out.search_limited or scan.truncated, done + 1
         out.searched.append((query, since, f"{year}-12-31"))
         pool = scan.rows if pool is None else pool.unionByName(scan.rows)
@@ -115,7 +118,7 @@ def retrieve_fast(turns: DataFrame, plan: Plan, year: int, since: str = "2001-01
             ranked.sort(key=lambda r: (-r["has_question"], -(r["question_matches"] + min(r["answer_matches"], 4)), -r["score"], r["issue_id"]))
             committees = list(dict.fromkeys(r["meeting"] for r in ranked if r["meeting"] and r["meeting"] != rules.PLENARY))[:3]
             first = scan.rows.agg(F.min(F.nullif("date", F.lit("")))).first()[0]
-            wide = readers.scan_meetings(turns, query, max(filter(None, (first, since))), f"{year}-12-31", meetings=committees or None, excluded=excluded)
+            wide = readers.scan_meetings(turns, query, max(filter(None, (first, since))), f"{year}-12-31", meetings=committees or None, excluded=excluded, cache=cache)
             out.scans, out.search_limited = out.scans + 1, out.search_limited or wide.truncated
             full = wide.rows if full is None else full.unionByName(wide.rows.join(full.select("issue_id").distinct(), "issue_id", "left_anti"))
             enough = sufficient(sample())
@@ -128,7 +131,7 @@ def retrieve_fast(turns: DataFrame, plan: Plan, year: int, since: str = "2001-01
     return out
 
 
-def retrieve_yearly(turns: DataFrame, plan: Plan, year: int, since: str = "2020-01-01", max_scans: int = YEARLY_SCANS, excluded: list[str] | None = None, include_older: bool = False, runs: dict | None = None, segment: Segmenter | None = None) -> Retrieval:
+def retrieve_yearly(turns: DataFrame | GramIndex, plan: Plan, year: int, since: str = "2020-01-01", max_scans: int = YEARLY_SCANS, excluded: list[str] | None = None, include_older: bool = False, runs: dict | None = None, segment: Segmenter | None = None, cache: SourceCache | None = None) -> Retrieval:
     """A scan for each of the last three years and query, then four whole meetings: the best of each year before the best of the
     rest. Without candidates the years before are searched once."""
     out, budget = Retrieval(recent_since=recent_since(year)), max(0, min(YEARLY_SCANS, max_scans))
@@ -148,7 +151,7 @@ def retrieve_yearly(turns: DataFrame, plan: Plan, year: int, since: str = "2020-
                     if out.scans >= most:
                         out.search_limited = True
                         return
-                    got = readers.scan_turns(turns, query, *period, excluded=excluded)
+                    got = readers.scan_turns(turns, query, *period, excluded=excluded, cache=cache)
                     out.scans, out.hits, out.search_limited = out.scans + 1, out.hits + got.hits, out.search_limited or got.truncated
                     out.searched.append((query, *period))
                     pools.setdefault(period, []).append(got.rows)

@@ -109,6 +109,7 @@ LAW_KINDS = ("設置法", "組織令", "組織規則")
 CABINET_LAWS = ("内閣府設置法", "内閣府本府組織令", "内閣府本府組織規則")
 LAW_CUE = "に関すること"
 LAW_URL = "https://laws.e-gov.go.jp/law/"
+LAW_TYPES = ("Act", "CabinetOrder", "MinisterialOrdinance")
 
 # Fixed values. A provider's error codes.
 KNOWN_CODES = (3003, 3006, 3007, 3008, 3023, 3036, 3039, 3040, 3041, 3042, 5004, 5005, 5007, 5016, 5018, 5019, 5035)

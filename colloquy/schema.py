@@ -17,5 +17,5 @@ SPEECH_JSON = (
 )
 MEETINGS_JSON = f"issueID string, date string, nameOfMeeting string, speechRecord array<{SPEECH_JSON}>"
 LAWS_JSON = (
-    "items array<struct<law_info:struct<law_id:string>,revision_info:struct<law_title:string>,sentences:array<struct<text:string>>>>, next_offset bigint"
+    "items array<struct<law_info:struct<law_id:string,law_type:string>,revision_info:struct<law_title:string>,sentences:array<struct<text:string>>>>, next_offset bigint"
 )

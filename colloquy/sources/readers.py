@@ -5,12 +5,14 @@ A corpus is a table of turns or a written index of one (`grams.GramIndex`); scan
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy import schema
+from colloquy.caches import SourceCache
 from colloquy.functions.text import normalize
 from colloquy.sources.grams import GramIndex
 from colloquy.sources.sinks import CSV
@@ -77,12 +79,22 @@ def newest(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return rows.orderBy(*order).limit(limit)
 
 
-def scan_turns(turns: DataFrame | GramIndex, query: str, since: str | None = None, until: str | None = None, limit: int = SPEECHES, excluded: list[str] | None = None) -> Scan:
+def _through(cache: SourceCache, asked: tuple, make: Callable[[], Scan]) -> Scan:
+    def plain() -> tuple[DataFrame, bool, int]:
+        scan = make()
+        return scan.rows, scan.truncated, scan.hits
+
+    return Scan(*cache.scan(asked, plain))
+
+
+def scan_turns(turns: DataFrame | GramIndex, query: str, since: str | None = None, until: str | None = None, limit: int = SPEECHES, excluded: list[str] | None = None, cache: SourceCache | None = None) -> Scan:
     """The newest turns that hold all words of a query; a filter on a range of dates reaches the files.
 
     The corpus is read once: hits are counted as they pass, and the rows kept are written. Hits count before meetings are
-    excluded, and a scan's limit applies to what is left, so a scan isn't used up by meetings that are known.
+    excluded, and a scan's limit applies to what is left, so a scan isn't used up by meetings that are known. A cache is asked first.
     """
+    if cache is not None:
+        return _through(cache, ("turns", query, since, until, limit, sorted(excluded or [])), lambda: scan_turns(turns, query, since, until, limit, excluded))
     turns = turns.turns_with(query, since, until) if isinstance(turns, GramIndex) else turns
     hits, seen = turns.where(between(F.col("date"), since, until)).where(has_all(F.col("speech"), query)), Observation()
     hits = hits.observe(seen, F.count(F.lit(1)).alias("n"))
@@ -93,11 +105,13 @@ def scan_turns(turns: DataFrame | GramIndex, query: str, since: str | None = Non
     return Scan(rows, n > limit, n)
 
 
-def scan_meetings(turns: DataFrame | GramIndex, query: str, since: str | None = None, until: str | None = None, limit: int = MEETINGS, meetings: list[str] | None = None, excluded: list[str] | None = None) -> Scan:
+def scan_meetings(turns: DataFrame | GramIndex, query: str, since: str | None = None, until: str | None = None, limit: int = MEETINGS, meetings: list[str] | None = None, excluded: list[str] | None = None, cache: SourceCache | None = None) -> Scan:
     """All turns of the newest meetings of which a turn holds all words of a query.
 
-    The names of the meetings (at most `limit`) come first, so that the second pass is a filter that reaches the files.
+    The names of the meetings (at most `limit`) come first, so that the second pass is a filter that reaches the files. A cache is asked first.
     """
+    if cache is not None:
+        return _through(cache, ("meetings", query, since, until, limit, sorted(meetings or []), sorted(excluded or [])), lambda: scan_meetings(turns, query, since, until, limit, meetings, excluded))
 
     def within(rows: DataFrame) -> DataFrame:
         own = rows.where(between(F.col("date"), since, until))

@@ -5,10 +5,14 @@ The select list below makes the same table in Spark and in the SQL that queries
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy import rules, schema
+from colloquy.caches import ResultCache, ReviewCache, ReviewIdentity, SourceCache, canonical_input, key_of, reusable_batches
 from colloquy.functions import hits as ht
 from colloquy.functions import text as tx
 from colloquy.functions.segment import icu_segmenter
@@ -16,7 +20,8 @@ from colloquy.operators import lookups, ranking, review, roles, turns, verdicts
 from colloquy.plans import retrieval
 from colloquy.plans.plan import Concept, Plan
 from colloquy.queries import LATIN_PART, query, table
-from colloquy.sources import readers
+from colloquy.sources import proxy, readers
+from colloquy.staging import new_path, staged
 from colloquy.streaming import state
 
 PHRASES = (
@@ -166,6 +171,78 @@ def retrieve_yearly(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.retrieve_yearly(readers.normalized_turns(as_turns(spark, sf)), PLAN, 2024, segment=icu_segmenter(spark)).candidates
 
 
+# --- validated searches ----------------------------------------------------------------------------
+
+
+def _corpus(spark: SparkSession, sf: str) -> str:
+    path = new_path(spark, "corpus")
+    as_turns(spark, sf).write.parquet(path)
+    return path
+
+
+@query(f"WITH {TALK_SQL} SELECT issue_id, speech_id, length(speech)::BIGINT AS n FROM talk WHERE contains(speech, '水素') AND contains(speech, 'tion') AND meeting = '経済産業委員会' AND date >= '2021-06-01' ORDER BY date DESC, issue_id, ord LIMIT 30")
+def validated_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """A search of the data source whose options are checked."""
+    own = proxy.validated_turns(spark, _corpus(spark, sf), "水素 tion", "経済産業委員会", "2021-06-01", 30)
+    return own.select("issue_id", "speech_id", F.length("speech").cast("long").alias("n"))
+
+
+@query(f"""WITH {TALK_SQL}, h AS (SELECT issue_id FROM talk WHERE contains(speech, '税制') AND date >= '2020-01-01' GROUP BY issue_id ORDER BY max(date) DESC, issue_id LIMIT 10)
+SELECT issue_id, speech_id FROM talk WHERE issue_id IN (SELECT issue_id FROM h)""")
+def validated_meetings(spark: SparkSession, sf: str) -> DataFrame:
+    return proxy.validated_meetings(spark, _corpus(spark, sf), "税制", most=10).select("issue_id", "speech_id")
+
+
+#: Laws made of documents: every third has the word, every fifth is of a type that isn't asked for; a hundred make a page.
+LAW = (
+    "doc_id", "CASE doc_id % 4 WHEN 0 THEN '環境省設置法' WHEN 1 THEN '内閣府本府組織令' WHEN 2 THEN '廃棄物法' ELSE '財務省組織規則' END AS title",
+    "CASE doc_id % 5 WHEN 0 THEN 'Rule' WHEN 1 THEN 'CabinetOrder' WHEN 2 THEN 'MinisterialOrdinance' ELSE 'Act' END AS kind", "CASE WHEN doc_id % 3 = 0 THEN '<b>廃棄物</b>の処理。' ELSE '水素の整備。' END AS first", "coalesce(text, '') || 'に関すること' AS second",
+)
+
+
+@query(f"""WITH law AS (SELECT {', '.join(LAW)} FROM documents), h AS (SELECT *, count(*) OVER () > 1000 AS truncated FROM law WHERE kind <> 'Rule' AND doc_id % 3 = 0 ORDER BY doc_id LIMIT 1000)
+SELECT doc_id::VARCHAR AS law_id, title, CASE title WHEN '環境省設置法' THEN '環境省' WHEN '内閣府本府組織令' THEN '{rules.CABINET}' ELSE '財務省' END AS ministry, truncated, md5(left(trim(regexp_replace(second, '<[^>]*>', '', 'g')), 260)) AS snippet FROM h WHERE title <> '廃棄物法'""")
+def law_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A law search over pages that say where the next begins; a page's laws are put in the order of their numbers."""
+    laws = table(spark, sf, "documents").selectExpr(*LAW)
+    item = F.struct(F.struct(F.col("doc_id").cast("string").alias("law_id"), F.col("kind").alias("law_type")).alias("law_info"), F.struct(F.col("title").alias("law_title")).alias("revision_info"), F.array(F.struct(F.col("first").alias("text")), F.struct(F.col("second").alias("text"))).alias("sentences"))
+    pages = laws.groupBy(F.expr("doc_id div 100").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("i")))), lambda s: s["i"]).alias("items"), F.count("*").alias("n"))
+    pages = staged(pages)
+    last = pages.agg(F.max("page")).first()[0]
+    offset = F.when(F.col("page") < F.lit(last), (F.col("page") + 1) * 100)
+    found = lookups.law_jurisdiction(pages.select("items", offset.alias("next_offset")), "廃棄物")
+    return found.select(F.substring_index("url", "/", -1).alias("law_id"), "title", "ministry", "truncated", F.md5(F.col("snippet").cast("binary")).alias("snippet"))
+
+
+# --- stored caches -----------------------------------------------------------------------------------
+
+NOW = datetime(2024, 6, 1, 12, tzinfo=UTC)
+
+
+@query(f"""WITH {TALK_SQL}, h AS (SELECT issue_id, speech_id, date FROM talk WHERE contains(speech, '水素') AND contains(speech, 'の') ORDER BY date DESC, issue_id, ord LIMIT 100)
+SELECT issue_id, speech_id, n, 1 AS hits, 1 AS misses FROM h, (SELECT count(*)::BIGINT AS n FROM talk WHERE contains(speech, '水素') AND contains(speech, 'の'))""")
+def cached_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A scan that is asked for twice: the second comes from what was kept of the first."""
+    cache = SourceCache(spark, new_path(spark, "source-cache"), sf, lambda: NOW, most_entry=1 << 40, most_bytes=1 << 40)
+    turns = as_turns(spark, sf)
+    readers.scan_turns(turns, "水素 の", cache=cache)
+    found = readers.scan_turns(turns.limit(0), "水素 の", cache=cache)
+    return found.rows.select("issue_id", "speech_id", F.lit(found.hits).cast("long").alias("n"), F.lit(cache.hits).alias("hits"), F.lit(cache.misses).alias("misses"))
+
+
+@query("""WITH r AS (SELECT lang, source, count(*)::BIGINT AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ALL)
+SELECT 0 AS ask, false AS cached, * FROM r UNION ALL SELECT 1, true, * FROM r UNION ALL SELECT 2, false, * FROM r""")
+def cached_result(spark: SparkSession, sf: str) -> DataFrame:
+    """A result that is asked for now, within a day and after it: made, kept, made again."""
+    cache, own = ResultCache(spark, new_path(spark, "result-cache")), table(spark, sf, "documents")
+    per = own.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    rows = []
+    for i, hours in enumerate((0, 23, 48)):
+        found, cached = cache.through(key_of("sums", 1, sf), NOW + timedelta(hours=hours), lambda: (per, True))
+        rows.append(found.select(F.lit(i).alias("ask"), F.lit(cached).alias("cached"), "lang", "source", "n", "chars"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 # --- reviewers' answers as text ---------------------------------------------------------------------
 
 #: A review of a label as JSON, in Spark and in the SQL: some lack a field, have one more, one that isn't text, or a value outside its set.
@@ -193,8 +270,8 @@ j AS (SELECT *, min(place) FILTER (r IS NULL) OVER (PARTITION BY batch, id) AS h
 chk AS (SELECT *, CASE WHEN shape IS NULL AND known AND place > head THEN 'duplicate_id' ELSE coalesce(r, CASE WHEN said = 'accept' AND (qtext IS NULL OR atext IS NULL) THEN 'unknown_accepted_refs' END) END AS reason FROM j)"""
 
 
-def _review_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates, responses as read, rows as checked): a response for eight labels, some of it said twice, in a string, or no JSON at all."""
+def _responses(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, responses, parts): a response for eight labels, some of it said twice, in a string, or no JSON at all."""
     labels = table(spark, sf, "labels")
     one = labels.select("doc_id", F.expr("doc_id div 8").alias("batch"), F.expr(REVIEW).alias("o"))
     both = one.withColumn("nth", F.lit(1)).union(one.where("doc_id % 5 = 1").withColumn("nth", F.lit(2)))
@@ -204,6 +281,12 @@ def _review_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, D
     candidates = labels.select(F.expr("doc_id div 8").alias("batch"), F.col("doc_id").cast("string").alias("id")).distinct()
     docs = table(spark, sf, "documents").select(F.expr("doc_id div 8").alias("batch"), F.col("doc_id").cast("string").alias("id"), "doc_id", F.col("text").alias("question"), F.col("text").alias("answer"))
     parts = verdicts.answer_parts(docs.join(candidates, ["batch", "id"], "left_semi"), ["batch", "id"], "doc_id", "doc_id", sentence=LATIN_PART, skip=(), header="^$")
+    return candidates, texts, parts
+
+
+def _review_texts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, responses as read, rows as checked)."""
+    candidates, texts, parts = _responses(spark, sf)
     read = verdicts.read_reviews(texts)
     return candidates, read, verdicts.checked_rows(verdicts.review_rows(read), candidates, parts)
 
@@ -223,6 +306,33 @@ def review_text_settled(spark: SparkSession, sf: str) -> DataFrame:
     return verdicts.settled(candidates, checked).drop("batch", "comparison")
 
 
+@query(f"""WITH {_REVIEW_TEXTS}, n AS (SELECT doc_id // 8 AS batch, count(DISTINCT doc_id) AS expected FROM labels GROUP BY ALL),
+whole AS (SELECT batch FROM chk JOIN n USING (batch) GROUP BY batch, expected HAVING count(*) = expected AND count(*) FILTER (reason IS NOT NULL OR coalesce(said, 'uncertain') = 'uncertain') = 0)
+SELECT k.nth, n.batch::BIGINT AS batch, k.nth = 1 AND n.batch IN (SELECT batch FROM whole) AS cache_hit, k.nth = 0 OR n.batch NOT IN (SELECT batch FROM whole) AS asked FROM n, (VALUES (0), (1)) k(nth)""")
+def cached_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """The same batches reviewed twice: the second round asks for those alone whose answers weren't complete and settled."""
+    candidates, texts, parts = _responses(spark, sf)
+    texts = staged(texts)
+    inputs = staged(canonical_input(candidates, "batch", ["id"], "id"))
+    cache, identity = ReviewCache(spark, new_path(spark, "review-cache")), ReviewIdentity("reviewer", "Compare.", "{}")
+    asked: list[DataFrame] = []
+
+    def ask(unseen: DataFrame) -> DataFrame:
+        asked.append(staged(unseen.select("batch")))
+        return unseen.select("batch").join(texts, "batch")
+
+    def reusable(answers: DataFrame) -> DataFrame:
+        read = verdicts.read_reviews(answers)
+        return reusable_batches(candidates.join(answers.select("batch"), "batch"), read, verdicts.checked_rows(verdicts.review_rows(read), candidates, parts))
+
+    rows = []
+    for nth in range(2):
+        found = cache.through(inputs, identity, ask, reusable, NOW + timedelta(days=nth))
+        new = asked[nth].withColumn("asked", F.lit(True)) if len(asked) > nth else found.limit(0).select("batch", F.lit(True).alias("asked"))
+        rows.append(found.join(new, "batch", "left").select(F.lit(nth).alias("nth"), "batch", "cache_hit", F.coalesce("asked", F.lit(False)).alias("asked")))
+    return rows[0].unionByName(rows[1])
+
+
 # --- reviews, addresses and caches -----------------------------------------------------------------
 
 
