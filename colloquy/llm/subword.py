@@ -21,6 +21,8 @@ from .common import spaced, text_slices, word_hashes, word_spans
 GRAMS = (3, 4, 5)
 #: Bytes of one text that training takes apart at once; what is learnt doesn't depend on it.
 LEARN_BYTES = 1_000_000
+#: Texts whose bags are put together in memory.
+TOGETHER = 200
 #: Bytes of text of each label that a model learns from at most, whole texts in the order of the sample.
 SAMPLE_BYTES = 64_000_000
 
@@ -140,6 +142,15 @@ def text_pieces(raw: bytes) -> list[np.ndarray]:
     return [np.frombuffer(raw[a:b], np.uint8) for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
 
 
+def together(bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same bags as parts of two arrays, which go back to the system as a whole."""
+    if not bags:
+        return []
+    ids, share = (np.concatenate([b[k] for b in bags]) for k in range(2))
+    cuts = np.cumsum([0, *(len(i) for i, _ in bags)]).tolist()
+    return [(ids[a:b], share[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def calibrated(model: Model, texts: list[str], labels: np.ndarray, shape: Shape) -> Model:
     """The model with its log-odds scaled and shifted to fit texts it wasn't trained on (Platt's method, by Newton steps)."""
     p = np.clip(scores(pa.array(texts, pa.string()), model, shape), 1e-15, 1 - 1e-15)
@@ -171,10 +182,10 @@ def _descend(texts: list[str], labels: np.ndarray, shape: Shape) -> Model:
     rng = np.random.default_rng(shape.seed)
     bags: list[tuple[np.ndarray, np.ndarray]] = []
     doc_of: list[int] = []
-    for i, text in enumerate(texts):
-        for ids, n in text_bags(text, shape):
-            bags.append((ids, (n / max(n.sum(), shape.least)).astype(np.float32)))
-            doc_of.append(i)
+    for a in range(0, len(texts), TOGETHER):
+        own = [(i, ids, (n / max(n.sum(), shape.least)).astype(np.float32)) for i in range(a, min(a + TOGETHER, len(texts))) for ids, n in text_bags(texts[i], shape)]
+        bags += together([(ids, share) for _, ids, share in own])
+        doc_of += [i for i, _, _ in own]
     doc = np.array(doc_of, dtype=np.int64)
     y = labels[doc].astype(np.int64) if len(doc) else np.zeros(0, np.int64)
     vectors = (rng.random((1 << shape.buckets, shape.width), np.float32) - 0.5) / shape.width
