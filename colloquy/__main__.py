@@ -5,6 +5,8 @@
     python -m colloquy evaluate PAIRS
     python -m colloquy csv PAIRS OUT
     python -m colloquy search MEETINGS --question TEXT [--term WORD] [--since DATE] --year YEAR [--yearly]
+    python -m colloquy assignments MEETINGS --question TEXT --term WORD [--term WORD] [--since DATE]
+    python -m colloquy analyze MEETINGS --question TEXT
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from colloquy.functions.segment import icu_segmenter, touching_runs
 from colloquy.operators import classify
 from colloquy.operators.ranking import keep_first, numbered
 from colloquy.operators.turns import labeled_pairs
+from colloquy.plans.entries import SINCE, analyze, search_assignments
 from colloquy.plans.plan import make_plan, validate_request
 from colloquy.plans.retrieval import retrieve_fast, retrieve_yearly
 from colloquy.sources import readers, sinks
@@ -73,9 +76,28 @@ def search(turns: DataFrame, question: str, terms: tuple[str, ...], since: str,
     }
 
 
+def assignments(turns: DataFrame, question: str, terms: list[str], since: str = SINCE) -> dict:
+    """The local tool's search, as what it answers: an error and nothing found where the request is wrong."""
+    try:
+        found = search_assignments(turns, question, terms, since)
+    except ValueError as e:
+        return {"error": str(e), "shares": [], "evidence": []}
+    return {
+        "searched_terms": found.searched, "focused_query": found.focused, "meetings_searched": found.meetings, "candidate_count": found.found,
+        "candidates": [r.asDict() for r in found.candidates.drop("issue_id", "question_id", "ord").collect()],
+    }
+
+
+def analysis(turns: DataFrame, question: str) -> dict:
+    """Shares of agencies for a question, with evidence."""
+    found = analyze(turns, question, icu_segmenter(turns.sparkSession))
+    shares = [r.asDict() for r in found.shares.orderBy(F.desc("percent"), "ministry").collect()]
+    return {"shares": shares, "evidence": [r.asDict() for r in found.evidence.collect()], "searched": found.searched, "pairs": found.questions}
+
+
 def main(args: list[str]) -> int:
     parser = argparse.ArgumentParser(prog="colloquy", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=("collect", "predict", "evaluate", "csv", "search"))
+    parser.add_argument("command", choices=("collect", "predict", "evaluate", "csv", "search", "assignments", "analyze"))
     parser.add_argument("paths", nargs="+")
     parser.add_argument("--keyword", action="append", default=[])
     parser.add_argument("--term", action="append", default=[])
@@ -96,6 +118,10 @@ def main(args: list[str]) -> int:
         out = predict(readers.read_labeled(spark, a.paths[0]), a.question)
     elif a.command == "evaluate":
         out = evaluate(readers.read_labeled(spark, a.paths[0]))
+    elif a.command == "assignments":
+        out = assignments(readers.read_meetings(spark, a.paths[0]), a.question, a.term, a.since or SINCE)
+    elif a.command == "analyze":
+        out = analysis(readers.read_meetings(spark, a.paths[0]), a.question)
     else:
         out = search(readers.read_meetings(spark, a.paths[0]), a.question, tuple(a.term), a.since, a.year, a.yearly)
     print(json.dumps(out, ensure_ascii=False))

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from colloquy import rules
 from colloquy.plans.plan import Concept, Segment, Segmenter, is_katakana, stems
 
-#: Distinct Katakana runs that one term may touch in a corpus; this is vocabulary and doesn't grow with rows.
-MOST_RUNS = 20_000
-
 
 def icu_segmenter(spark: SparkSession) -> Segmenter:
     icu = spark.sparkContext._jvm.com.ibm.icu
@@ -30,16 +27,18 @@ def icu_segmenter(spark: SparkSession) -> Segmenter:
 
 
 def touching_runs(texts: DataFrame, column: str, concepts: list[Concept], segment: Segmenter) -> dict[str, dict[str, list[int]]]:
-    """For each Katakana term of the concepts, the longer Katakana runs of a corpus that hold it at word borders, with the offsets."""
+    """For each Katakana term of the concepts, the longer Katakana runs of a corpus that hold it at word borders, with the offsets.
+
+    Different runs are vocabulary and grow far slower than rows; they are cut one part of the distinct table after the other, and those
+    that hold the term at borders are kept.
+    """
     all_terms = {s for c in concepts for t in (c.text, *c.parts) for s in stems(t) if is_katakana(t)}
     out: dict[str, dict[str, list[int]]] = {}
     for term in sorted(all_terms):
         run: Column = F.explode(F.regexp_extract_all(F.col(column), F.lit(f"{rules.KATAKANA}*{term}{rules.KATAKANA}*"), F.lit(0)))
-        runs = [r[0] for r in texts.where(F.contains(column, F.lit(term))).select(run.alias("run")).distinct().where(F.col("run") != term).limit(MOST_RUNS + 1).collect()]
-        if len(runs) > MOST_RUNS:
-            raise ValueError(f"{term} touches more than {MOST_RUNS} different runs; use a longer term")
+        runs = texts.where(F.contains(column, F.lit(term))).select(run.alias("run")).distinct().where(F.col("run") != term)
         found: dict[str, list[int]] = {}
-        for text in runs:
+        for (text,) in runs.toLocalIterator(prefetchPartitions=True):
             borders, at = {0}, 0
             for word, _ in segment(text):
                 at += len(word)

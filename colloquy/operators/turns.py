@@ -168,20 +168,24 @@ def labeled_pairs(turns: DataFrame) -> DataFrame:
 
 
 def tool_pairs(turns: DataFrame, terms: list[str]) -> DataFrame:
-    """Pairs by the tool's rules: the terms stand near each other in the question or the reply."""
+    """Pairs by the tool's rules: the terms stand near each other in the question or the reply. A question has 20 letters at least, and a
+    reply counts once for its agency: of rows with one meeting, id and agency the first."""
     lawmaker = roles.is_lawmaker(F.col("speaker_group"), F.col("speaker_role"), F.col("speaker_position"))
     own = turns.withColumn("text", tx.squeeze(F.col("speech"))).withColumn("_lawmaker", lawmaker).withColumn("ministry", roles.first_rule(F.col("speaker_position")))
     own = own.withColumn("span", nearest_span(F.col("text"), terms)).withColumn("_order", F.coalesce("speech_order", F.lit(0))).withColumn("hit", term_share(F.col("text"), terms))
     pairs = ask_reply_pairs(
         own, "issue_id", ["_order", "ord"], F.col("_lawmaker"), F.col("ministry").isNotNull(),
-        {"question_text": "text", "question_span": "span", "question_hit": "hit", "question_id": "speech_id"},
-        {"answer_text": "text", "answer_span": "span", "answer_hit": "hit", "ministry": "ministry", "speaker": "speaker", "position": "speaker_position", "date": "date", "meeting": "meeting", "url": "speech_url", "ord": "ord"},
+        {"question_text": "text", "question_span": "span", "question_hit": "hit", "question_id": "speech_id", "question_order": "speech_order"},
+        {"answer_text": "text", "answer_span": "span", "answer_hit": "hit", "ministry": "ministry", "speaker": "speaker", "position": "speaker_position", "date": "date", "meeting": "meeting", "url": "speech_url", "ord": "ord", "answer_id": "speech_id", "_order": "_order"},
     )
-    near = pairs.where("(question_span is not null or answer_span is not null) and (length(question_text) <= 1000 or answer_span is not null)")
+    near = pairs.where("length(question_text) >= 20 and answer_text <> ''").where("(question_span is not null or answer_span is not null) and (length(question_text) <= 1000 or answer_span is not null)")
     near = near.withColumn("relevance", F.round(F.greatest("question_hit", "answer_hit"), 3))
     near = near.withColumn("question", tx.excerpt(F.col("question_text"), F.col("question_span.start"))).withColumn("answer", tx.excerpt(F.col("answer_text"), F.col("answer_span.start")))
-    near = keep_max(near, ["issue_id", "question_id", "ministry"], [F.asc("ord")])
-    return near.drop("question_text", "answer_text", "question_span", "answer_span", "question_hit", "answer_hit", "exchange")
+    first = keep_max(near.withColumn("answer_id", F.coalesce("answer_id", F.lit(""))), ["issue_id", "answer_id", "ministry"], [F.asc("_order"), F.asc("ord")])
+    first = first.withColumn("context_match", F.when(F.col("answer_span").isNotNull(), "answer").otherwise("question"))
+    named = F.coalesce(F.nullif("question_id", F.lit("")), F.col("question_order").cast("string"), F.lit(""))
+    first = first.withColumn("case_id", F.concat_ws(":", F.coalesce(F.nullif("issue_id", F.lit("")), F.col("date"), F.lit("")), named))
+    return first.drop("question_text", "answer_text", "question_span", "answer_span", "question_hit", "answer_hit", "exchange", "question_order", "answer_id", "_order")
 
 
 def route_pairs(turns: DataFrame, words: list[str], least: float = 0.055, limit: int = 25) -> DataFrame:

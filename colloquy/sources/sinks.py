@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 BOM = "﻿"
@@ -46,6 +48,41 @@ def best_effort(write: Callable[[], None]) -> bool:
     return True
 
 
-def report_line(done: list[dict], failed: bool) -> str:
-    """State of an evaluation after each question."""
-    return json.dumps({"questions": done, "complete": not failed}, ensure_ascii=False)
+class EvaluationReport:
+    """The report of an evaluation as one JSON file, which is whole at every moment: each state is written aside and put in its place."""
+
+    def __init__(self, spark: SparkSession, path: str, **about: object) -> None:
+        self.path, self.state = path, {**about, "results": []}
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._overwrite = spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        self._overwrite[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+
+    def write(self) -> None:
+        hadoop = self._jvm.org.apache.hadoop.fs
+        to = hadoop.Path(self.path)
+        fs = to.getFileSystem(self._conf)
+        to = fs.makeQualified(to)
+        aside = hadoop.Path(to.getParent(), f".{to.getName()}.{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        try:
+            out.write(bytearray((json.dumps(self.state, ensure_ascii=False, indent=2) + "\n").encode()))
+        finally:
+            out.close()
+        hadoop.FileContext.getFileContext(fs.getUri(), self._conf).rename(aside, to, self._overwrite)
+
+    def run(self, questions: list[str], ask: Callable[[str], dict], clock: Callable[[], float] = time.monotonic) -> dict:
+        """Asks one question after the other and writes the report after each; stops where one fails or is assessed in part, and says why.
+
+        ask gives assessment_status, assessment_error, assessment_partial and whatever else is to be kept. What it raises goes through; the
+        report then holds the questions before.
+        """
+        for question in questions:
+            began = clock()
+            result = ask(question)
+            self.state["results"].append({"question": question, "duration_ms": round((clock() - began) * 1000), "result": result})
+            if result.get("assessment_status") == "failed" or result.get("assessment_error") or result.get("assessment_partial"):
+                self.state["stopped_reason"] = f"{result.get('assessment_error') or 'partial_assessment'}; remaining cases were not attempted."
+                self.write()
+                break
+            self.write()
+        return self.state

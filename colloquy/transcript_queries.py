@@ -17,12 +17,12 @@ from colloquy.functions import hits as ht
 from colloquy.functions import text as tx
 from colloquy.functions.segment import icu_segmenter
 from colloquy.operators import lookups, ranking, review, roles, turns, verdicts
-from colloquy.plans import retrieval
+from colloquy.plans import entries, retrieval
 from colloquy.plans.plan import Concept, Plan
 from colloquy.queries import LATIN_PART, query, table
 from colloquy.sources import proxy, readers
 from colloquy.staging import new_path, staged
-from colloquy.streaming import state
+from colloquy.streaming import keyed, state
 
 PHRASES = (
     "水素ステーションの整備について、政府としてはどのような見解をお持ちなのか伺います。", "金融庁としては水素ステーションの整備に取り組みます。", "御指摘の水素ステーションの税制を進めます。", "環境省として対応します。水素ステーションの整備を進めます。次に、農業です。",
@@ -388,3 +388,46 @@ def daily_usage(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming operator on a table."""
     own = state.stream_daily_usage(table(spark, sf, "events"), "ts", F.lit(1), 100)
     return own.select(F.unix_micros("day").alias("day_us"), "used", "exhausted")
+
+
+# --- rules with a memory -----------------------------------------------------------------------------
+
+
+@query("""WITH g AS (SELECT user_id::VARCHAR AS key, event_id::BIGINT AS id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events)
+SELECT key, id, gap_us::BIGINT AS gap_us, coalesce(gap_us >= 3000000, true) AS spaced FROM g""")
+def gaps_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming rule on a table."""
+    return keyed.gaps(table(spark, sf, "events"), F.col("user_id"), "ts", "event_id")
+
+
+_MARK = "CASE event_id % 50 WHEN 7 THEN 'verified_quota' WHEN 8 THEN 'guess' END"
+
+
+@query(f"""WITH e AS (SELECT *, {_MARK} AS mark, date_trunc('day', ts) AS day FROM events),
+w AS (SELECT *, sum(CASE WHEN mark IS NULL THEN event_id % 7 ELSE 0 END) OVER r AS used, bool_or(coalesce(mark = 'verified_quota', false)) OVER r AS paused FROM e WINDOW r AS (PARTITION BY user_id % 20, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT (user_id % 20)::VARCHAR AS key, event_id::BIGINT AS id, used::DOUBLE AS used, used <= 30 AND NOT paused AS allowed, CASE WHEN paused THEN epoch_us(day::TIMESTAMP + INTERVAL 1 DAY) END::BIGINT AS paused_until_us FROM w WHERE mark IS NULL""")
+def quota_pauses(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming rule on a table: marks of the right kind pause a key until midnight."""
+    return keyed.quotas(table(spark, sf, "events"), F.col("user_id") % 20, "ts", "event_id", F.col("event_id") % 7, F.expr(_MARK), 30)
+
+
+@query()
+def requests_in_flight(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming rule on a table; tests compare it with a simulation."""
+    kind = F.when(F.col("event_id") % 3 == 0, "done").when(F.col("event_id") % 11 == 0, "failed").otherwise("ask")
+    return keyed.flights(table(spark, sf, "events"), F.col("user_id") % 20, "ts", "event_id", F.col("event_type"), kind, seconds=6 * 3600)
+
+
+# --- entries -----------------------------------------------------------------------------------------
+
+
+@query()
+def tool_assignments(spark: SparkSession, sf: str) -> DataFrame:
+    """The local tool's search; tests compare it with a plain retelling."""
+    return entries.search_assignments(as_turns(spark, sf), "水素ステーションの税制について", ["水素", "税制"]).candidates
+
+
+@query()
+def route_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The starter route's shares; tests compare them with a plain retelling."""
+    return entries.analyze(as_turns(spark, sf), "水素ステーションの整備について政府の見解を伺います。", icu_segmenter(spark)).shares
