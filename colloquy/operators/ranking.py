@@ -52,6 +52,11 @@ def batches(rows: DataFrame, order: list[str], size: int = 8, prefix: str = "c")
     return own.withColumn("batch_id", F.concat(F.lit(prefix), (F.col("_n") % size + 1).cast("string"))).drop("_n")
 
 
+def named_in(rows: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is one of those allowed."""
+    return rows.join(allowed.select(key), key, "left_semi")
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with their place (from 0) in a total order, without sorting all of them in one task.
 

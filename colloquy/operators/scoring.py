@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.hits import coverages, rarity_weight
+from colloquy.functions.text import round3
 from colloquy.plans.plan import Plan
 
 #: Vectors of a block, and the parts that the queries of a search are dealt into before they are cut into blocks.
@@ -18,6 +19,16 @@ BLOCK = 1024
 QUERY_PARTS = 4
 
 
+def relevance(question: Column, answer: Column) -> Column:
+    """The mean of both matches."""
+    return round3((question + answer) / 2)
+
+
+def retrieval_score(question: Column, answer: Column) -> Column:
+    """Three parts of the better match and one of the weaker."""
+    return round3(0.75 * F.greatest(question, answer) + 0.25 * F.least(question, answer))
+
+
 def places(text: Column, term: str, most: int = 80) -> Column:
     """Offsets from 0 of a term's first places, which may overlap: the text is cut before each of them."""
     pieces = F.slice(F.split(text, f"(?={re.escape(term)})"), 1, most + 1)

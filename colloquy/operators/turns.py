@@ -12,8 +12,8 @@ from colloquy.functions.segment import icu_segmenter
 from colloquy.operators import roles
 from colloquy.operators.bridge import bridged_answers
 from colloquy.operators.passages import best_question, best_recall, best_supported, first_window
-from colloquy.operators.ranking import keep_max
-from colloquy.operators.scoring import nearest_span
+from colloquy.operators.ranking import keep_max, named_in
+from colloquy.operators.scoring import nearest_span, relevance, retrieval_score
 from colloquy.plans.plan import Plan, Segmenter
 from colloquy.staging import staged
 
@@ -88,7 +88,7 @@ def strict_pairs(turns: DataFrame, plan: Plan, runs: dict | None = None, nfkc: b
     own = own.withColumn("earlier", F.collect_list(useful).over(before))
     asks = own.where("asks and length(text) >= 8")
     if allowed is not None:
-        asks = asks.join(allowed, "speech_id", "left_semi")
+        asks = named_in(asks, allowed, "speech_id")
     best = best_question(asks, ["issue_id", "place"], "text", plan, runs)
     best = best.select("issue_id", "place", F.col("passage").alias("question"), F.col("start").alias("question_start"), F.col("end").alias("question_end"), "coverage")
     asks = asks.join(best, ["issue_id", "place"]).select("issue_id", "exchange", "case_id", "question", "question_start", "question_end", F.col("text").alias("question_text"), "coverage", "earlier", F.col("speech_url").alias("question_url"))
@@ -103,7 +103,7 @@ def strict_pairs(turns: DataFrame, plan: Plan, runs: dict | None = None, nfkc: b
     linked = bridged_answers(open_, plan, segment or icu_segmenter(turns.sparkSession), runs)
     linked = both.drop("answer", "answer_score").join(linked, "pair").select(*both.columns, "context")
     both = both.where("answer is not null").withColumn("context", F.lit("answer")).unionByName(linked)
-    both = both.withColumn("relevance", tx.round3((F.col("coverage") + F.col("answer_score")) / 2))
+    both = both.withColumn("relevance", relevance(F.col("coverage"), F.col("answer_score")))
     out = both.select(
         "case_id", "ministry", "question", "answer", F.coalesce("speaker", F.lit(rules.UNNAMED)).alias("speaker"), F.coalesce("speaker_position", F.lit("")).alias("position"),
         F.coalesce("speaker_position", F.lit("")).alias("speaker_title"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("meeting", F.lit("")).alias("meeting"),
@@ -131,7 +131,7 @@ def recall_pairs(turns: DataFrame, plan: Plan, runs: dict | None = None, nfkc: b
     rows = asks.join(replies, ["issue_id", "exchange"]).where("q is not null or a is not null")
     rows = rows.withColumn("ministry", roles.answering_agency(tx.normalize(F.col("speaker_position"), nfkc), F.col("answer_text"))).where("ministry is not null")
     q, a = F.coalesce("q.score", F.lit(0.0)), F.coalesce("a.score", F.lit(0.0))
-    score = 0.75 * F.greatest(q, a) + 0.25 * F.least(q, a) if blend else F.when(F.col("q").isNotNull(), q).otherwise(a)
+    score = retrieval_score(q, a) if blend else tx.round3(F.when(F.col("q").isNotNull(), q).otherwise(a))
     first = F.when(F.length("answer_text") > 2000, first_window(F.col("answer_text")))
     rows = rows.withColumn("shown", F.when(F.col("a").isNull(), first).otherwise(F.struct("a.start", "a.end")))
     rows = rows.select(
@@ -140,7 +140,7 @@ def recall_pairs(turns: DataFrame, plan: Plan, runs: dict | None = None, nfkc: b
         F.when(F.col("q").isNull(), F.col("previous_context")).otherwise(F.lit("")).alias("previous_context"),
         F.coalesce("speaker", F.lit(rules.UNNAMED)).alias("speaker"), F.coalesce("speaker_position", F.lit("")).alias("position"), F.coalesce("date", F.lit("")).alias("date"),
         F.coalesce("meeting", F.lit("")).alias("meeting"), F.col("speech_url").alias("url"), F.coalesce("question_url", F.lit("")).alias("question_url"),
-        F.lit("unverified").alias("screening"), tx.round3(score).alias("retrieval_score"), "place", "question_text", "answer_text",
+        F.lit("unverified").alias("screening"), score.alias("retrieval_score"), "place", "question_text", "answer_text",
         F.coalesce(F.nullif("speech_id", F.lit("")), "speech_url").alias("_reply"),
     )
     rows = rows.withColumn("question_truncated", F.length("question") < F.length("question_text")).withColumn("answer_truncated", F.length("answer") < F.length("answer_text"))

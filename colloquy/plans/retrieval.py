@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy import rules
@@ -46,15 +46,25 @@ def recent_since(year: int) -> str:
     return f"{year - 2}-01-01"
 
 
+def evidence(strong: DataFrame, case: Column, meeting: Column, cases: int = ENOUGH_CASES, meetings: int = ENOUGH_MEETINGS) -> DataFrame:
+    """One row: how many different cases and meetings there are, and whether that is enough."""
+    own = strong.agg(F.count_distinct(case).alias("cases"), F.count_distinct(meeting).alias("meetings"))
+    return own.withColumn("enough", (F.col("cases") >= cases) & (F.col("meetings") >= meetings))
+
+
 def sufficient(candidates: DataFrame) -> bool:
     """Enough different cases and meetings among strong candidates that aren't held back."""
     strong = candidates.where((F.col("retrieval_score") >= STRONG) & ~held_for_context(candidates))
-    row = strong.agg(F.count_distinct("case_id").alias("cases"), F.count_distinct(F.split("case_id", ":")[0]).alias("meetings")).first()
-    return row["cases"] >= ENOUGH_CASES and row["meetings"] >= ENOUGH_MEETINGS
+    return evidence(strong, F.col("case_id"), F.split("case_id", ":")[0]).first()["enough"]
+
+
+def only_old(date: Column, since: str) -> Column:
+    """Are all dates of a group known and before a day? Null where there are none to tell by."""
+    return F.bool_and((date != "") & (date < since))
 
 
 def historical_only(candidates: DataFrame, since: str) -> bool:
-    row = candidates.agg(F.count("*").alias("n"), F.bool_and((F.col("date") != "") & (F.col("date") < since)).alias("old")).first()
+    row = candidates.agg(F.count("*").alias("n"), only_old(F.col("date"), since).alias("old")).first()
     return bool(row["n"] and row["old"])
 
 

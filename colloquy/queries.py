@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import hits as ht
 from colloquy.functions import text as tx
 from colloquy.operators import classify, lookups, passages, ranking, review, roles, scoring, shares, turns
+from colloquy.plans import retrieval
 from colloquy.plans.plan import Concept, Plan
 from colloquy.sources import readers, sinks
 from colloquy.sources.grams import GramIndex
@@ -240,8 +241,8 @@ def set_similarity(spark: SparkSession, sf: str) -> DataFrame:
 FROM (SELECT conv_id, turn, (contains(text, 'the')::INT + contains(text, 'zzz')::INT) / 2.0::DOUBLE AS q, (contains(text, 'tion')::INT + contains(text, 'er')::INT + contains(text, 'zzz')::INT) / 3.0::DOUBLE AS a FROM conversations)""")
 def blended_scores(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "conversations").select("conv_id", "turn", ht.term_share(F.col("text"), ["the", "zzz"]).alias("q"), ht.term_share(F.col("text"), ["tion", "er", "zzz"]).alias("a"))
-    blend = 0.75 * F.greatest("q", "a") + 0.25 * F.least("q", "a")
-    return own.select("conv_id", "turn", tx.round3(blend).alias("retrieval_score"), tx.round3((F.col("q") + F.col("a")) / 2).alias("relevance"))
+    q, a = F.col("q"), F.col("a")
+    return own.select("conv_id", "turn", scoring.retrieval_score(q, a).alias("retrieval_score"), scoring.relevance(q, a).alias("relevance"))
 
 
 @query("""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
@@ -374,13 +375,12 @@ def anti_excluded(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE o_custkey = c_custkey AND c_mktsegment = 'BUILDING')")
 def semi_allowed(spark: SparkSession, sf: str) -> DataFrame:
     allowed = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'")
-    return table(spark, sf, "orders").join(allowed, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+    return ranking.named_in(table(spark, sf, "orders"), allowed.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").select("o_orderkey")
 
 
 @query("SELECT count(DISTINCT l_orderkey)::BIGINT AS cases, count(DISTINCT l_suppkey)::BIGINT AS meetings, count(DISTINCT l_orderkey) >= 12 AND count(DISTINCT l_suppkey) >= 3 AS enough FROM lineitem WHERE l_discount >= 0.05")
 def sufficiency_gate(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "lineitem").where("l_discount >= 0.05").agg(F.count_distinct("l_orderkey").alias("cases"), F.count_distinct("l_suppkey").alias("meetings"))
-    return own.withColumn("enough", (F.col("cases") >= 12) & (F.col("meetings") >= 3))
+    return retrieval.evidence(table(spark, sf, "lineitem").where("l_discount >= 0.05"), F.col("l_orderkey"), F.col("l_suppkey"))
 
 
 @query("""WITH n AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents) SELECT doc_id, place::BIGINT AS place, place % 10 < 8 AS is_train FROM n""")
@@ -403,7 +403,7 @@ def diversified_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_custkey, bool_and(o_orderdate < TIMESTAMP '1996-01-01') AS historical_only FROM orders GROUP BY o_custkey")
 def historical_only(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.bool_and(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")).alias("historical_only"))
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(retrieval.only_old(F.date_format("o_orderdate", "yyyy-MM-dd"), "1996-01-01").alias("historical_only"))
 
 
 @query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
