@@ -1,7 +1,7 @@
 """Toxicity classifier on bags of subword vectors averaged into a linear softmax.
 
 Features are the lower-cased words (runs of letters and digits) and runs of 3 to 5 bytes of each word, so a misspelling that was
-never seen shares vectors with the word it stands for. Vectors are averaged over passages of 64 words, a word said again at once
+never seen shares vectors with the word it stands for. Vectors are averaged over passages of 24 words, a word said again at once
 counting once, and a document's score is that of its likeliest passage: a few such words are found in a text of any length.
 Vectors and softmax are trained together by numpy gradient descent on a bounded sample of labelled rows (MOST of label 1, twice
 as many of label 0, the first by a hash of doc_id), never on held-out rows; a fifth of the sample calibrates the odds.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM_WORDS
 from .subword import Model, Shape, below, fit, held_out, sample, scored
 
-SHAPE = Shape(words=ALNUM_WORDS, lower=True, passage=64, pairs=False, once=True, least=400)
+SHAPE = Shape(words=ALNUM_WORDS, lower=True, passage=24, pairs=False, once=True, least=200, steps=4000)
 MOST = 1600
 THRESHOLD = 0.3
 PARTS, PART = 4, 2
