@@ -7,8 +7,9 @@ from math import sqrt
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy import rules
 from colloquy.functions import text as tx
-from colloquy.operators import classify
+from colloquy.operators import classify, roles
 
 
 def shuffled(spark, action) -> int:
@@ -60,3 +61,11 @@ def test_bags_are_not_shuffled_to_a_large_vocabulary(spark, words):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert n < bags / 2
+
+
+def test_agencies_are_looked_for_once(spark):
+    """Each name's pattern stands in the plan once for the answer and twice for the answer before, not once for each use."""
+    own = spark.createDataFrame([("経済産業大臣", "a", "b")], "t string, a string, b string").select(roles.answering_agency(F.col("t"), F.col("a"), F.col("b")).alias("x"))
+    plan = own._jdf.queryExecution().analyzed().toString()
+    name = rules.TITLE_RULES[0][1]
+    assert plan.count(f"{name}{rules.CAPACITY}") <= 3
