@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from colloquy import rules
 from colloquy.functions import text as tx
-from colloquy.operators import classify, roles
+from colloquy.functions.segment import IcuSegmenter
+from colloquy.operators import bridge, classify, roles
+from colloquy.plans.plan import concepts
 
 
 def shuffled(spark, action) -> int:
@@ -69,3 +71,22 @@ def test_agencies_are_looked_for_once(spark):
     plan = own._jdf.queryExecution().analyzed().toString()
     name = rules.TITLE_RULES[0][1]
     assert plan.count(f"{name}{rules.CAPACITY}") <= 3
+
+
+def test_words_are_cut_in_tasks(spark):
+    """The same words as on the driver, where no text is cut any more; a segmenter without a column function travels to the tasks."""
+
+    class Tasks(IcuSegmenter):
+        def __call__(self, text):
+            raise AssertionError("cut on the driver")
+
+    texts = ["水素ステーションの整備について、補助金の交付要件を伺います。", "", "𠮷野家のAI化 😀 ペット", "スタートアップ支援の税制", "a\u3000b  ｱｲｳ"]
+    df = spark.createDataFrame([(t,) for t in [*texts, texts[0]]], "t string")
+    driver = IcuSegmenter(spark)
+    want = {t: [c.text for c in concepts(t, driver)] for t in texts}
+    got = bridge.spoken(df, Tasks(spark)).collect()
+    assert len(got) == len(texts) and {r["said"]: r["topics"] for r in got} == want
+    cut = df.select("t", driver.segments(F.col("t")).alias("s")).collect()
+    assert all([(s[1:], s[0] == "+") for s in r["s"]] == driver(r["t"]) for r in cut)
+    own = bridge.spoken(df, lambda t: [(w, True) for w in t.split()]).where("said = ''").collect()
+    assert [r["topics"] for r in own] == [[]]
