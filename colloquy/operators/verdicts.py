@@ -14,6 +14,7 @@ from colloquy.functions import text as tx
 from colloquy.operators.lookups import allowed_url
 from colloquy.operators.ranking import keep_first
 from colloquy.operators.review import MOST_COMPARISON, decide
+from colloquy.staging import staged
 
 SEMANTIC = ("id", "beneficiary", "activity", "relation", "comparison", "decision")
 REFERENCES = ("q", "a")
@@ -78,6 +79,13 @@ def relation_kind(relation: Column) -> Column:
     return F.when(own == "", "blank").when(own.isin(*rules.RELATIONS), "surrounding_whitespace").when(F.lower(own).isin(*rules.RELATIONS), "letter_case").when(own.isin(*rules.DECISIONS), "decision_code").otherwise("other")
 
 
+def _cited(accepted: DataFrame, parts: DataFrame) -> DataFrame:
+    """The parts that some rows cite. Parts are read once, and meet by (batch, id) as they are dealt where answer_parts made them."""
+    cites = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("part_id")) for side in REFERENCES])
+    wanted = accepted.select("batch", "id", F.explode(cites).alias("_cite")).groupBy("batch", "id").agg(F.collect_set("_cite").alias("_cites"))
+    return parts.join(wanted, ["batch", "id"]).where(F.array_contains("_cites", F.struct("side", "part_id"))).drop("_cites")
+
+
 def checked_rows(rows: DataFrame, candidates: DataFrame, parts: DataFrame) -> DataFrame:
     """rows with reason (null: valid), kind (of an invalid relation), said, and the evidence and owner of an accepted row.
 
@@ -96,9 +104,10 @@ def checked_rows(rows: DataFrame, candidates: DataFrame, parts: DataFrame) -> Da
     )
     own = own.withColumn("_reason", F.coalesce("shape", F.when(F.col("_is").isNull(), "unknown_id"), fields))
     first = F.min(F.when(F.col("_reason").isNull(), F.col("place"))).over(Window.partitionBy("batch", "id"))
-    own = own.withColumn("_late", F.col("shape").isNull() & F.col("_is").isNotNull() & F.coalesce(F.col("place") > first, F.lit(False)))
+    own = staged(own.withColumn("_late", F.col("shape").isNull() & F.col("_is").isNotNull() & F.coalesce(F.col("place") > first, F.lit(False))))
+    found = staged(_cited(own.where(accepted), parts))
     for side in REFERENCES:
-        cited = parts.where(F.col("side") == side).select("batch", "id", F.col("part_id").alias(side), F.col("text").alias(f"{side}_text"), F.col("owner").alias(f"{side}_owner"))
+        cited = found.where(F.col("side") == side).select("batch", "id", F.col("part_id").alias(side), F.col("text").alias(f"{side}_text"), F.col("owner").alias(f"{side}_owner"))
         own = own.join(cited, ["batch", "id", side], "left")
     foreign = accepted & (F.col("q_text").isNull() | F.col("a_text").isNull())
     reason = F.when(F.col("_late"), "duplicate_id").otherwise(F.coalesce("_reason", F.when(foreign, "unknown_accepted_refs")))
@@ -129,11 +138,11 @@ def settled(candidates: DataFrame, checked: DataFrame) -> DataFrame:
     return out.select("batch", "id", F.when(done, F.col("said")).otherwise("uncertain").alias("decision"), done.alias("completed"), *kept)
 
 
-def answer_parts(rows: DataFrame, key: list[str], ord_: str, owner: str, most: int = MOST_VARIANTS, **sentence: object) -> DataFrame:
-    """(key, side, part_id, text, owner) of rows (key, question, answer): the first row's question, and the answers of the first `most`."""
+def answer_parts(rows: DataFrame, key: list[str], ord_: str, owner: str, most: int = MOST_VARIANTS, question: str = "question", answer: str = "answer", **sentence: object) -> DataFrame:
+    """(key, side, part_id, text, owner) of rows (key, question, answer; which may be one column): the first row's question, and the answers of the first `most`."""
     ranked = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(ord_))).where(F.col("_nth") <= most)
-    numbered = F.transform_keys(tx.sentence_parts(F.col("answer"), "a", **sentence), lambda k, _: F.concat(F.lit("v"), F.col("_nth").cast("string"), k))
-    sides = F.array(F.struct(F.lit("a").alias("side"), numbered.alias("parts")), F.struct(F.lit("q").alias("side"), F.when(F.col("_nth") == 1, tx.sentence_parts(F.col("question"), "q", **sentence)).alias("parts")))
+    numbered = F.transform_keys(tx.sentence_parts(F.col(answer), "a", **sentence), lambda k, _: F.concat(F.lit("v"), F.col("_nth").cast("string"), k))
+    sides = F.array(F.struct(F.lit("a").alias("side"), numbered.alias("parts")), F.struct(F.lit("q").alias("side"), F.when(F.col("_nth") == 1, tx.sentence_parts(F.col(question), "q", **sentence)).alias("parts")))
     out = ranked.select(*key, F.col(owner).alias("owner"), F.explode(sides).alias("_s"))
     return out.select(*key, F.col("_s.side").alias("side"), F.explode("_s.parts").alias("part_id", "text"), "owner")
 

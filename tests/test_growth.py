@@ -1,5 +1,6 @@
 """What must not grow faster than the input: rows shuffled, and work repeated for each use of a result."""
 
+import json
 import random
 from collections import Counter
 from math import sqrt
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from colloquy import rules
 from colloquy.functions import text as tx
 from colloquy.functions.segment import IcuSegmenter
-from colloquy.operators import bridge, classify, roles
+from colloquy.operators import bridge, classify, roles, verdicts
 from colloquy.plans.plan import concepts
 
 
@@ -90,3 +91,21 @@ def test_words_are_cut_in_tasks(spark):
     assert all([(s[1:], s[0] == "+") for s in r["s"]] == driver(r["t"]) for r in cut)
     own = bridge.spoken(df, lambda t: [(w, True) for w in t.split()]).where("said = ''").collect()
     assert [r["topics"] for r in own] == [[]]
+
+
+def test_only_cited_parts_are_looked_up(spark):
+    """Sentences that nobody cites are not shuffled, once dealt by candidate; a part that is cited twice, or not there, is as before."""
+    docs = spark.createDataFrame([(i // 8, str(i), i, ". ".join(f"sentence {i} {j}" for j in range(60))) for i in range(48)], "batch long, id string, doc_id long, text string")
+    parts = verdicts.answer_parts(docs, ["batch", "id"], "doc_id", "doc_id", question="text", answer="text", sentence="[^.]+", skip=(), header="^$")
+    review = lambda i: {"id": str(i), "beneficiary": "b", "activity": "a", "relation": "same", "comparison": "c", "decision": "accept", "q": "q1", "a": "v1a99" if i == 5 else "v1a2"}
+    texts = spark.createDataFrame([(b, json.dumps({"reviews": [review(b * 8 + i) for i in range(8)]})) for b in range(6)], "batch long, response string")
+    checked = []
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = shuffled(spark, lambda: checked.extend(verdicts.checked_rows(verdicts.review_rows(verdicts.read_reviews(texts)), docs.select("batch", "id"), parts).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert n < 48 * 60
+    assert {(r["id"], r["reason"], r["question_evidence"], r["answer_evidence"], r["owner"]) for r in checked} == {
+        (str(i), "unknown_accepted_refs", None, None, None) if i == 5 else (str(i), None, f"sentence {i} 0", f"sentence {i} 1", i) for i in range(48)}
