@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+import unicodedata
 from collections import Counter
 from math import sqrt
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from colloquy import rules
 from colloquy.functions import text as tx
 from colloquy.functions.segment import IcuSegmenter
-from colloquy.operators import bridge, classify, roles, verdicts
+from colloquy.operators import bridge, classify, ranking, roles, verdicts
 from colloquy.plans.plan import concepts
 
 
@@ -109,3 +111,26 @@ def test_only_cited_parts_are_looked_up(spark):
     assert n < 48 * 60
     assert {(r["id"], r["reason"], r["question_evidence"], r["answer_evidence"], r["owner"]) for r in checked} == {
         (str(i), "unknown_accepted_refs", None, None, None) if i == 5 else (str(i), None, f"sentence {i} 0", f"sentence {i} 1", i) for i in range(48)}
+
+
+def test_only_texts_that_may_change_go_to_python(spark, monkeypatch):
+    """Letters taken for plain are left alone by NFKC, alone and beside each other; of a text of such letters Python gets a null."""
+    plain = [c for c in map(chr, range(0x110000)) if re.match(f"[{tx.PLAIN}]", c)]
+    seconds = {chr(int(d[1], 16)) for d in (unicodedata.decomposition(chr(c)).split() for c in range(0x110000)) if len(d) == 2 and not d[0].startswith("<")}
+    assert all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in plain) and not seconds & set(plain)
+    texts = ["ＡＢＣ　ｱ", "が", "plain text", "水素、ステーション。", "é", "", None, "①", "\U0001d400"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    got = {r["k"]: r["n"] for r in df.select("k", tx.normal_form(F.col("t")).alias("n")).collect()}
+    assert got == {i: None if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+    monkeypatch.setattr(tx, "_nfkc", F.pandas_udf(lambda t: t.map(lambda x: f"sent {x}", na_action="ignore"), "string"))
+    got = {r["k"]: r["n"] for r in df.select("k", tx.normal_form(F.col("t")).alias("n")).collect()}
+    assert [i for i, n in got.items() if (n or "").startswith("sent")] == [0, 1, 4, 7, 8]
+
+
+def test_texts_of_candidates_stay_out_of_python(spark):
+    """The greedy choice is given what decides, not the rows' texts."""
+    df = spark.range(50).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("case_id"), F.lit("m").alias("ministry"), F.lit("u").alias("url"), (F.col("id") % 3).cast("string").alias("bucket"), (F.col("id") / 50).alias("score"), F.repeat(F.lit("long"), 9).alias("body"))
+    out = ranking.diversified(df, 4)
+    sent = re.search(r"\(\d+\) MapInPandas\nInput \[\d+\]: \[(.*?)\]", out._jdf.queryExecution().explainString(spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+    assert "body" not in sent[1] and "_score" in sent[1]
+    assert sorted(r["selection"] for r in out.collect()) == [1, 2, 3, 4] and {r["body"] for r in out.collect()} == {"long" * 9}
