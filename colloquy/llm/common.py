@@ -57,11 +57,16 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         i = j
 
 
+def word_bytes(kind: int) -> np.ndarray:
+    """For each byte: is it part of words?"""
+    return _SPACE if kind == SPACE_WORDS else _ALNUM
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, kind: int = SPACE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each document the index of its first word (one more at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = (_SPACE if kind == SPACE_WORDS else _ALNUM)[data]
+    inside = word_bytes(kind)[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

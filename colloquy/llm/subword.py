@@ -3,26 +3,29 @@
 A word gives its own hashed vector and one for each run of 3 to 5 bytes of it with its borders marked, so words not seen in
 training share vectors with those that were. A passage is the average of its vectors; vectors and output layer are trained
 together by stochastic gradient descent with one falling step size for all vectors, in units of the usual gradient. Everything is
-done on arrays of all bytes of a slice of documents at once.
+done on arrays of all bytes of a slice of documents at once, or of a piece of a longer one; bags that are learnt from lie in a file.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spaced, text_slices, word_hashes, word_spans
+from .common import spaced, text_slices, word_bytes, word_hashes, word_spans
 
 GRAMS = (3, 4, 5)
-#: Bytes of one text that training takes apart at once; what is learnt doesn't depend on it.
-LEARN_BYTES = 1_000_000
-#: Texts whose bags are put together in memory.
-TOGETHER = 200
+#: Bytes of text that are taken apart at once, in training and scoring; what is learnt and found doesn't depend on it.
+LEARN_BYTES = 500_000
+#: A feature of a bag and its share of it, as they lie in the file.
+BAG = np.dtype([("id", np.int32), ("share", np.float32)])
 #: Bytes of text of each label that a model learns from at most, whole texts in the order of the sample.
 SAMPLE_BYTES = 64_000_000
 
@@ -101,54 +104,85 @@ def passages(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(first[:-1][doc] + (np.arange(len(doc)) - begin[doc]) * size, first[-1]), doc
 
 
-def text_bags(text: str | None, shape: Shape) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features, how often each) of every passage of a text, as scoring would find them.
+def taken_apart(data: np.ndarray, shape: Shape) -> Iterator[tuple[list[tuple[np.ndarray, np.ndarray]], int]]:
+    """([(word index in rising order, feature)], number of words) of each piece of a text that has words, as in the whole text.
 
-    A long text is taken apart in slices of about LEARN_BYTES. Each slice begins with the last word of the one before, so pairs and
-    words said again are found across cuts, and passages are numbered over the whole text.
+    A piece is put behind the last word of the one before, so pairs and words said again are found across cuts.
     """
-    carried, done, keys, counts = b"", 0, [], []
-    for data in text_pieces((text or "").encode()):
-        data = np.concatenate([np.frombuffer(carried, np.uint8), data]) if carried else data
-        whole = np.array([0, len(data)])
-        found, first = features(data, whole, shape)
+    carried = data[:0]
+    for piece in text_pieces(data, shape.words):
+        old = min(1, len(carried))
+        piece = np.concatenate([carried, piece]) if old else piece
+        whole = np.array([0, len(piece)])
+        found, first = features(piece, whole, shape)
         if not found:
             continue
-        old = 1 if carried else 0
-        word, ids = np.concatenate([w for w, _ in found]), np.concatenate([f for _, f in found])
-        new = word >= old
-        at = word[new].astype(np.int64) + (done - old)
-        key, n = np.unique((at // shape.passage if shape.passage else at * 0) << 32 | ids[new], return_counts=True)
-        keys.append(key)
-        counts.append(n)
-        done += int(first[-1]) - old
-        starts, ends, _ = word_spans(data, whole, shape.words)
-        carried = data[starts[-1] : ends[-1]].tobytes()
-    if not keys:
-        return []
-    key, n = keys[0], counts[0]
-    if len(keys) > 1:
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-    cut = np.flatnonzero(np.diff(key >> 32, prepend=-1))
-    return [((key[a:b] & 0xFFFFFFFF).astype(np.int32), n[a:b]) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True)]
-
-
-def text_pieces(raw: bytes) -> list[np.ndarray]:
-    """Bytes of a text in pieces of about LEARN_BYTES that end before a blank."""
-    cuts = [0]
-    while len(raw) - cuts[-1] > LEARN_BYTES and (at := raw.find(b" ", cuts[-1] + LEARN_BYTES)) > 0:
-        cuts.append(at)
-    return [np.frombuffer(raw[a:b], np.uint8) for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
-
-
-def together(bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The same bags as parts of two arrays, which go back to the system as a whole."""
-    if not bags:
-        return []
-    ids, share = (np.concatenate([b[k] for b in bags]) for k in range(2))
-    cuts = np.cumsum([0, *(len(i) for i, _ in bags)]).tolist()
-    return [(ids[a:b], share[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        from_ = [int(np.searchsorted(w, old)) for w, _ in found]
+        yield [(w[k:] - old, ids[k:]) for k, (w, ids) in zip(from_, found, strict=True)], int(first[-1]) - old
+        starts, ends, _ = word_spans(piece, whole, shape.words)
+        carried = piece[starts[-1] : ends[-1]]
+
+
+def text_pieces(data: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    """A text in pieces of about LEARN_BYTES that end before a byte outside words; a longer word is left whole."""
+    inside, a = word_bytes(words), 0
+    while a < len(data):
+        b = min(a + LEARN_BYTES, len(data))
+        while b < len(data) and inside[data[b : b + 4096]].all():
+            b = min(b + 4096, len(data))
+        b += int(np.argmin(inside[data[b : b + 4096]])) if b < len(data) else 0
+        yield data[a:b]
+        a = b
+
+
+def bags(text: str | None, shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, how often each) of every passage of a text, as scoring would find them. Passages are numbered over the whole text;
+    the last of a piece may go on in the next one."""
+    done, key, n = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for found, n_words in taken_apart(np.frombuffer((text or "").encode(), np.uint8), shape):
+        if not n_words:
+            continue
+        at = np.concatenate([w for w, _ in found]).astype(np.int64) + done
+        new, count = np.unique((at // shape.passage if shape.passage else at * 0) << 32 | np.concatenate([ids for _, ids in found]), return_counts=True)
+        key, at = np.unique(np.concatenate([key, new]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, count])).astype(np.int64)
+        whole = int(np.searchsorted(key, key[-1] >> 32 << 32))
+        yield from _by_passage(key[:whole], n[:whole])
+        key, n, done = key[whole:], n[whole:], done + n_words
+    yield from _by_passage(key, n)
+
+
+def _by_passage(key: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    cut = np.flatnonzero(np.diff(key >> 32, prepend=-1)).tolist()
+    for a, b in zip(cut, [*cut[1:], len(key)], strict=False):
+        yield (key[a:b] & 0xFFFFFFFF).astype(np.int32), n[a:b]
+
+
+def text_bags(text: str | None, shape: Shape) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All bags of a text."""
+    return list(bags(text, shape))
+
+
+def scratch() -> BinaryIO:
+    """A file without a name on a disk of Spark's; it goes with the task."""
+    own = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return tempfile.TemporaryFile(dir=own if os.path.isdir(own) else None)
+
+
+def stored(texts: list[str], shape: Shape, file: BinaryIO) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bags of all texts one after the other, mapped from the file; where each begins (and the end); and the text of each."""
+    size, doc = [0], []
+    for i, text in enumerate(texts):
+        for ids, n in bags(text, shape):
+            bag = np.empty(len(ids), BAG)
+            bag["id"], bag["share"] = ids, n / max(n.sum(), shape.least)
+            file.write(bag.tobytes())
+            size.append(len(ids))
+            doc.append(i)
+    file.flush()
+    begin = np.cumsum(size)
+    kept = np.memmap(file, BAG, "r", shape=(int(begin[-1]),)).view(np.ndarray) if doc else np.zeros(0, BAG)
+    return kept, begin, np.array(doc, dtype=np.int64)
 
 
 def calibrated(model: Model, texts: list[str], labels: np.ndarray, shape: Shape) -> Model:
@@ -179,14 +213,12 @@ def train(texts: list[str], labels: np.ndarray, shape: Shape) -> Model:
 
 
 def _descend(texts: list[str], labels: np.ndarray, shape: Shape) -> Model:
+    with scratch() as file:
+        return _descended(*stored(texts, shape, file), len(texts), labels, shape)
+
+
+def _descended(kept: np.ndarray, begins: np.ndarray, doc: np.ndarray, n_texts: int, labels: np.ndarray, shape: Shape) -> Model:
     rng = np.random.default_rng(shape.seed)
-    bags: list[tuple[np.ndarray, np.ndarray]] = []
-    doc_of: list[int] = []
-    for a in range(0, len(texts), TOGETHER):
-        own = [(i, ids, (n / max(n.sum(), shape.least)).astype(np.float32)) for i in range(a, min(a + TOGETHER, len(texts))) for ids, n in text_bags(texts[i], shape)]
-        bags += together([(ids, share) for _, ids, share in own])
-        doc_of += [i for i, _, _ in own]
-    doc = np.array(doc_of, dtype=np.int64)
     y = labels[doc].astype(np.int64) if len(doc) else np.zeros(0, np.int64)
     vectors = (rng.random((1 << shape.buckets, shape.width), np.float32) - 0.5) / shape.width
     out = np.zeros((shape.width, 2), np.float32)
@@ -194,20 +226,21 @@ def _descend(texts: list[str], labels: np.ndarray, shape: Shape) -> Model:
     out[:, 0] = -out[:, 1]
     bias = np.zeros(2, np.float32)
     seen_v, done, seen_o, seen_b = 1e-12, 0, np.full_like(out, 1e-6), np.full_like(bias, 1e-6)
-    score = np.ones(len(bags), np.float32)
-    rounds = max(shape.rounds, -(-shape.steps * shape.batch // max(1, len(bags))))
+    score = np.ones(len(doc), np.float32)
+    rounds = max(shape.rounds, -(-shape.steps * shape.batch // max(1, len(doc))))
     for turn in range(rounds):
-        use = np.ones(len(bags), bool)
+        use = np.ones(len(doc), bool)
         if turn > rounds // 3 and shape.passage:
-            best = np.zeros(len(texts), np.float32)
+            best = np.zeros(n_texts, np.float32)
             np.maximum.at(best, doc, score)
             use = (y == 0) | (score >= np.minimum(0.5, best[doc]))
         order = rng.permutation(np.flatnonzero(use))
         rate = shape.rate * (1 - turn / rounds)
         for a in range(0, len(order), shape.batch):
             pick = order[a : a + shape.batch]
-            ids, share = np.concatenate([bags[i][0] for i in pick]), np.concatenate([bags[i][1] for i in pick])
-            size = np.array([len(bags[i][0]) for i in pick])
+            own = np.concatenate([kept[begins[i] : begins[i + 1]] for i in pick])
+            ids, share = np.ascontiguousarray(own["id"]), np.ascontiguousarray(own["share"])
+            size = begins[pick + 1] - begins[pick]
             begin = np.cumsum(size) - size
             mean = np.add.reduceat(vectors[ids] * share[:, None], begin)
             z = mean @ out + bias
@@ -232,18 +265,28 @@ def _descend(texts: list[str], labels: np.ndarray, shape: Shape) -> Model:
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def _summed(found: list[tuple[np.ndarray, np.ndarray]], n_words: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the weights of each word's features, and their number."""
+    total, count = np.zeros(n_words), np.zeros(n_words)
+    for word, ids in found:
+        total += np.bincount(word, model.weight[ids], n_words)
+        count += np.bincount(word, minlength=n_words)
+    return total, count
+
+
 def scores(column: pa.Array, model: Model, shape: Shape) -> np.ndarray:
     """Probability of label 1 for each text: of its likeliest passage. A text without words has that of the bias alone."""
     out = np.full(len(column), 1 / (1 + np.exp(-model.bias)))
-    for a, _, data, offsets in text_slices(column, 500_000):
-        found, first = features(data, offsets, shape)
-        if not found:
+    for a, _, data, offsets in text_slices(column, LEARN_BYTES):
+        if len(data) > LEARN_BYTES:  # one text
+            parts = [_summed(*part, model) for part in taken_apart(data, shape)] or [(np.zeros(0), np.zeros(0))]
+            total, count = (np.concatenate(p) for p in zip(*parts, strict=True))
+            first = np.array([0, len(total)])
+        else:
+            found, first = features(data, offsets, shape)
+            total, count = _summed(found, int(first[-1]), model)
+        if not len(total):
             continue
-        n_words = int(first[-1])
-        total, count = np.zeros(n_words), np.zeros(n_words)
-        for word, ids in found:
-            total += np.bincount(word, model.weight[ids], n_words)
-            count += np.bincount(word, minlength=n_words)
         begin, doc = passages(first, shape.passage)
         z = np.add.reduceat(total, begin[:-1]) / np.maximum(np.add.reduceat(count, begin[:-1]), shape.least) + model.bias
         own = np.full(len(offsets) - 1, -np.inf)

@@ -3,9 +3,12 @@
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import components, documents, prose, rows_of
 from pyspark.sql import functions as F
@@ -163,6 +166,44 @@ def test_long_texts_are_learnt(spark, monkeypatch):
     assert len(few) == 39 and max(len(r["text"]) for r in few) < 125_000
 
 
+def test_memory_does_not_follow_long_texts(monkeypatch):
+    """Learning from long texts and scoring them takes arrays of a piece's size, and the scores are those of the whole text."""
+    rng = random.Random(14)
+    some = prose(rng, 3000, 3000).split()
+
+    def long_text(blank):
+        return blank.join(rng.choice(some) for _ in range(450_000))
+
+    def peak(of):
+        tracemalloc.start()
+        got = of()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, most
+
+    for shape in (op4_quality.SHAPE, op6_toxicity.SHAPE):
+        weight = np.random.default_rng(3).normal(size=1 << shape.buckets).astype(np.float32)
+        model = subword.Model(weight, 0.1)
+        for blank in (" ", "\n"):
+            text = long_text(blank)
+            column = pa.array([None, text, "a few words"], pa.string())
+            assert 2_500_000 < len(text)
+            got, most = peak(lambda column=column, model=model, shape=shape: subword.scores(column, model, shape))
+            assert most < 110_000_000
+        with monkeypatch.context() as m:
+            m.setattr(subword, "LEARN_BYTES", 10_000_000)
+            assert subword.scores(column, model, shape).tolist() == got.tolist()
+        for text in ["so so so Very well-known x x ... é\té " * 30, "y" * 5000 + "\ny " + "z" * 300, "...,", " \n"]:
+            whole = subword.scores(pa.array([text, "x"]), model, shape)
+            for size in (1, 7, 100):
+                with monkeypatch.context() as m:
+                    m.setattr(subword, "LEARN_BYTES", size)
+                    assert subword.scores(pa.array([text, "x"]), model, shape).tolist() == whole.tolist()
+        texts, untaught = [long_text(" ")] * 6, replace(shape, rounds=0, steps=0)
+        _, most = peak(lambda texts=texts, shape=untaught: subword.train(texts, np.array([0, 1] * 3), shape))
+        assert most < 130_000_000
+
+
 def test_scores_by_hand(spark):
     """Scores of the folded model, feature by feature in plain Python."""
     docs, labels = labelled(spark, 60)
